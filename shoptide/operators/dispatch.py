@@ -51,11 +51,11 @@ def dispatch_guards(df: DataFrame, action_col: str = "proposed_action", reason:
     base_reason = reason if reason is not None else F.lit("")
     low_cart = (a == "APPLY_DISCOUNT") & F.coalesce(F.col("total_cart_value") < 50, F.lit(False))
     no_chk = (a == "SHOW_URGENCY") & F.coalesce(F.col("checkouts") == 0, F.lit(False))
-    return df.withColumn(
-        "guarded_action", F.when(low_cart | no_chk, F.lit(NO_ACTION)).otherwise(a)
-    ).withColumn(
-        "guard_reason",
-        F.when(low_cart, F.lit("MIN_CART_VALUE_NOT_MET")).when(no_chk, F.lit("NO_CHECKOUT_STARTED")).otherwise(base_reason),
+    return df.select(
+        "*",
+        F.when(low_cart | no_chk, F.lit(NO_ACTION)).otherwise(a).alias("guarded_action"),
+        F.when(low_cart, F.lit("MIN_CART_VALUE_NOT_MET")).when(no_chk, F.lit("NO_CHECKOUT_STARTED"))
+        .otherwise(base_reason).alias("guard_reason"),
     )
 
 
@@ -73,7 +73,7 @@ def session_decision(df: DataFrame) -> DataFrame:
     reason = F.when(~F.col("allowed"), F.lit("")).when(
         F.col("guarded_action") == NO_ACTION, F.col("guard_reason")
     )
-    return g.withColumn("action", act).withColumn("reason", reason)
+    return g.select("*", act.alias("action"), reason.alias("reason"))
 
 
 def dispatch_chain(events: DataFrame, capable: Column, cooldown_minutes: int = COOLDOWN_MINUTES) -> DataFrame:
@@ -113,11 +113,11 @@ def action_decisions(
     g = dispatch_guards(scored)
     capable_cond = F.col("allowed") & (F.col("guarded_action") != NO_ACTION)
     chain = dispatch_chain(g, capable_cond, cooldown_minutes)
-    g = g.join(chain.withColumn("dispatched", F.lit(True)), on=["session_id", "event_id"], how="left").withColumn(
-        "dispatched", F.coalesce(F.col("dispatched"), F.lit(False))
-    )
+    g = g.join(chain.select("session_id", "event_id", F.lit(True).alias("__disp")),
+               on=["session_id", "event_id"], how="left")
     # latest dispatch at or before each event (for non-dispatch rows: strictly before)
-    g = g.withColumn("__chunk", time_chunk("timestamp", chunk_seconds))
+    g = g.select("*", F.coalesce(F.col("__disp"), F.lit(False)).alias("dispatched"),
+                 time_chunk("timestamp", chunk_seconds).alias("__chunk")).drop("__disp")
     last_key = F.when(F.col("dispatched"), F.struct(F.col("timestamp").alias("ts"), F.col("event_id").alias("eid"),
                                                    F.col("guarded_action").alias("act")))
     g = running_scan(g, by=["session_id"], chunk="__chunk", order=ORDER, aggs={"__last": ("max", last_key)})
@@ -133,8 +133,8 @@ def action_decisions(
         .when(cooling, F.lit(SUPPRESSED))
         .otherwise(F.col("guard_reason"))
     )
-    out = g.withColumn("action", action).withColumn("reason", reason)
-    out = out.withColumn("action_id", action_id(F.col("session_id"), F.col("action"), F.col("timestamp")))
+    out = g.drop("action").select("*", action.alias("action"), reason.alias("reason"))
+    out = out.select("*", action_id(F.col("session_id"), F.col("action"), F.col("timestamp")).alias("action_id"))
     return out.drop("__chunk", "__last")
 
 

@@ -56,14 +56,16 @@ def rule_intent(features: DataFrame) -> DataFrame:
     pairs = F.array(*[F.struct(F.col(score_col(i)).alias("s"), F.lit(i).alias("n")) for i in INTENTS])
     best = F.array_max(pairs)
     total = sum((F.col(score_col(i)) for i in INTENTS), F.lit(0))
-    return scored.withColumn("__best", best).withColumn("__total", total).withColumn(
-        "rule_intent", F.when(F.col("__total") == 0, F.lit("BROWSE")).otherwise(F.col("__best.n"))
-    ).withColumn(
-        "rule_confidence",
-        F.when(F.col("__total") == 0, F.lit(0.0)).otherwise(
+    tmp = scored.select("*", best.alias("__best"), total.alias("__total"))
+    zero = F.col("__total") == 0
+    out = tmp.select(
+        "*",
+        F.when(zero, F.lit("BROWSE")).otherwise(F.col("__best.n")).alias("rule_intent"),
+        F.when(zero, F.lit(0.0)).otherwise(
             F.least(F.col("__best.s").cast("double") / F.col("__total").cast("double"), F.lit(1.0))
-        ),
-    ).drop("__best", "__total")
+        ).alias("rule_confidence"),
+    )
+    return out.drop("__best", "__total")
 
 
 def calibrate(raw: Column, a: float = CALIBRATION_A, b: float = CALIBRATION_B) -> Column:
@@ -92,9 +94,8 @@ def final_intent(
     df = calibrated_intent(features)
     conf = F.col("calibrated_confidence")
     if model is None:
-        return df.withColumn("intent", F.col("rule_intent")).withColumn("confidence", conf).withColumn(
-            "method", F.lit("rule_based")
-        )
+        return df.select("*", F.col("rule_intent").alias("intent"), conf.alias("confidence"),
+                         F.lit("rule_based").alias("method"))
     from shoptide.operators.ml import predict_intent
 
     scored = predict_intent(model, df)

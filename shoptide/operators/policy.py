@@ -40,12 +40,10 @@ POLICY_INPUTS = {
 
 def with_policy_inputs(df: DataFrame) -> DataFrame:
     """Add any missing policy input as a typed null (= absent)."""
-    for name, dtype in POLICY_INPUTS.items():
-        if name not in df.columns:
-            df = df.withColumn(name, F.lit(None).cast(dtype))
+    extra = [F.lit(None).cast(dtype).alias(name) for name, dtype in POLICY_INPUTS.items() if name not in df.columns]
     if "discount_value" not in df.columns:
-        df = df.withColumn("discount_value", F.lit(0.0))
-    return df
+        extra.append(F.lit(0.0).alias("discount_value"))
+    return df.select("*", *extra) if extra else df
 
 
 def _fires(c: Column) -> Column:
@@ -75,7 +73,7 @@ def policy_allow(df: DataFrame, action_col: str = "proposed_action", intent_col:
     """Add boolean ``allowed`` (authoritative policy)."""
     df = with_policy_inputs(df)
     intent = F.coalesce(F.col(intent_col), F.lit("")) if intent_col in df.columns else F.lit("")
-    return df.withColumn("allowed", allow_expr(F.col(action_col), intent))
+    return df.select("*", allow_expr(F.col(action_col), intent).alias("allowed"))
 
 
 def reason_expr(action: Column) -> Column:
@@ -102,9 +100,8 @@ def reason_expr(action: Column) -> Column:
 def policy_reason(df: DataFrame, action_col: str = "proposed_action") -> DataFrame:
     """Add ``policy_reason`` ('' when allowed) and ``reason_allowed``."""
     df = with_policy_inputs(df)
-    return df.withColumn("policy_reason", reason_expr(F.col(action_col))).withColumn(
-        "reason_allowed", F.col("policy_reason") == ""
-    )
+    r = reason_expr(F.col(action_col))
+    return df.select("*", r.alias("policy_reason"), (r == "").alias("reason_allowed"))
 
 
 def unreachable_policy(df: DataFrame, reachable: Column) -> DataFrame:

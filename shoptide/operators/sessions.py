@@ -139,20 +139,19 @@ def derive_features(g: DataFrame) -> DataFrame:
     adds = F.col("cart_adds").cast("double")
     safe_pv = F.greatest(pv, F.lit(1.0))
     safe_adds = F.greatest(adds, F.lit(1.0))
-    return (
-        g.withColumn("session_duration_sec", dur)
-        .withColumn("avg_inter_event_time", F.when(n > 1, F.col("session_duration_sec") / (n - 1)).otherwise(F.lit(0.0)))
-        .withColumn("avg_item_value", F.col("total_cart_value") / n)
-        .withColumn("cart_value_per_minute", F.col("total_cart_value") / (F.col("session_duration_sec") / 60.0 + 1.0))
-        .withColumn("cart_conversion_rate", adds / safe_pv)
-        .withColumn("checkout_conversion_rate", F.col("checkouts").cast("double") / safe_adds)
-        .withColumn("cart_abandon_rate", F.when(adds > 0, F.col("cart_removes").cast("double") / adds).otherwise(F.lit(0.0)))
-        .withColumn(
-            "exploration_ratio",
-            F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("category_switches").cast("double") / safe_pv)),
-        )
-        .withColumn("repeat_customer", F.lit(False))
-        .withColumn("days_since_last_purchase", F.lit(None).cast("int"))
+    g = g.select("*", dur.alias("session_duration_sec"))
+    d = F.col("session_duration_sec")
+    return g.select(
+        "*",
+        F.when(n > 1, d / (n - 1)).otherwise(F.lit(0.0)).alias("avg_inter_event_time"),
+        (F.col("total_cart_value") / n).alias("avg_item_value"),
+        (F.col("total_cart_value") / (d / 60.0 + 1.0)).alias("cart_value_per_minute"),
+        (adds / safe_pv).alias("cart_conversion_rate"),
+        (F.col("checkouts").cast("double") / safe_adds).alias("checkout_conversion_rate"),
+        F.when(adds > 0, F.col("cart_removes").cast("double") / adds).otherwise(F.lit(0.0)).alias("cart_abandon_rate"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("category_switches").cast("double") / safe_pv)).alias("exploration_ratio"),
+        F.lit(False).alias("repeat_customer"),
+        F.lit(None).cast("int").alias("days_since_last_purchase"),
     )
 
 

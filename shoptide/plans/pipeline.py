@@ -9,13 +9,16 @@ from shoptide.operators.dispatch import action_decisions, session_decision, with
 from shoptide.operators.intent import final_intent
 from shoptide.operators.policy import policy_allow, policy_reason
 from shoptide.operators.sessions import running_features, session_features, sessionize
+from shoptide.session import materialize
 from shoptide.sources.events import load_clicks
 
 SESSION_GAP_MINUTES = 360  # test-data adapter: sessions by a 6 h inactivity gap
 
 
 def session_clicks(spark: SparkSession, sf_dir: str, gap_minutes: int = SESSION_GAP_MINUTES) -> DataFrame:
-    return sessionize(load_clicks(spark, sf_dir), gap_minutes=gap_minutes)
+    """Sessionized click events, written once as a table (the event store every
+    downstream job reads)."""
+    return materialize(sessionize(load_clicks(spark, sf_dir), gap_minutes=gap_minutes), "sessionized")
 
 
 def session_predictions(clicks: DataFrame, model=None) -> DataFrame:
@@ -38,7 +41,8 @@ def scored_events(clicks: DataFrame, max_events: int | None = None) -> DataFrame
 
 def event_decisions(clicks: DataFrame, cooldown_minutes: int = 15, max_events: int | None = None) -> DataFrame:
     """The per-event decision loop in batch: one decision per arriving event."""
-    return action_decisions(scored_events(clicks, max_events=max_events), cooldown_minutes=cooldown_minutes)
+    scored = materialize(scored_events(clicks, max_events=max_events), "scored_events")
+    return action_decisions(scored, cooldown_minutes=cooldown_minutes)
 
 
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:

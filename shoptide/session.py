@@ -59,3 +59,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
     return local
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a parquet table under the shared checkpoint folder and read it back.
+
+    Used where one derived table feeds several branches of a plan (Spark would
+    otherwise recompute it per branch, since pruned branches do not share an
+    exchange). Cutting lineage here also bounds recomputation when an executor
+    is lost. The folder comes from ``spark.checkpoint.dir`` (see
+    :func:`checkpoint_dir`); a fresh sub-folder per call keeps runs independent.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/shoptide/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
