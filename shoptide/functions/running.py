@@ -43,7 +43,7 @@ def running_scan(
     df: DataFrame,
     by: Sequence[str],
     chunk: str,
-    order: Sequence[str],
+    order: Sequence[str | Column],
     aggs: dict[str, tuple[str, Column]] | None = None,
     prev: dict[str, Column] | None = None,
     pairsums: dict[str, tuple[Column, PairFn]] | None = None,
@@ -67,7 +67,7 @@ def running_scan(
         if kind not in _KINDS:
             raise ValueError(f"unsupported running kind {kind!r} for {name}")
     keys = [*by, chunk]
-    order_cols = [F.col(c) for c in order]
+    order_cols = [c if isinstance(c, Column) else F.col(c) for c in order]
     w_local = Window.partitionBy(*keys).orderBy(*order_cols)
     w_run = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     agg_fn = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -105,7 +105,9 @@ def running_scan(
             F.sum(f"_rs_term_{n}").alias(f"_rs_ty_{n}"),
         ]
     summary = local.groupBy(*keys).agg(*summary_aggs)
-    w_chunks = Window.partitionBy(*by).orderBy(chunk)
+    # One row per chunk; with no key (a global order) this window holds only the
+    # chunk summaries, bounded by the time span over the chunk width.
+    w_chunks = (Window.partitionBy(*by) if by else Window).orderBy(chunk)
     w_before = w_chunks.rowsBetween(Window.unboundedPreceding, -1)
     carry_cols = [agg_fn[kind](f"_rs_t_{n}").over(w_before).alias(f"_rs_c_{n}") for n, (kind, _) in aggs.items()]
     carry_cols += [F.lag(f"_rs_z_{n}").over(w_chunks).alias(f"_rs_q_{n}") for n in prev]

@@ -287,3 +287,41 @@ def markov_state_sql(last_action: str) -> str:
     from shoptide.schema import MARKOV_ACTION_TO_STATE
     m = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MARKOV_ACTION_TO_STATE.items())
     return f"CASE WHEN {last_action} IS NULL THEN 'LANDING' ELSE CASE {last_action} {m} ELSE 'BROWSING' END END"
+
+
+LEDGER = """ledger AS (
+  SELECT action_id,
+    first(session_id ORDER BY timestamp, event_id) AS session_id,
+    first(action ORDER BY timestamp, event_id) AS action_type,
+    first(intent ORDER BY timestamp, event_id) AS intent,
+    first(confidence ORDER BY timestamp, event_id) AS confidence,
+    last(reason ORDER BY timestamp, event_id) AS reason,
+    CAST(NULL AS VARCHAR) AS outcome, FALSE AS acknowledged, 'dispatched' AS status,
+    first(timestamp ORDER BY timestamp, event_id) AS created_at
+  FROM (SELECT *, """ + ACTION_ID_SQL + """ AS action_id FROM decisions) d GROUP BY action_id)"""
+
+CONV_EXISTS = """EXISTS (SELECT 1 FROM sess e WHERE e.session_id = {a}.session_id
+      AND e.action IN ('checkout_start', 'purchase_complete')
+      AND e.timestamp >= {a}.created_at AND epoch_us(e.timestamp) <= epoch_us({a}.created_at) + 900000000)"""
+
+BATCHES = """lb AS (SELECT *, (ROW_NUMBER() OVER (ORDER BY created_at, action_id) - 1) // 100 AS batch_no FROM ledger),
+lb2 AS (SELECT *, MAX(created_at) OVER (PARTITION BY batch_no) AS as_of FROM lb),
+outc AS (
+  SELECT lb2.*, CASE WHEN epoch_us(as_of) - epoch_us(created_at) <= 1200000000 THEN NULL
+    ELSE """ + CONV_EXISTS.format(a="lb2") + """ END AS converted
+  FROM lb2),
+met AS (
+  SELECT batch_no, COUNT(*) AS actions_evaluated,
+    CAST(SUM(CASE WHEN converted THEN 1 ELSE 0 END) AS BIGINT) AS converted,
+    CAST(SUM(CASE WHEN converted IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS undecided,
+    MAX(as_of) AS created_at
+  FROM outc GROUP BY batch_no),
+met2 AS (SELECT *, CAST(converted AS DOUBLE) / CAST(actions_evaluated AS DOUBLE) AS conversion_rate FROM met),
+dr AS (
+  SELECT *, COUNT(*) OVER h AS history_len, AVG(conversion_rate) OVER h AS history_avg
+  FROM met2 WINDOW h AS (ORDER BY batch_no ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+dr2 AS (
+  SELECT *, (CASE WHEN history_len < 2 THEN FALSE WHEN history_avg = 0 THEN conversion_rate < 1.0
+      ELSE (history_avg - conversion_rate) / history_avg > 0.2 END)
+    OR (history_len = 0 AND conversion_rate < 0.1 AND actions_evaluated >= 10) AS drift_flagged
+  FROM dr)"""

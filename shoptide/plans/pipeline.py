@@ -54,3 +54,18 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
+
+
+def ledger_table(clicks: DataFrame, cooldown_minutes: int = 15) -> DataFrame:
+    """Decisions written to the ledger (upsert on action_id, audit semantics),
+    persisted as a table."""
+    from shoptide.operators.ledger import ledger_rows, upsert
+
+    return materialize(upsert(ledger_rows(event_decisions(clicks, cooldown_minutes)), mode="pg"), "ledger")
+
+
+def evaluation_outcomes(clicks: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Ledger rows in evaluation batches with their conversion outcome."""
+    from shoptide.operators.evaluate import batch_assign, conversion
+
+    return conversion(batch_assign(ledger), clicks)

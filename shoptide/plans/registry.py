@@ -17,7 +17,7 @@ from shoptide.operators.routing import route
 from shoptide.operators.sessions import running_features, session_features
 from shoptide.operators.text import query_signals
 from shoptide.plans import oracle as O
-from shoptide.plans.pipeline import event_decisions, rounded, scored_events, session_actions, session_clicks, session_predictions
+from shoptide.plans.pipeline import evaluation_outcomes, ledger_table, event_decisions, rounded, scored_events, session_actions, session_clicks, session_predictions
 from shoptide.schema import INTENTS
 from shoptide.sources.events import table
 
@@ -266,3 +266,120 @@ def q_session_signals(spark, sf):
 
 def scored_event_rows(spark: SparkSession, sf: str) -> DataFrame:
     return scored_events(session_clicks(spark, sf))
+
+
+# --- 2.8 ledger -------------------------------------------------------------------------------
+_LEDGER_BASE = f"{with_(O.event_pipeline(), O.decisions_ctes(15), O.LEDGER)}"
+_LCOLS = ["action_id", "session_id", "action_type", "intent", "confidence", "reason", "outcome",
+          "acknowledged", "status", "created_at"]
+
+
+def _ledger(spark, sf):
+    clicks = session_clicks(spark, sf)
+    return clicks, ledger_table(clicks)
+
+
+@register("ledger_upsert", f"{_LEDGER_BASE}\nSELECT {sel(_LCOLS)} FROM ledger")
+def q_ledger_upsert(spark, sf):
+    return rounded(_ledger(spark, sf)[1].select(*_LCOLS))
+
+
+@register("action_history", f"""{_LEDGER_BASE}
+SELECT session_id, action_id, action_type, created_at,
+  ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY created_at DESC, action_id DESC) AS recency_rank FROM ledger""")
+def q_action_history(spark, sf):
+    """Every session's ledger history with its newest-first rank."""
+    from pyspark.sql import Window
+    led = _ledger(spark, sf)[1]
+    w = Window.partitionBy("session_id").orderBy(F.col("created_at").desc(), F.col("action_id").desc())
+    return led.select("session_id", "action_id", "action_type", "created_at",
+                      F.row_number().over(w).alias("recency_rank"))
+
+
+@register("recent_actions", f"""{_LEDGER_BASE}
+SELECT action_id, session_id, action_type, created_at FROM ledger ORDER BY created_at DESC, action_id DESC LIMIT 100""")
+def q_recent_actions(spark, sf):
+    from shoptide.operators.evaluate import recent_actions
+    return recent_actions(_ledger(spark, sf)[1]).select("action_id", "session_id", "action_type", "created_at")
+
+
+# --- 2.9/2.10 evaluation ----------------------------------------------------------------------
+_EVAL_BASE = f"{_LEDGER_BASE},\n{O.BATCHES}"
+
+
+def _outcomes(spark, sf):
+    clicks, led = _ledger(spark, sf)
+    return evaluation_outcomes(clicks, led)
+
+
+@register("conversion", f"""{_EVAL_BASE}
+SELECT action_id, session_id, batch_no, as_of, converted FROM outc""")
+def q_conversion(spark, sf):
+    return _outcomes(spark, sf).select("action_id", "session_id", "batch_no", "as_of", "converted")
+
+
+_EB = ["batch_no", "actions_evaluated", "converted", "undecided", "conversion_rate",
+       "critic_rewrite_success_rate", "drift_flagged", "created_at"]
+
+
+@register("evaluation_batch", f"""{_EVAL_BASE}
+SELECT batch_no, actions_evaluated, converted, undecided, round(conversion_rate, 9) AS conversion_rate,
+  round(conversion_rate, 9) AS critic_rewrite_success_rate, drift_flagged, created_at FROM dr2""")
+def q_evaluation_batch(spark, sf):
+    from shoptide.operators.evaluate import drift, evaluation_batches
+    return rounded(drift(evaluation_batches(_outcomes(spark, sf))).select(*_EB))
+
+
+@register("drift", f"""{_EVAL_BASE}
+SELECT batch_no, round(conversion_rate, 9) AS conversion_rate, history_len, round(history_avg, 9) AS history_avg,
+  drift_flagged FROM dr2""")
+def q_drift(spark, sf):
+    from shoptide.operators.evaluate import drift, evaluation_batches
+    d = drift(evaluation_batches(_outcomes(spark, sf)))
+    return rounded(d.select("batch_no", "conversion_rate", "history_len", "history_avg", "drift_flagged"))
+
+
+_FA = ["batch_no", "action_id", "action_type", "intent", "confidence", "reason", "cart_value", "duration_sec"]
+
+
+@register("failed_actions", f"""{_EVAL_BASE}
+SELECT batch_no, action_id, action_type, intent, round(confidence, 9) AS confidence, COALESCE(reason, '') AS reason,
+  CAST(0.0 AS DOUBLE) AS cart_value, CAST(0.0 AS DOUBLE) AS duration_sec FROM outc WHERE converted = FALSE""")
+def q_failed_actions(spark, sf):
+    from shoptide.operators.evaluate import failed_actions
+    return rounded(failed_actions(_outcomes(spark, sf)).select(*_FA))
+
+
+@register("failure_categories", f"""{_EVAL_BASE}
+SELECT action_type, intent, COALESCE(reason, '') AS reason, COUNT(*) AS n_failed FROM outc WHERE converted = FALSE
+GROUP BY action_type, intent, COALESCE(reason, '')""")
+def q_failure_categories(spark, sf):
+    from shoptide.operators.evaluate import failed_actions, failure_categories
+    return failure_categories(failed_actions(_outcomes(spark, sf)))
+
+
+@register("conversion_by_action", f"""{_EVAL_BASE}
+SELECT action_type, intent, COUNT(*) AS actions,
+  CAST(SUM(CASE WHEN converted IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS decided,
+  CAST(SUM(CASE WHEN converted THEN 1 ELSE 0 END) AS BIGINT) AS converted,
+  round(CASE WHEN SUM(CASE WHEN converted IS NOT NULL THEN 1 ELSE 0 END) > 0 THEN
+    CAST(SUM(CASE WHEN converted THEN 1 ELSE 0 END) AS DOUBLE) / CAST(SUM(CASE WHEN converted IS NOT NULL THEN 1 ELSE 0 END) AS DOUBLE) END, 9)
+    AS conversion_rate
+FROM outc GROUP BY action_type, intent""")
+def q_conversion_by_action(spark, sf):
+    from shoptide.operators.evaluate import conversion_by_action
+    return rounded(conversion_by_action(_outcomes(spark, sf)))
+
+
+@register("ops_counters", f"""{with_(O.event_pipeline(), O.decisions_ctes(15))},
+lastev AS (SELECT session_id, MAX(timestamp) AS l FROM sess GROUP BY session_id)
+SELECT 'events_ingested' AS metric, '' AS label, COUNT(*) AS value FROM sess
+UNION ALL SELECT 'intent_predictions', intent, COUNT(*) FROM decisions GROUP BY intent
+UNION ALL SELECT 'actions_dispatched', action, COUNT(*) FROM decisions GROUP BY action
+UNION ALL SELECT 'actions_suppressed', '', CAST(SUM(CASE WHEN reason = 'SUPPRESSED_WITHIN_15MIN' THEN 1 ELSE 0 END) AS BIGINT) FROM decisions
+UNION ALL SELECT 'active_sessions', '', COUNT(*) FROM lastev
+  WHERE epoch_us(l) >= (SELECT epoch_us(MAX(timestamp)) FROM sess) - 86400000000""")
+def q_ops_counters(spark, sf):
+    from shoptide.operators.evaluate import ops_counters
+    clicks = session_clicks(spark, sf)
+    return ops_counters(spark, clicks, event_decisions(clicks, 15))
