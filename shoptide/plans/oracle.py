@@ -325,3 +325,50 @@ dr2 AS (
       ELSE (history_avg - conversion_rate) / history_avg > 0.2 END)
     OR (history_len = 0 AND conversion_rate < 0.1 AND actions_evaluated >= 10) AS drift_flagged
   FROM dr)"""
+
+
+RAWFEED = """rawfeed AS (
+  SELECT event_id AS source_event_id,
+    CASE WHEN kk = 7 THEN '{"event_id": "' || event_id || '", "session_id": '
+    ELSE '{' || CASE WHEN kk <> 1 THEN '"event_id": "' || event_id || '", ' ELSE '' END
+      || CASE WHEN kk <> 3 THEN '"session_id": "' || session_id || '", ' ELSE '' END
+      || '"customer_id": "' || customer_id || '"'
+      || ', "timestamp": "' || strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') || '"'
+      || ', "action": "' || action || '"'
+      || ', "category": "' || category || '"'
+      || ', "value": ' || CASE WHEN kk = 5 THEN '"n/a"' ELSE printf('%.2f', value) END || '}' END AS value
+  FROM (SELECT *, CAST(json_extract_string(metadata, '$.k') AS INTEGER) % 10 AS kk FROM sess) s),
+parsed0 AS (
+  SELECT value AS raw, json_valid(value) AS ok_json,
+    CASE WHEN json_valid(value) THEN json_extract_string(value, '$.event_id') END AS event_id,
+    CASE WHEN json_valid(value) THEN json_extract_string(value, '$.session_id') END AS session_id,
+    CASE WHEN json_valid(value) THEN json_extract_string(value, '$.customer_id') END AS customer_id,
+    CASE WHEN json_valid(value) THEN json_extract_string(value, '$.timestamp') END AS ts_text,
+    CASE WHEN json_valid(value) THEN json_extract_string(value, '$.action') END AS action,
+    CASE WHEN json_valid(value) THEN json_extract_string(value, '$.category') END AS category,
+    CASE WHEN json_valid(value) THEN json_extract_string(value, '$.value') END AS value_text
+  FROM rawfeed),
+parsed AS (
+  SELECT *, TRY_CAST(ts_text AS TIMESTAMP) AS timestamp, TRY_CAST(value_text AS DOUBLE) AS value,
+    (ts_text IS NOT NULL AND TRY_CAST(ts_text AS TIMESTAMP) IS NULL)
+      OR (value_text IS NOT NULL AND TRY_CAST(value_text AS DOUBLE) IS NULL) AS mistyped
+  FROM parsed0),
+checked AS (
+  SELECT *, ok_json AND NOT mistyped AND session_id IS NOT NULL AND action IS NOT NULL AS valid,
+    CASE WHEN NOT ok_json THEN 'malformed_json' WHEN mistyped THEN 'mistyped_field'
+         WHEN session_id IS NULL OR action IS NULL THEN 'missing_required' END AS quarantine_reason
+  FROM parsed)"""
+
+DEFAULT_ID_SQL = ("substring(sha256(concat_ws('|', COALESCE(session_id, ''), COALESCE(CAST(epoch_us(timestamp) AS VARCHAR), ''), "
+                  "COALESCE(action, ''), COALESCE(category, ''))), 1, 12)")
+
+LOG = """ilog AS (
+  SELECT *, 0 AS ingest_seq FROM sess
+  UNION ALL
+  SELECT event_id, customer_id, timestamp, action, product_id, category, value + 1.0, metadata, session_id, 1
+  FROM sess WHERE CAST(json_extract_string(metadata, '$.k') AS INTEGER) < 10)"""
+
+ASOF = "(SELECT MAX(timestamp) FROM sess)"
+
+STARTS = """st AS (SELECT session_id, first(customer_id ORDER BY timestamp, event_id) AS customer_id,
+  MIN(timestamp) AS session_start FROM sess GROUP BY session_id)"""

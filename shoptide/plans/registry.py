@@ -383,3 +383,186 @@ def q_ops_counters(spark, sf):
     from shoptide.operators.evaluate import ops_counters
     clicks = session_clicks(spark, sf)
     return ops_counters(spark, clicks, event_decisions(clicks, 15))
+
+
+# --- 2.1 ingest ------------------------------------------------------------------------------
+def _parsed_feed(spark, sf):
+    from shoptide.sources.events import parse_json_values, raw_event_json
+    return parse_json_values(raw_event_json(session_clicks(spark, sf)))
+
+
+_VE = ["event_id", "session_id", "customer_id", "timestamp", "action", "category", "value"]
+_INGEST = f"{with_(O.CLICKS, O.SESS, O.RAWFEED)}"
+
+
+@register("valid_events", f"{_INGEST}\nSELECT {sel(_VE)} FROM checked WHERE valid")
+def q_valid_events(spark, sf):
+    from shoptide.sources.events import valid_events
+    return rounded(valid_events(_parsed_feed(spark, sf)).select(*_VE))
+
+
+@register("quarantine", f"{_INGEST}\nSELECT raw, quarantine_reason FROM checked WHERE NOT valid")
+def q_quarantine(spark, sf):
+    from shoptide.sources.events import quarantine
+    return quarantine(_parsed_feed(spark, sf)).select("raw", "quarantine_reason")
+
+
+@register("event_defaults", f"""{_INGEST}
+SELECT COALESCE(event_id, {O.DEFAULT_ID_SQL}) AS event_id, session_id, timestamp, action,
+  COALESCE(CAST(NULL AS VARCHAR), '{{}}') AS metadata FROM checked WHERE valid""")
+def q_event_defaults(spark, sf):
+    from shoptide.sources.events import valid_events, with_event_defaults
+    df = with_event_defaults(valid_events(_parsed_feed(spark, sf)))
+    return df.select("event_id", "session_id", "timestamp", "action", "metadata")
+
+
+@register("csv_roundtrip")
+def q_csv_roundtrip(spark, sf):
+    """Write the click events as labelled CSV (rule intent of the session as the
+    label) and read them back with the fixed schema."""
+    from shoptide.session import checkpoint_dir
+    from shoptide.sources.events import read_csv_events, write_csv_events
+    import uuid
+    clicks = session_clicks(spark, sf)
+    labels = intent_ops.final_intent(session_features(clicks)).select(
+        "session_id", F.col("intent").alias("ground_truth_intent"))
+    out = clicks.join(labels, "session_id").select(
+        "event_id", "session_id", "customer_id", "timestamp", "action", "product_id", "category", "value",
+        "metadata", "ground_truth_intent")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/shoptide/csv-{uuid.uuid4().hex[:12]}"
+    write_csv_events(out.withColumn("timestamp", F.col("timestamp").cast("timestamp")), path)
+    return read_csv_events(spark, path, with_label=True)
+
+
+# --- 2.2 stores ---------------------------------------------------------------------------------
+@register("event_dedup", f"""{with_(O.CLICKS, O.SESS, O.LOG)}
+SELECT event_id, session_id, round(value, 9) AS value, ingest_seq FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY ingest_seq DESC) AS rn FROM ilog) x WHERE rn = 1""")
+def q_event_dedup(spark, sf):
+    from shoptide.operators.stores import event_dedup, redeliveries
+    d = event_dedup(redeliveries(session_clicks(spark, sf)))
+    return rounded(d.select("event_id", "session_id", "value", "ingest_seq"))
+
+
+@register("bounded_history", f"""{with_(O.CLICKS, O.SESS)}
+SELECT event_id, session_id, recency_rank FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY timestamp DESC, event_id DESC) AS recency_rank FROM sess) x
+WHERE recency_rank <= 100""")
+def q_bounded_history(spark, sf):
+    from shoptide.operators.stores import bounded_history
+    return bounded_history(session_clicks(spark, sf), 100).select("event_id", "session_id", "recency_rank")
+
+
+def _asof(clicks):
+    return clicks.agg(F.max("timestamp").alias("__asof"))
+
+
+@register("event_ttl", f"""{with_(O.CLICKS, O.SESS)}
+SELECT event_id, session_id, timestamp FROM sess WHERE epoch_us(timestamp) >= epoch_us({O.ASOF}) - 86400000000""")
+def q_event_ttl(spark, sf):
+    from shoptide.operators.stores import event_ttl
+    c = session_clicks(spark, sf)
+    kept = event_ttl(c.crossJoin(F.broadcast(_asof(c))), F.col("__asof"))
+    return kept.select("event_id", "session_id", "timestamp")
+
+
+_REG = ["session_id", "customer_id", "created_at", "last_activity", "expires_at"]
+_REG_SQL = """reg AS (SELECT session_id, first(customer_id ORDER BY timestamp, event_id) AS customer_id,
+  MIN(timestamp) AS created_at, MAX(timestamp) AS last_activity, MAX(timestamp) + INTERVAL 24 HOURS AS expires_at
+  FROM sess GROUP BY session_id)"""
+
+
+@register("session_registry", f"{with_(O.CLICKS, O.SESS, _REG_SQL)}\nSELECT {', '.join(_REG)} FROM reg")
+def q_session_registry(spark, sf):
+    from shoptide.operators.stores import session_registry
+    return session_registry(session_clicks(spark, sf)).select(*_REG)
+
+
+@register("active_sessions", f"""{with_(O.CLICKS, O.SESS, _REG_SQL)}
+SELECT {', '.join(_REG)} FROM reg WHERE epoch_us(expires_at) >= epoch_us({O.ASOF})""")
+def q_active_sessions(spark, sf):
+    from shoptide.operators.stores import active_sessions, session_registry
+    c = session_clicks(spark, sf)
+    r = session_registry(c).crossJoin(F.broadcast(_asof(c)))
+    return active_sessions(r, F.col("__asof")).select(*_REG)
+
+
+@register("expired_sessions", f"""{with_(O.CLICKS, O.SESS, _REG_SQL)}
+SELECT {', '.join(_REG)} FROM reg WHERE epoch_us(expires_at) < epoch_us({O.ASOF})""")
+def q_expired_sessions(spark, sf):
+    from shoptide.operators.stores import expired_sessions, session_registry
+    c = session_clicks(spark, sf)
+    r = session_registry(c).crossJoin(F.broadcast(_asof(c)))
+    return expired_sessions(r, F.col("__asof")).select(*_REG)
+
+
+_CP = ["customer_id", "total_sessions", "total_purchases", "lifetime_value", "avg_session_duration",
+       "preferred_categories", "last_updated"]
+
+
+@register("customer_profile", f"""{with_(O.CLICKS, O.SESS, O.EV, O.FEAT)},
+cp_base AS (SELECT customer_id, CAST(SUM(CASE WHEN action = 'purchase_complete' THEN 1 ELSE 0 END) AS BIGINT) AS total_purchases,
+  SUM(CASE WHEN action = 'purchase_complete' THEN COALESCE(value, 0.0) ELSE 0.0 END) AS lifetime_value,
+  MAX(timestamp) AS last_updated FROM sess GROUP BY customer_id),
+cp_sess AS (SELECT customer_id, COUNT(*) AS total_sessions, AVG(session_duration_sec) AS avg_session_duration
+  FROM feat GROUP BY customer_id),
+cp_cat AS (SELECT customer_id, category, COUNT(*) AS n FROM ev GROUP BY customer_id, category),
+cp_top AS (SELECT customer_id, list(category ORDER BY r) AS preferred_categories FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY n DESC, category) AS r FROM cp_cat) x
+  WHERE r <= 3 GROUP BY customer_id)
+SELECT customer_id, total_sessions, total_purchases, round(lifetime_value, 9) AS lifetime_value,
+  round(avg_session_duration, 9) AS avg_session_duration, preferred_categories, last_updated
+FROM cp_base LEFT JOIN cp_sess USING (customer_id) LEFT JOIN cp_top USING (customer_id)""")
+def q_customer_profile(spark, sf):
+    from shoptide.operators.stores import customer_profile
+    c = session_clicks(spark, sf)
+    return rounded(customer_profile(c, session_features(c)).select(*_CP))
+
+
+@register("profile_upsert", f"""{with_(O.CLICKS, O.SESS)},
+snap AS (SELECT customer_id, CAST(timestamp AS DATE) AS day, COUNT(DISTINCT session_id) AS total_sessions,
+  CAST(SUM(CASE WHEN action = 'purchase_complete' THEN 1 ELSE 0 END) AS BIGINT) AS total_purchases,
+  SUM(CASE WHEN action = 'purchase_complete' THEN COALESCE(value, 0.0) ELSE 0.0 END) AS lifetime_value,
+  MAX(timestamp) AS last_updated FROM sess GROUP BY customer_id, CAST(timestamp AS DATE))
+SELECT customer_id, total_sessions, total_purchases, round(lifetime_value, 9) AS lifetime_value, last_updated FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY last_updated DESC) AS rn FROM snap) x WHERE rn = 1""")
+def q_profile_upsert(spark, sf):
+    from shoptide.operators.stores import daily_profile_snapshots, profile_upsert
+    p = profile_upsert(daily_profile_snapshots(session_clicks(spark, sf)))
+    return rounded(p.select("customer_id", "total_sessions", "total_purchases", "lifetime_value", "last_updated"))
+
+
+# --- 2.9 enrichment joins ----------------------------------------------------------------------
+@register("history_enrich", f"""{with_(O.CLICKS, O.SESS, O.STARTS)},
+he AS (SELECT st.*,
+  (SELECT COUNT(*) FROM sess p WHERE p.customer_id = st.customer_id AND p.action = 'purchase_complete'
+     AND p.timestamp < st.session_start) AS n_before,
+  (SELECT MAX(p.timestamp) FROM sess p WHERE p.customer_id = st.customer_id AND p.action = 'purchase_complete'
+     AND p.timestamp < st.session_start) AS last_before
+  FROM st)
+SELECT session_id, customer_id, n_before > 0 AS repeat_customer,
+  CAST(floor((epoch_us(session_start) - epoch_us(last_before)) / 86400000000) AS INTEGER) AS days_since_last_purchase
+FROM he""")
+def q_history_enrich(spark, sf):
+    from shoptide.operators.stores import history_enrich
+    return history_enrich(session_clicks(spark, sf))
+
+
+@register("governance_context", f"""{_LEDGER_BASE}, {O.STARTS},
+disc AS (SELECT st.customer_id, l.created_at FROM ledger l JOIN st ON l.session_id = st.session_id
+  WHERE l.action_type IN ('APPLY_DISCOUNT', 'OFFER_DISCOUNT')),
+gc AS (SELECT st.*,
+  (SELECT COUNT(*) FROM sess p WHERE p.customer_id = st.customer_id AND p.action = 'purchase_complete'
+     AND p.timestamp < st.session_start) AS total_purchases,
+  (SELECT COUNT(*) FROM disc d WHERE d.customer_id = st.customer_id AND d.created_at < st.session_start
+     AND d.created_at >= date_trunc('month', st.session_start)) AS discounts_this_month,
+  (SELECT MAX(d.created_at) FROM disc d WHERE d.customer_id = st.customer_id AND d.created_at < st.session_start) AS last_disc
+  FROM st)
+SELECT session_id, customer_id, CAST(total_purchases AS INTEGER) AS total_purchases,
+  CAST(discounts_this_month AS INTEGER) AS discounts_this_month,
+  round((epoch_us(session_start) - epoch_us(last_disc)) / 3600000000.0, 9) AS last_discount_within_hours
+FROM gc""")
+def q_governance_context(spark, sf):
+    from shoptide.operators.stores import governance_context
+    clicks, led = _ledger(spark, sf)
+    return rounded(governance_context(clicks, led))

@@ -65,7 +65,7 @@ def load_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- readers -----------------------------------------------------------------
 def read_json_events(spark: SparkSession, path: str) -> DataFrame:
     """Line-delimited JSON click events, PERMISSIVE: bad lines land in ``_corrupt_record``."""
-    schema = _RAW_JSON.add(T.StructField(CORRUPT, T.StringType()))
+    schema = T.StructType([*_RAW_JSON.fields, T.StructField(CORRUPT, T.StringType())])
     raw = (
         spark.read.schema(schema)
         .option("mode", "PERMISSIVE")
@@ -76,16 +76,45 @@ def read_json_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_json_values(values: DataFrame, value_col: str = "value") -> DataFrame:
-    """Parse a column of JSON text (e.g. Kafka ``value`` bytes) into typed events."""
+    """Parse a column of JSON text (e.g. Kafka ``value`` bytes) into typed events.
+
+    PERMISSIVE parsing: text that is not a JSON object keeps its raw text in
+    ``_corrupt_record``; the raw payload is kept as ``raw`` for quarantine."""
     text = F.col(value_col).cast("string")
+    schema = T.StructType([*_RAW_JSON.fields, T.StructField(CORRUPT, T.StringType())])
     parsed = values.select(
-        F.from_json(text, _RAW_JSON, {"mode": "PERMISSIVE"}).alias("j"), text.alias("__raw")
+        F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("j"),
+        text.alias("raw"),
     )
-    bad = F.col("j").isNull() | ~F.coalesce(F.col("__raw").rlike(r"^\s*\{"), F.lit(False))
-    flat = parsed.select("j.*", F.when(bad, F.col("__raw")).alias(CORRUPT))
+    bad = F.col("j").isNull() | F.col(f"j.{CORRUPT}").isNotNull()
+    flat = parsed.select(*[F.col(f"j.{f.name}").alias(f.name) for f in _RAW_JSON.fields],
+                         F.when(bad, F.coalesce(F.col("raw"), F.lit(""))).alias(CORRUPT), "raw")
     return typed_events(flat)
 
 
+def raw_event_json(clicks: DataFrame) -> DataFrame:
+    """Stand-in raw feed for the ingest jobs: each click as one JSON text, with
+    fixed defects by the ``k`` property (k % 10 = 7: truncated text; 3: no
+    session_id; 5: non-numeric value; 1: no event_id). Only shapes input."""
+    k = F.get_json_object("metadata", "$.k").cast("int") % 10
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    ts = F.date_format(F.col("timestamp").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    val = F.when(k == 5, F.lit('"n/a"')).otherwise(F.format_string("%.2f", F.col("value")))
+    parts = [
+        F.when(k != 1, F.concat(F.lit('"event_id": '), q(F.col("event_id")), F.lit(", "))).otherwise(F.lit("")),
+        F.when(k != 3, F.concat(F.lit('"session_id": '), q(F.col("session_id")), F.lit(", "))).otherwise(F.lit("")),
+        F.lit('"customer_id": '), q(F.col("customer_id")),
+        F.lit(', "timestamp": '), q(ts),
+        F.lit(', "action": '), q(F.col("action")),
+        F.lit(', "category": '), q(F.col("category")),
+        F.lit(', "value": '), val, F.lit("}"),
+    ]
+    full = F.concat(F.lit("{"), *parts)
+    broken = F.concat(F.lit('{"event_id": '), q(F.col("event_id")), F.lit(', "session_id": '))
+    return clicks.select(F.col("event_id").alias("source_event_id"),
+                         F.when(k == 7, broken).otherwise(full).alias("value"))
+
+
 def typed_events(raw: DataFrame) -> DataFrame:
     """Cast text fields to the event schema; a failed cast becomes a validation error."""
     ts_text = F.col("timestamp")
@@ -98,9 +127,10 @@ def typed_events(raw: DataFrame) -> DataFrame:
         (ts_text.isNotNull() & ts.isNull()) | (F.col("value").isNotNull() & value.isNull())
     )
     corrupt = F.col(CORRUPT) if CORRUPT in raw.columns else F.lit(None).cast("string")
-    return raw.select(
+    extra = ["raw"] if "raw" in raw.columns else []
+    return raw.select(*extra,
         "event_id", "session_id", "customer_id",
-        ts.alias("timestamp"),
+        ts.cast("timestamp_ntz").alias("timestamp"),
         "action", "product_id", "category",
         value.alias("value"),
         "metadata",
@@ -175,13 +205,20 @@ def with_event_defaults(df: DataFrame, ingest_ts: Column | None = None) -> DataF
     """Fill the model defaults: event_id, timestamp and metadata.
 
     A missing ``event_id`` becomes the first 12 hex characters of the SHA-256 of
-    the row's JSON, so a replay yields the same id (the reference draws a random
-    uuid). A missing timestamp takes ``ingest_ts`` (default: now); metadata ``{}``.
+    'session|epoch micros|action|category', so a replay yields the same id (the
+    reference draws a random uuid). A missing timestamp takes ``ingest_ts``
+    (default: now); metadata ``{}``.
     """
-    row_json = F.to_json(F.struct(*[F.col(c) for c in df.columns if c != "event_id"]))
     ingest_ts = ingest_ts if ingest_ts is not None else F.current_timestamp()
     return (
-        df.withColumn("event_id", F.coalesce(F.col("event_id"), F.substring(F.sha2(row_json, 256), 1, 12)))
+        df.withColumn("event_id", F.coalesce(F.col("event_id"), default_event_id()))
         .withColumn("timestamp", F.coalesce(F.col("timestamp"), ingest_ts))
         .withColumn("metadata", F.coalesce(F.col("metadata"), F.lit("{}")))
     )
+
+
+def default_event_id() -> Column:
+    key = F.concat_ws("|", F.coalesce(F.col("session_id"), F.lit("")),
+                      F.coalesce(F.unix_micros(F.col("timestamp").cast("timestamp")).cast("string"), F.lit("")),
+                      F.coalesce(F.col("action"), F.lit("")), F.coalesce(F.col("category"), F.lit("")))
+    return F.substring(F.sha2(key, 256), 1, 12)
