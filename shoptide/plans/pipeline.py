@@ -69,3 +69,14 @@ def evaluation_outcomes(clicks: DataFrame, ledger: DataFrame) -> DataFrame:
     from shoptide.operators.evaluate import batch_assign, conversion
 
     return conversion(batch_assign(ledger), clicks)
+
+
+def enriched_features(clicks: DataFrame) -> DataFrame:
+    """Session features with repeat_customer / days_since_last_purchase filled
+    from the customer's earlier history (so the LOYAL_RETURNER and CHURN_RISK
+    history rules can fire)."""
+    from shoptide.operators.stores import history_enrich
+
+    f = session_features(clicks).drop("repeat_customer", "days_since_last_purchase")
+    h = history_enrich(clicks).select("session_id", "repeat_customer", "days_since_last_purchase")
+    return f.join(h, "session_id", "inner")

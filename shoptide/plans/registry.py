@@ -566,3 +566,156 @@ def q_governance_context(spark, sf):
     from shoptide.operators.stores import governance_context
     clicks, led = _ledger(spark, sf)
     return rounded(governance_context(clicks, led))
+
+
+# --- 2.9 graph ---------------------------------------------------------------------------------
+@register("product_graph", """WITH pop AS (SELECT l_partkey AS pk, COUNT(*) AS popularity FROM lineitem GROUP BY l_partkey),
+prod AS (SELECT p_partkey AS product_id, p_name AS product_name, p_retailprice AS price,
+  COALESCE(popularity, 0) AS popularity, p_type AS category FROM part LEFT JOIN pop ON p_partkey = pk),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY category ORDER BY popularity DESC, product_name, product_id) AS rank FROM prod),
+li AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+comp AS (SELECT DISTINCT a.l_partkey AS product_id, p.p_name AS name FROM li a JOIN li b
+  ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey JOIN part p ON p.p_partkey = b.l_partkey),
+comp3 AS (SELECT product_id, list(name ORDER BY name)[1:3] AS complementary FROM comp GROUP BY product_id),
+sim AS (SELECT DISTINCT a.p_partkey AS product_id, b.p_name AS name FROM part a JOIN part b
+  ON a.p_brand = b.p_brand AND a.p_size // 10 = b.p_size // 10 AND a.p_partkey <> b.p_partkey),
+sim3 AS (SELECT product_id, list(name ORDER BY name)[1:3] AS "similar" FROM sim GROUP BY product_id)
+SELECT category, r.product_id, product_name, round(price, 9) AS price, popularity,
+  COALESCE(complementary, []::VARCHAR[]) AS complementary, COALESCE("similar", []::VARCHAR[]) AS "similar", rank
+FROM ranked r LEFT JOIN comp3 c ON r.product_id = c.product_id LEFT JOIN sim3 s ON r.product_id = s.product_id
+WHERE rank <= 5""")
+def q_product_graph(spark, sf):
+    from shoptide.operators.graph import product_graph
+    return rounded(product_graph(table(spark, sf, "part"), table(spark, sf, "lineitem")))
+
+
+@register("customer_affinity", """WITH pur AS (SELECT o.o_custkey AS customer_id, p.p_type AS category, p.p_retailprice AS price
+  FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN part p ON p.p_partkey = l.l_partkey),
+agg AS (SELECT customer_id, category, COUNT(*) AS purchase_count, SUM(price) AS total_spent FROM pur GROUP BY customer_id, category),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY purchase_count DESC, category) AS rank FROM agg),
+t AS (SELECT * FROM r WHERE rank <= 5)
+SELECT customer_id, category, purchase_count, round(total_spent, 9) AS total_spent, rank,
+  FIRST_VALUE(category) OVER (PARTITION BY customer_id ORDER BY rank) AS top_category,
+  COUNT(*) OVER (PARTITION BY customer_id) AS total_categories FROM t""")
+def q_customer_affinity(spark, sf):
+    from shoptide.operators.graph import customer_affinity
+    return rounded(customer_affinity(table(spark, sf, "orders"), table(spark, sf, "lineitem"), table(spark, sf, "part")))
+
+
+# --- 2.12 vectors, traces, ML -----------------------------------------------------------------------
+@register("similar_topk", """WITH u AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x,
+  generate_subscripts(embedding, 1) AS i FROM embeddings),
+nr AS (SELECT vec_id, sqrt(SUM(x * x)) AS nrm FROM u GROUP BY vec_id),
+d AS (SELECT a.vec_id AS qid, b.vec_id AS cid, SUM(a.x * b.x) AS dot FROM u a JOIN u b ON a.i = b.i AND a.vec_id <> b.vec_id
+  GROUP BY a.vec_id, b.vec_id),
+s AS (SELECT qid, cid, dot / (na.nrm * nb.nrm) AS score FROM d JOIN nr na ON na.vec_id = qid JOIN nr nb ON nb.vec_id = cid),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rank FROM s)
+SELECT qid, cid, round(score, 9) AS score, rank FROM r WHERE rank <= 5""")
+def q_similar_topk(spark, sf):
+    """Exact top-5 cosine neighbours of every embedding among all others."""
+    from shoptide.operators.vectors import cosine_topk
+    e = table(spark, sf, "embeddings")
+    return rounded(cosine_topk(e, e, k=5).select("qid", "cid", "score", "rank"))
+
+
+_SUMMARY_SQL = ("'User exhibited ' || intent || ' intent. SLM proposed ' || proposed_action || "
+                "'. OPA verdict: ' || (CASE WHEN allowed THEN 'ALLOWED' ELSE 'DENIED' END) || '.'")
+
+
+@register("decision_summary", f"""{with_(O.session_pipeline())}
+SELECT session_id, {_SUMMARY_SQL} AS summary FROM sp_pol""")
+def q_decision_summary(spark, sf):
+    from shoptide.operators.vectors import closed_loop
+    return closed_loop(session_actions(session_clicks(spark, sf))).select("session_id", "summary")
+
+
+@register("closed_loop", f"""{with_(O.session_pipeline())},
+sa AS (SELECT *, CASE WHEN allowed THEN guarded_action ELSE 'NO_ACTION' END AS action FROM sp_pol)
+SELECT session_id, CASE WHEN allowed THEN 'ALLOWED' ELSE 'DENIED' END AS opa_verdict,
+  CASE WHEN allowed THEN 'EXECUTED:' || action ELSE 'DENIED:' || proposed_action END AS result,
+  CASE WHEN allowed THEN CASE action {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in __import__('shoptide.operators.vectors', fromlist=['x']).ACTION_HANDLERS.items())} ELSE action END END AS handler,
+  {_SUMMARY_SQL} AS summary FROM sa""")
+def q_closed_loop(spark, sf):
+    from shoptide.operators.vectors import closed_loop
+    c = closed_loop(session_actions(session_clicks(spark, sf)))
+    return c.select("session_id", "opa_verdict", "result", "handler", "summary")
+
+
+_LAB = f"""lab AS (SELECT session_id, rule_intent AS label FROM sp_pol)"""
+
+
+@register("training_set", f"""{with_(O.session_pipeline(), _LAB)}
+SELECT {sel(FEATURE_COLS)}, label FROM feat JOIN lab USING (session_id)""")
+def q_training_set(spark, sf):
+    from shoptide.operators.ml import training_set
+    f = session_features(session_clicks(spark, sf))
+    labels = intent_ops.rule_intent(f).select("session_id", F.col("rule_intent").alias("label"))
+    return rounded(training_set(f, labels).select(*FEATURE_COLS, "label"))
+
+
+@register("label_histogram", f"""{with_(O.session_pipeline(), _LAB)}
+SELECT label, COUNT(*) AS n FROM lab GROUP BY label""")
+def q_label_histogram(spark, sf):
+    f = session_features(session_clicks(spark, sf))
+    lab = intent_ops.rule_intent(f).select(F.col("rule_intent").alias("label"))
+    return lab.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc())
+
+
+@register("stratified_split", f"""{with_(O.session_pipeline(), _LAB)},
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY label ORDER BY md5(session_id), session_id) AS rk,
+  COUNT(*) OVER (PARTITION BY label) AS n FROM lab)
+SELECT session_id, label, CASE WHEN rk <= ceil(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM r""")
+def q_stratified_split(spark, sf):
+    from shoptide.operators.ml import stratified_split
+    f = session_features(session_clicks(spark, sf))
+    lab = intent_ops.rule_intent(f).select("session_id", F.col("rule_intent").alias("label"))
+    return stratified_split(lab).select("session_id", "label", "split")
+
+
+@register("rf_predict")
+def q_rf_predict(spark, sf):
+    """RandomForest (100 trees, depth 12, seed 42) trained on the train split,
+    scored on the test split. Labels are the rule intents (no ground truth in
+    the tables), so this checks the training path, not model quality."""
+    from shoptide.operators.ml import fit_forest, predict_intent, stratified_split, training_set
+    from shoptide.session import materialize
+    f = session_features(session_clicks(spark, sf))
+    lab = intent_ops.rule_intent(f).select("session_id", F.col("rule_intent").alias("label"))
+    ts = materialize(stratified_split(training_set(f, lab)), "training_set")
+    model = fit_forest(ts.where("split = 'train'"))
+    return predict_intent(model, ts.where("split = 'test'")).select("session_id", "label", "ml_intent", "ml_confidence")
+
+
+_ENR = """he AS (SELECT st.session_id,
+  (SELECT COUNT(*) FROM sess p WHERE p.customer_id = st.customer_id AND p.action = 'purchase_complete'
+     AND p.timestamp < st.session_start) > 0 AS repeat_customer,
+  CAST(floor((epoch_us(st.session_start) - epoch_us((SELECT MAX(p.timestamp) FROM sess p WHERE p.customer_id = st.customer_id
+     AND p.action = 'purchase_complete' AND p.timestamp < st.session_start))) / 86400000000) AS INTEGER) AS days_since_last_purchase
+  FROM st),
+fe AS (SELECT f.* EXCLUDE (repeat_customer, days_since_last_purchase), he.repeat_customer, he.days_since_last_purchase
+  FROM feat f JOIN he USING (session_id))"""
+
+
+@register("classification_report", f"""{with_(O.session_pipeline(), O.STARTS, _ENR, O.intent_ctes('fe', 'en'))},
+pr AS (SELECT b.session_id, e.rule_intent AS l, b.rule_intent AS p FROM sp_pol b JOIN en_pred e USING (session_id)),
+pairs AS (SELECT l, p, COUNT(*) AS n FROM pr GROUP BY l, p),
+tp AS (SELECT l AS cls, n AS tp FROM pairs WHERE l = p),
+sup AS (SELECT l AS cls, SUM(n) AS support FROM pairs GROUP BY l),
+prd AS (SELECT p AS cls, SUM(n) AS predicted FROM pairs GROUP BY p),
+cls AS (SELECT cls FROM sup UNION SELECT cls FROM prd),
+r AS (SELECT cls, COALESCE(tp, 0) AS tp, COALESCE(support, 0) AS support, COALESCE(predicted, 0) AS predicted
+  FROM cls LEFT JOIN tp USING (cls) LEFT JOIN sup USING (cls) LEFT JOIN prd USING (cls)),
+r2 AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
+  CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall FROM r)
+SELECT cls AS class, round(precision, 9) AS precision, round(recall, 9) AS recall,
+  round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 9) AS f1,
+  CAST(support AS BIGINT) AS support FROM r2""")
+def q_classification_report(spark, sf):
+    """How the base rules (prediction) agree with the history-enriched rules
+    (label: repeat_customer / days_since_last_purchase filled in)."""
+    from shoptide.operators.ml import classification_report
+    from shoptide.plans.pipeline import enriched_features
+    clicks = session_clicks(spark, sf)
+    base = intent_ops.rule_intent(session_features(clicks)).select("session_id", F.col("rule_intent").alias("prediction"))
+    enr = intent_ops.rule_intent(enriched_features(clicks)).select("session_id", F.col("rule_intent").alias("label"))
+    return rounded(classification_report(base.join(enr, "session_id")))
