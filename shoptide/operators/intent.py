@@ -113,11 +113,12 @@ def intent_override(pred: DataFrame, external: DataFrame) -> DataFrame:
     ext_intent, ext_confidence; at most one row per session (dedup first)."""
     j = pred.join(external, on="session_id", how="left")
     take = F.coalesce(F.col("ext_confidence") > F.col("confidence"), F.lit(False))
-    return (
-        j.withColumn("intent", F.when(take, F.col("ext_intent")).otherwise(F.col("intent")))
-        .withColumn("confidence", F.when(take, F.col("ext_confidence")).otherwise(F.col("confidence")))
-        .withColumn("overridden", take)
-        .drop("ext_intent", "ext_confidence")
+    rest = [c for c in j.columns if c not in ("intent", "confidence", "ext_intent", "ext_confidence")]
+    return j.select(
+        *rest,
+        F.when(take, F.col("ext_intent")).otherwise(F.col("intent")).alias("intent"),
+        F.when(take, F.col("ext_confidence")).otherwise(F.col("confidence")).alias("confidence"),
+        take.alias("overridden"),
     )
 
 

@@ -372,3 +372,24 @@ ASOF = "(SELECT MAX(timestamp) FROM sess)"
 
 STARTS = """st AS (SELECT session_id, first(customer_id ORDER BY timestamp, event_id) AS customer_id,
   MIN(timestamp) AS session_start FROM sess GROUP BY session_id)"""
+
+
+# First balanced {...} of a text: the same segment fold as the Spark job.
+_ESC = "(length(seg) >= 2 AND substring(seg, length(seg) - 1, 1) = '\\')"
+
+
+SEGMENT_RE = r'(?s)[^\\"{}]*(?:\\.|\\|"|\{|\}|$)'
+
+def first_json_sql(text: str) -> str:
+    esc = _ESC
+    step = (f"lambda acc, seg: CASE WHEN acc.fin IS NOT NULL THEN acc ELSE "
+            f"{{'depth': CASE WHEN {esc} OR acc.instr THEN acc.depth WHEN right(seg, 1) = '{{' THEN acc.depth + 1 "
+            f"WHEN right(seg, 1) = '}}' THEN acc.depth - 1 ELSE acc.depth END, "
+            f"'instr': CASE WHEN NOT {esc} AND right(seg, 1) = '\"' THEN NOT acc.instr ELSE acc.instr END, "
+            f"'pos': acc.pos + length(seg), "
+            f"'fin': CASE WHEN NOT {esc} AND NOT acc.instr AND right(seg, 1) = '}}' AND acc.depth - 1 = 0 "
+            f"THEN acc.pos + length(seg) END}} END")
+    rest = f"substring({text}, strpos({text}, '{{'))"
+    segs = "regexp_extract_all(" + rest + ", '" + SEGMENT_RE + "')"
+    fold = f"list_reduce({segs}, {step}, {{'depth': 0, 'instr': false, 'pos': 0, 'fin': NULL::INTEGER}})"
+    return f"CASE WHEN strpos({text}, '{{') > 0 THEN substring({rest}, 1, ({fold}).fin) END"

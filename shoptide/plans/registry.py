@@ -719,3 +719,176 @@ def q_classification_report(spark, sf):
     base = intent_ops.rule_intent(session_features(clicks)).select("session_id", F.col("rule_intent").alias("prediction"))
     enr = intent_ops.rule_intent(enriched_features(clicks)).select("session_id", F.col("rule_intent").alias("label"))
     return rounded(classification_report(base.join(enr, "session_id")))
+
+
+# --- 2.6 model responses and search text ------------------------------------------------------
+_FALLBACK = " ".join(f"WHEN contains(COALESCE(text, ''), '{a}') THEN '{a}'"
+                     for a in ["OFFER_BUNDLE", "SEND_ABANDON_EMAIL", "OFFER_DISCOUNT", "SEND_TO_HUMAN", "SHOW_URGENCY"])
+_PLAN_SQL = f"""WITH resp AS (SELECT page_id AS session_id, html AS text, CAST(NULL AS VARCHAR) AS error FROM pages),
+ex AS (SELECT *, {O.first_json_sql('text')} AS json_text FROM resp),
+ok AS (SELECT *, COALESCE(json_text IS NOT NULL AND json_valid(json_text), FALSE) AS valid FROM ex),
+res AS (SELECT session_id,
+  CASE WHEN error IS NOT NULL THEN 'error' WHEN valid THEN 'parsed' ELSE 'keyword_fallback' END AS outcome,
+  CASE WHEN error IS NOT NULL THEN 'NO_ACTION' WHEN valid THEN COALESCE(json_extract_string(json_text, '$.action'), 'NO_ACTION')
+       ELSE CASE {_FALLBACK} ELSE 'NO_ACTION' END END AS action,
+  CASE WHEN error IS NOT NULL THEN 0.0 WHEN valid THEN COALESCE(TRY_CAST(json_extract_string(json_text, '$.confidence') AS DOUBLE), 0.5)
+       ELSE 0.6 END AS confidence,
+  CASE WHEN error IS NOT NULL THEN 'Planner error: ' || substring(error, 1, 200)
+       WHEN valid THEN COALESCE(json_extract_string(json_text, '$.reasoning'), 'LLM analysis')
+       ELSE substring(COALESCE(text, ''), 1, 500) END AS reasoning
+  FROM ok)"""
+
+
+def _page_responses(spark, sf):
+    return table(spark, sf, "pages").select(F.col("page_id").alias("session_id"), F.col("html").alias("text"),
+                                            F.lit(None).cast("string").alias("error"))
+
+
+@register("planner_resolution", f"{_PLAN_SQL}\nSELECT session_id, outcome, action, confidence, reasoning FROM res")
+def q_planner_resolution(spark, sf):
+    """Raw planner texts (web pages as stand-in responses, whole texts) ->
+    first balanced JSON object -> proposal, or the keyword fallback."""
+    from shoptide.operators.text import planner_resolution
+    return planner_resolution(_page_responses(spark, sf)).select("session_id", "outcome", "action", "confidence", "reasoning")
+
+
+@register("response_outcomes", f"{_PLAN_SQL}\nSELECT outcome, COUNT(*) AS n FROM res GROUP BY outcome")
+def q_response_outcomes(spark, sf):
+    from shoptide.operators.text import planner_resolution, response_outcomes
+    return response_outcomes(planner_resolution(_page_responses(spark, sf)))
+
+
+_SLM_INPUT_SQL = """slm_in AS (SELECT conv_id AS session_id, turn,
+  CASE WHEN turn % 7 = 0 THEN '' WHEN turn % 5 = 0 THEN '{}'
+  ELSE '{"intent": "' || CASE turn % 4 WHEN 0 THEN 'BROWSING' WHEN 1 THEN 'CARTING' WHEN 2 THEN 'CHECKOUT_INTENT'
+    ELSE 'PRODUCT_RETURN' END || '", "confidence": ' || printf('%.1f', (turn % 10) / 10.0) || '}' END AS text
+  FROM conversations WHERE role = 'assistant')"""
+
+
+def _slm_inputs(spark, sf):
+    """Stand-in enrichment responses, one per assistant turn (fixed shapes by turn)."""
+    c = table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    t = F.col("turn")
+    intent = (F.when(t % 4 == 0, "BROWSING").when(t % 4 == 1, "CARTING").when(t % 4 == 2, "CHECKOUT_INTENT")
+              .otherwise("PRODUCT_RETURN"))
+    txt = (F.when(t % 7 == 0, F.lit("")).when(t % 5 == 0, F.lit("{}"))
+           .otherwise(F.concat(F.lit('{"intent": "'), intent, F.lit('", "confidence": '),
+                               F.format_string("%.1f", (t % 10) / 10.0), F.lit("}"))))
+    return c.select(F.col("conv_id").alias("session_id"), "turn", txt.alias("text"))
+
+
+@register("slm_resolution", f"""WITH {_SLM_INPUT_SQL}
+SELECT session_id, turn, COALESCE(json_extract_string(text, '$.intent'), 'BROWSING') AS ext_intent,
+  COALESCE(TRY_CAST(json_extract_string(text, '$.confidence') AS DOUBLE), 0.0) AS ext_confidence,
+  COALESCE(json_extract_string(text, '$.reasoning'), '') AS ext_reasoning
+FROM slm_in WHERE trim(text) <> '' AND json_valid(text)""")
+def q_slm_resolution(spark, sf):
+    """Enrichment responses -> (intent, confidence, reasoning) with defaults;
+    empty or unparsable content gives no row."""
+    return _slm_rows(spark, sf)
+
+
+def _slm_rows(spark, sf):
+    from shoptide.operators.text import slm_resolution
+    inp = _slm_inputs(spark, sf).withColumn("key", F.struct("session_id", "turn"))
+    out = slm_resolution(inp.select(F.col("key").alias("session_id"), "text"))
+    return out.select(F.col("session_id.session_id").alias("session_id"), F.col("session_id.turn").alias("turn"),
+                      "ext_intent", "ext_confidence", "ext_reasoning")
+
+
+@register("intent_override", f"""{with_(O.session_pipeline())},
+ext AS (SELECT session_id, CASE WHEN checkouts > 0 THEN 'CHECKOUT_INTENT' ELSE 'BROWSING' END AS ext_intent,
+  CAST(printf('%.2f', LEAST(1.0, total_actions / 10.0)) AS DOUBLE) AS ext_confidence FROM sp_pol)
+SELECT session_id, CASE WHEN ext_confidence > confidence THEN ext_intent ELSE intent END AS intent,
+  round(CASE WHEN ext_confidence > confidence THEN ext_confidence ELSE confidence END, 9) AS confidence,
+  COALESCE(ext_confidence > confidence, FALSE) AS overridden
+FROM sp_pol LEFT JOIN ext USING (session_id)""")
+def q_intent_override(spark, sf):
+    """Per-session enrichment responses (stand-in JSON: CHECKOUT_INTENT when a
+    checkout started, else BROWSING; confidence min(1, actions/10)) are parsed
+    and override the prediction when strictly more confident."""
+    from shoptide.operators.text import slm_resolution
+    pred = intent_ops.final_intent(session_features(session_clicks(spark, sf)))
+    resp = pred.select("session_id", F.concat(
+        F.lit('{"intent": "'), F.when(F.col("checkouts") > 0, "CHECKOUT_INTENT").otherwise("BROWSING"),
+        F.lit('", "confidence": '), F.format_string("%.2f", F.least(F.lit(1.0), F.col("total_actions") / 10.0)),
+        F.lit("}")).alias("text"))
+    ext = slm_resolution(resp).select("session_id", "ext_intent", "ext_confidence")
+    out = intent_ops.intent_override(pred, ext)
+    return rounded(out.select("session_id", "intent", "confidence", "overridden"))
+
+
+@register("search_queries", f"""{with_(O.CLICKS, O.SESS)}
+SELECT session_id, event_id, timestamp, json_extract_string(metadata, '$.query') AS query FROM sess WHERE action = 'search_query'""")
+def q_search_queries(spark, sf):
+    from shoptide.operators.text import search_queries
+    return search_queries(session_clicks(spark, sf))
+
+
+# --- 2.7 routing, escalation, critic -------------------------------------------------------------
+_ROUTED = """routed AS (SELECT *, CASE WHEN COALESCE(confidence < 0.7, FALSE) OR intent IN ('CHURN_RISK', 'LOYAL_RETURNER')
+  OR COALESCE(exploration_ratio, 0.0) > 0.6 THEN 'system_2' ELSE 'system_1' END AS system FROM sp_pol)"""
+
+
+@register("escalation_batch", f"""{with_(O.session_pipeline(), _ROUTED)},
+ev2 AS (SELECT s.*, ROW_NUMBER() OVER (PARTITION BY s.session_id ORDER BY s.timestamp DESC, s.event_id DESC) AS recency_rank
+  FROM sess s WHERE s.session_id IN (SELECT session_id FROM routed WHERE system = 'system_2'))
+SELECT session_id, event_id, action, recency_rank FROM ev2 WHERE recency_rank <= 50""")
+def q_escalation_batch(spark, sf):
+    from shoptide.operators.routing import escalation_batch
+    clicks = session_clicks(spark, sf)
+    routed = route(intent_ops.final_intent(session_features(clicks)))
+    return escalation_batch(routed, clicks).select("session_id", "event_id", "action", "recency_rank")
+
+
+@register("critic_resolution", f"""{with_(O.session_pipeline(), _ROUTED)}
+SELECT session_id, CASE WHEN allowed THEN proposed_action ELSE 'NO_ACTION' END AS final_action,
+  CASE WHEN allowed THEN 'rule proposal' ELSE 'OPA denied ''' || proposed_action || ''': policy violation' END AS final_reasoning,
+  CASE WHEN allowed THEN 'system_2_critic_approved' ELSE 'system_2_critic_rejected' END AS source
+FROM routed WHERE system = 'system_2'""")
+def q_critic_resolution(spark, sf):
+    """Critic over the escalated sessions' proposals (no rewrite table given)."""
+    from shoptide.operators.routing import critic_resolution
+    pred = session_predictions(session_clicks(spark, sf))
+    esc = route(pred).where(F.col("system") == "system_2")
+    props = esc.select("session_id", F.col("proposed_action").alias("action"),
+                       F.lit("rule proposal").alias("reasoning"), "allowed")
+    return critic_resolution(props).select("session_id", "final_action", "final_reasoning", "source")
+
+
+# --- 2.2/2.9 reads and hydration --------------------------------------------------------------------
+@register("session_events", f"""{with_(O.CLICKS, O.SESS)}
+SELECT session_id, event_id, timestamp, action,
+  ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY timestamp, event_id) AS seq FROM sess""")
+def q_session_events(spark, sf):
+    """Events of every session in time order with their position (a chunked scan)."""
+    from shoptide.functions.running import running_scan, time_chunk
+    c = session_clicks(spark, sf).withColumn("__chunk", time_chunk("timestamp", 3600))
+    r = running_scan(c, by=["session_id"], chunk="__chunk", order=["timestamp", "event_id"],
+                     aggs={"seq": ("sum", F.lit(1))})
+    return r.select("session_id", "event_id", "timestamp", "action", F.col("seq").cast("long").alias("seq"))
+
+
+@register("hydrate", f"""{with_(O.CLICKS, O.SESS, _REG_SQL)}
+SELECT e.session_id, e.event_id, e.timestamp, e.action, r.customer_id, r.created_at, r.expires_at
+FROM sess e JOIN reg r ON e.session_id = r.session_id""")
+def q_hydrate(spark, sf):
+    """Session record + events + customer stub, joined on session_id."""
+    from shoptide.operators.stores import session_registry
+    c = session_clicks(spark, sf)
+    reg = session_registry(c).select("session_id", "customer_id", "created_at", "expires_at")
+    return c.select("session_id", "event_id", "timestamp", "action").join(reg, "session_id")
+
+
+# --- 2.11 sliding activity (batch form of the streaming window) ---------------------------------
+@register("sliding_activity", f"""{with_(O.CLICKS, O.SESS)},
+w AS (SELECT action, time_bucket(INTERVAL 1 MINUTE, timestamp) - to_minutes(CAST(o AS BIGINT)) AS window_start
+  FROM sess, range(0, 5) r(o))
+SELECT window_start, window_start + INTERVAL 5 MINUTE AS window_end, action, COUNT(*) AS n FROM w GROUP BY window_start, action""")
+def q_sliding_activity(spark, sf):
+    """Event counts per action in 5-minute windows sliding by 1 minute."""
+    c = session_clicks(spark, sf)
+    g = c.groupBy(F.window(F.col("timestamp"), "5 minutes", "1 minute").alias("w"), "action").agg(
+        F.count(F.lit(1)).alias("n"))
+    return g.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "action", "n")
