@@ -892,3 +892,65 @@ def q_sliding_activity(spark, sf):
         F.count(F.lit(1)).alias("n"))
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                     F.col("w.end").cast("timestamp_ntz").alias("window_end"), "action", "n")
+
+
+# --- 2.11 streaming -----------------------------------------------------------------------------
+def _stream_dirs(spark):
+    import uuid
+    from shoptide.session import checkpoint_dir
+    base = f"{checkpoint_dir(spark).rstrip('/')}/shoptide/stream-{uuid.uuid4().hex[:12]}"
+    return {k: f"{base}/{k}" for k in ("feed", "store", "quarantine", "decisions", "sessions",
+                                       "ck_ingest", "ck_decisions", "ck_sessions")}
+
+
+def _run_streams(spark, sf, defects: bool, decisions: bool = False, sessions: bool = False, phases: int = 3):
+    """Feed the raw events in ``phases`` time-ordered drops; after each drop the
+    streams resume from their checkpoints (a restart per phase)."""
+    from shoptide.sources.events import raw_event_json
+    from shoptide.streaming.pipelines import decision_stream, ingest_stream, sessionize_stream
+    d = _stream_dirs(spark)
+    clicks = session_clicks(spark, sf)
+    day = F.floor(F.unix_micros(F.col("timestamp").cast("timestamp")) / F.lit(86400 * 1_000_000))
+    lo_hi = clicks.agg(F.min(day).alias("lo"), F.max(day).alias("hi")).first()
+    span = (lo_hi["hi"] - lo_hi["lo"] + 1) / phases
+    feed = raw_event_json(clicks, defects=defects).join(
+        clicks.select(F.col("event_id").alias("source_event_id"), F.floor((day - F.lit(lo_hi["lo"])) / F.lit(span)).alias("phase")),
+        "source_event_id")
+    for p in range(phases):
+        feed.where(F.col("phase") == p).select("value").write.mode("overwrite").text(f"{d['feed']}/phase={p}")
+        ingest_stream(spark, d["feed"], d["store"], d["quarantine"], d["ck_ingest"]).awaitTermination()
+        if decisions:
+            decision_stream(spark, d["store"], d["decisions"], d["ck_decisions"]).awaitTermination()
+        if sessions:
+            sessionize_stream(spark, d["store"], d["sessions"], d["ck_sessions"]).awaitTermination()
+    return d
+
+
+@register("stream_ingest", SQL["valid_events"])
+def q_stream_ingest(spark, sf):
+    """Structured Streaming ingest of the raw feed (with defects) in three drops;
+    the event store it writes must equal the batch ``valid_events``."""
+    d = _run_streams(spark, sf, defects=True)
+    return rounded(spark.read.parquet(d["store"]).select(*_VE))
+
+
+@register("stream_decisions", SQL["action_decisions"])
+def q_stream_decisions(spark, sf):
+    """The per-event decision loop as a stream over a clean feed in three drops;
+    must equal the batch ``action_decisions``."""
+    d = _run_streams(spark, sf, defects=False, decisions=True)
+    return rounded(spark.read.parquet(d["decisions"]).select(*_DEC, "action_id"))
+
+
+@register("stream_sessionize", f"""{with_(O.CLICKS, O.SESS)},
+ss AS (SELECT customer_id, MIN(timestamp) AS session_start, MAX(timestamp) AS session_end, COUNT(*) AS n_events
+  FROM sess GROUP BY session_id, customer_id)
+SELECT * FROM ss WHERE epoch_us(session_end) + 21600000000 <= epoch_us({O.ASOF}) - 86400000000""")
+def q_stream_sessionize(spark, sf):
+    """Event-time sessions (session_window, 6 h gap, 24 h watermark) from the
+    streamed event store. Append mode emits the sessions the final watermark
+    has closed; they must equal the batch gap-and-island sessions that end
+    before it."""
+    from shoptide.streaming.pipelines import latest_sessions
+    d = _run_streams(spark, sf, defects=False, sessions=True)
+    return latest_sessions(spark, d["sessions"])

@@ -92,11 +92,14 @@ def parse_json_values(values: DataFrame, value_col: str = "value") -> DataFrame:
     return typed_events(flat)
 
 
-def raw_event_json(clicks: DataFrame) -> DataFrame:
+def raw_event_json(clicks: DataFrame, defects: bool = True) -> DataFrame:
     """Stand-in raw feed for the ingest jobs: each click as one JSON text, with
     fixed defects by the ``k`` property (k % 10 = 7: truncated text; 3: no
-    session_id; 5: non-numeric value; 1: no event_id). Only shapes input."""
+    session_id; 5: non-numeric value; 1: no event_id) unless ``defects`` is
+    False. Only shapes input."""
     k = F.get_json_object("metadata", "$.k").cast("int") % 10
+    if not defects:
+        k = F.lit(0)
     q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     ts = F.date_format(F.col("timestamp").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     val = F.when(k == 5, F.lit('"n/a"')).otherwise(F.format_string("%.2f", F.col("value")))
