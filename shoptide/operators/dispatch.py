@@ -76,16 +76,14 @@ def session_decision(df: DataFrame) -> DataFrame:
     return g.select("*", act.alias("action"), reason.alias("reason"))
 
 
-def dispatch_chain(events: DataFrame, capable: Column, cooldown_minutes: int = COOLDOWN_MINUTES) -> DataFrame:
-    """Greedy cooldown chain over capable events: (session_id, event_id) of dispatches.
-
-    Fold per session over the time-sorted capable events, keeping the last
-    dispatch time; an event dispatches when it is at least the cooldown after it.
-    Non-capable events never enter the fold (``collect_list`` skips the nulls;
-    a ``when`` instead of a ``filter`` keeps Catalyst from inlining the whole
-    policy expression into a pushed-down predicate).
-    """
-    cd = cooldown_minutes * 60 * 1_000_000
+FOLD_LIMIT = 50_000  # capable events per session handled by the in-task fold
+
+
+def _fold_chain(events: DataFrame, capable: Column, cd: int) -> DataFrame:
+    """Greedy chain by a fold per session over its time-sorted capable events,
+    keeping the last dispatch time. Non-capable events never enter the list
+    (``collect_list`` skips nulls; a ``when`` rather than a ``filter`` keeps
+    Catalyst from inlining the policy expression into a pushed predicate)."""
     item = F.when(capable, F.struct(_micros(F.col("timestamp")).alias("t"), F.col("event_id").alias("e")))
     g = events.groupBy("session_id").agg(F.array_sort(F.collect_list(item)).alias("evs"))
     init = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<string>").alias("d"))
@@ -98,10 +96,72 @@ def dispatch_chain(events: DataFrame, capable: Column, cooldown_minutes: int = C
     return folded.select("session_id", F.explode("d").alias("event_id"))
 
 
+def _doubling_chain(cap: DataFrame, cd: int, max_len: int, chunk_seconds: int) -> DataFrame:
+    """Greedy chain by pointer doubling, for sessions too large for one task.
+
+    ``cap``: capable events (session_id, event_id, t micros). next(c) is the
+    first capable event at or after t_c + cooldown (ties by event id), found by
+    a descending as-of scan. The chain is the orbit of each session's first
+    capable event: starting from R = {first}, round k adds next^(2^k)(R) and
+    squares the jump table. All joins are on (session_id, event_id), so a hot
+    session spreads over tasks; each round is written out to cut lineage."""
+    from shoptide.session import materialize
+
+    width = chunk_seconds * 1_000_000
+    q = cap.select("session_id", (F.col("t") + F.lit(cd)).alias("__time"), F.lit(0).alias("__kind"),
+                   F.col("event_id").alias("node"), F.lit(None).cast("string").alias("__cand"))
+    c = cap.select("session_id", F.col("t").alias("__time"), F.lit(1).alias("__kind"),
+                   F.lit(None).cast("string").alias("node"), F.col("event_id").alias("__cand"))
+    u = q.unionByName(c).withColumn("__chunk", -F.floor(F.col("__time") / F.lit(width)))
+    key = F.when(F.col("__kind") == 1, F.struct(F.col("__time").alias("t"), F.col("__cand").alias("e")))
+    s = running_scan(u, by=["session_id"], chunk="__chunk",
+                     order=[F.col("__time").desc(), F.col("__kind").desc(), F.col("__cand").desc()],
+                     aggs={"__nx": ("min", key)})
+    jump = materialize(s.where(F.col("__kind") == 0).select("session_id", "node", F.col("__nx.e").alias("to")),
+                       "chain-jump")
+    first = cap.groupBy("session_id").agg(F.min_by("event_id", F.struct("t", "event_id")).alias("node"))
+    reach = materialize(first, "chain-reach")
+    span = 1
+    while span < max_len:
+        step = reach.join(jump, ["session_id", "node"]).where(F.col("to").isNotNull()).select(
+            "session_id", F.col("to").alias("node"))
+        reach = materialize(reach.unionByName(step), "chain-reach")
+        span *= 2
+        if span < max_len:
+            j2 = jump.alias("a").join(jump.alias("b"), (F.col("a.session_id") == F.col("b.session_id"))
+                                      & (F.col("a.to") == F.col("b.node")), "left")
+            jump = materialize(j2.select(F.col("a.session_id").alias("session_id"), F.col("a.node").alias("node"),
+                                         F.col("b.to").alias("to")), "chain-jump")
+    return reach.select("session_id", F.col("node").alias("event_id"))
+
+
+def dispatch_chain(events: DataFrame, capable: Column, cooldown_minutes: int = COOLDOWN_MINUTES,
+                   fold_limit: int = FOLD_LIMIT, chunk_seconds: int = 3600) -> DataFrame:
+    """(session_id, event_id) of the dispatches: the greedy cooldown chain.
+
+    Sessions with at most ``fold_limit`` capable events fold in one task each
+    (a bounded list); larger sessions use :func:`_doubling_chain`, whose rounds
+    are set by their largest capable count (one scalar read). Both are exact.
+    """
+    cd = cooldown_minutes * 60 * 1_000_000
+    cap = events.select("session_id", "event_id", _micros(F.col("timestamp")).alias("t"),
+                        capable.alias("__cap")).where(F.col("__cap")).drop("__cap")
+    counts = cap.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    big = counts.where(F.col("n") > fold_limit)
+    small_events = events.join(big.select("session_id"), "session_id", "left_anti")
+    folded = _fold_chain(small_events, capable, cd)
+    max_len = big.agg(F.max("n")).first()[0]
+    if max_len is None:
+        return folded
+    big_cap = cap.join(big.select("session_id"), "session_id", "left_semi")
+    return folded.unionByName(_doubling_chain(big_cap, cd, int(max_len), chunk_seconds))
+
+
 def action_decisions(
     scored: DataFrame,
     cooldown_minutes: int = COOLDOWN_MINUTES,
     chunk_seconds: int = 3600,
+    fold_limit: int = FOLD_LIMIT,
 ) -> DataFrame:
     """Per-event final action with suppression.
 
@@ -112,7 +172,7 @@ def action_decisions(
     """
     g = dispatch_guards(scored)
     capable_cond = F.col("allowed") & (F.col("guarded_action") != NO_ACTION)
-    chain = dispatch_chain(g, capable_cond, cooldown_minutes)
+    chain = dispatch_chain(g, capable_cond, cooldown_minutes, fold_limit=fold_limit, chunk_seconds=chunk_seconds)
     g = g.join(chain.select("session_id", "event_id", F.lit(True).alias("__disp")),
                on=["session_id", "event_id"], how="left")
     # latest dispatch at or before each event (for non-dispatch rows: strictly before)
