@@ -52,9 +52,7 @@ def conversion(
         if "as_of" in actions.columns:
             as_of = F.col("as_of")
         else:
-            latest = clicks.agg(F.max("timestamp").alias("__asof"))
-            out = out.crossJoin(F.broadcast(latest))  # one row: the global max
-            as_of = F.col("__asof")
+            as_of = clicks.agg(F.max("timestamp")).scalar()  # scalar subquery: the latest event time
     t = _us("created_at")
     undecided = (_us(as_of) - t) <= F.lit((window_minutes + grace_minutes) * US_PER_MIN)
     hit = F.coalesce(F.col("__next_conv") <= t + F.lit(window_minutes * US_PER_MIN), F.lit(False))
@@ -103,11 +101,9 @@ def drift(metrics: DataFrame, history: int = DRIFT_HISTORY, threshold: float = D
     actions -> true. The look-back is an equi-join on batch_no - k for
     k = 1..history (a fixed 20-fold fan-out of the small metrics table).
     """
-    spark = metrics.sparkSession
-    offsets = spark.range(1, history + 1).select(F.col("id").alias("__k"))
     prev = metrics.select(F.col("batch_no").alias("__b"), F.col("conversion_rate").alias("__r"))
-    pairs = metrics.select("batch_no").crossJoin(F.broadcast(offsets)).select(
-        "batch_no", (F.col("batch_no") - F.col("__k")).alias("__b"))
+    back = F.transform(F.sequence(F.lit(1), F.lit(history)), lambda k: F.col("batch_no") - k)
+    pairs = metrics.select("batch_no", F.explode(back).alias("__b"))
     hist = pairs.join(prev, on="__b", how="inner").groupBy("batch_no").agg(
         F.count(F.lit(1)).alias("history_len"), F.avg("__r").alias("history_avg"))
     m = metrics.join(hist, on="batch_no", how="left").withColumn(
@@ -155,8 +151,8 @@ def ops_counters(spark: SparkSession, clicks: DataFrame, decisions: DataFrame, a
     sup = decisions.agg(F.sum(F.when(F.col("reason") == "SUPPRESSED_WITHIN_15MIN", 1).otherwise(0)).cast("long")
                         .alias("value")).select(F.lit("actions_suppressed").alias("metric"), F.lit("").alias("label"), "value")
     last = clicks.groupBy("session_id").agg(F.max("timestamp").alias("__last"))
-    end = clicks.agg(F.max("timestamp").alias("__end"))
-    act = last.crossJoin(F.broadcast(end)).where(
-        _us("__last") >= _us("__end") - F.lit(24 * 60 * US_PER_MIN)).agg(F.count(F.lit(1)).alias("value")).select(
+    end = clicks.agg(F.max("timestamp")).scalar()
+    act = last.where(
+        _us("__last") >= _us(end) - F.lit(24 * 60 * US_PER_MIN)).agg(F.count(F.lit(1)).alias("value")).select(
         F.lit("active_sessions").alias("metric"), F.lit("").alias("label"), "value")
     return ev.unionByName(pred).unionByName(disp).unionByName(sup).unionByName(act)

@@ -85,9 +85,12 @@ def product_graph(part: DataFrame, lineitem: DataFrame, max_results: int = 5) ->
     """Per category: the ``max_results`` most popular products (ties: name, id)
     with up to three complementary and three similar product names (empty list
     when none). Neighbours are computed only for the selected products."""
+    from shoptide.session import materialize
+
     p = products(part, lineitem)
     w = Window.partitionBy("category").orderBy(F.col("popularity").desc(), F.col("product_name"), F.col("product_id"))
-    top = p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_results)
+    # the selected products feed three branches; write them once (max_results per category)
+    top = materialize(p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_results), "top-products")
     comp = complementary(lineitem, part, of=top)
     sim = similar(part, of=top)
     empty = F.array().cast("array<string>")

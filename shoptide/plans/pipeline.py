@@ -39,9 +39,17 @@ def scored_events(clicks: DataFrame, max_events: int | None = None) -> DataFrame
     return policy_allow(with_proposed_action(final_intent(rf)))
 
 
+DECISION_INPUTS = ["session_id", "event_id", "timestamp", "customer_id", "action", "intent", "confidence", "method",
+                   "rule_intent", "calibrated_confidence", "proposed_action", "allowed", "total_cart_value",
+                   "checkouts", "cart_adds", "session_duration_sec", "exploration_ratio"]
+
+
 def event_decisions(clicks: DataFrame, cooldown_minutes: int = 15, max_events: int | None = None) -> DataFrame:
-    """The per-event decision loop in batch: one decision per arriving event."""
-    scored = materialize(scored_events(clicks, max_events=max_events), "scored_events")
+    """The per-event decision loop in batch: one decision per arriving event.
+
+    The scored events are written once (only the columns the decision and its
+    consumers read) and the cooldown chain runs over that table."""
+    scored = materialize(scored_events(clicks, max_events=max_events).select(*DECISION_INPUTS), "scored_events")
     return action_decisions(scored, cooldown_minutes=cooldown_minutes)
 
 
@@ -68,7 +76,7 @@ def evaluation_outcomes(clicks: DataFrame, ledger: DataFrame) -> DataFrame:
     """Ledger rows in evaluation batches with their conversion outcome."""
     from shoptide.operators.evaluate import batch_assign, conversion
 
-    return conversion(batch_assign(ledger), clicks)
+    return conversion(materialize(batch_assign(ledger), "evaluation_batches"), clicks)
 
 
 def enriched_features(clicks: DataFrame) -> DataFrame:

@@ -381,8 +381,9 @@ UNION ALL SELECT 'active_sessions', '', COUNT(*) FROM lastev
   WHERE epoch_us(l) >= (SELECT epoch_us(MAX(timestamp)) FROM sess) - 86400000000""")
 def q_ops_counters(spark, sf):
     from shoptide.operators.evaluate import ops_counters
+    from shoptide.session import materialize
     clicks = session_clicks(spark, sf)
-    return ops_counters(spark, clicks, event_decisions(clicks, 15))
+    return ops_counters(spark, clicks, materialize(event_decisions(clicks, 15), "decisions"))
 
 
 # --- 2.1 ingest ------------------------------------------------------------------------------
@@ -454,7 +455,8 @@ def q_bounded_history(spark, sf):
 
 
 def _asof(clicks):
-    return clicks.agg(F.max("timestamp").alias("__asof"))
+    """The latest event time as a scalar subquery."""
+    return clicks.agg(F.max("timestamp")).scalar()
 
 
 @register("event_ttl", f"""{with_(O.CLICKS, O.SESS)}
@@ -462,7 +464,7 @@ SELECT event_id, session_id, timestamp FROM sess WHERE epoch_us(timestamp) >= ep
 def q_event_ttl(spark, sf):
     from shoptide.operators.stores import event_ttl
     c = session_clicks(spark, sf)
-    kept = event_ttl(c.crossJoin(F.broadcast(_asof(c))), F.col("__asof"))
+    kept = event_ttl(c, _asof(c))
     return kept.select("event_id", "session_id", "timestamp")
 
 
@@ -483,8 +485,7 @@ SELECT {', '.join(_REG)} FROM reg WHERE epoch_us(expires_at) >= epoch_us({O.ASOF
 def q_active_sessions(spark, sf):
     from shoptide.operators.stores import active_sessions, session_registry
     c = session_clicks(spark, sf)
-    r = session_registry(c).crossJoin(F.broadcast(_asof(c)))
-    return active_sessions(r, F.col("__asof")).select(*_REG)
+    return active_sessions(session_registry(c), _asof(c)).select(*_REG)
 
 
 @register("expired_sessions", f"""{with_(O.CLICKS, O.SESS, _REG_SQL)}
@@ -492,8 +493,7 @@ SELECT {', '.join(_REG)} FROM reg WHERE epoch_us(expires_at) < epoch_us({O.ASOF}
 def q_expired_sessions(spark, sf):
     from shoptide.operators.stores import expired_sessions, session_registry
     c = session_clicks(spark, sf)
-    r = session_registry(c).crossJoin(F.broadcast(_asof(c)))
-    return expired_sessions(r, F.col("__asof")).select(*_REG)
+    return expired_sessions(session_registry(c), _asof(c)).select(*_REG)
 
 
 _CP = ["customer_id", "total_sessions", "total_purchases", "lifetime_value", "avg_session_duration",
