@@ -202,6 +202,19 @@ def policy_ctes(src: str, prefix: str) -> str:
   FROM {prefix}_ctx)"""
 
 
+def policy_ctes_ctx(src: str, prefix: str, ctx: str) -> str:
+    """Policy CTEs with the customer side taken from a context table."""
+    g_act, g_reason = guards_sql()
+    absent = ("CAST(NULL AS VARCHAR) AS customer_segment, CAST(NULL AS INTEGER) AS inventory_level, "
+              "CAST(NULL AS VARCHAR) AS feature_intent, CAST(NULL AS VARCHAR) AS feature_segment, 0.0 AS discount_value")
+    return f"""{prefix}_ctx AS (SELECT s.*, c.total_purchases, c.discounts_this_month, c.last_discount_within_hours, {absent}
+  FROM {src} s LEFT JOIN {ctx} c ON s.session_id = c.session_id),
+{prefix}_pol AS (
+  SELECT *, {allow_sql()} AS allowed, {reason_sql()} AS policy_reason,
+    {g_act} AS guarded_action, {g_reason} AS guard_reason
+  FROM {prefix}_ctx)"""
+
+
 def session_pipeline() -> str:
     """WITH-list up to per-session policy: sp_pol."""
     return ",\n".join([CLICKS, SESS, EV, FEAT, intent_ctes("feat", "sp"), policy_ctes("sp_pred", "sp")])

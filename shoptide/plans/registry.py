@@ -326,8 +326,11 @@ _EB = ["batch_no", "actions_evaluated", "converted", "undecided", "conversion_ra
 SELECT batch_no, actions_evaluated, converted, undecided, round(conversion_rate, 9) AS conversion_rate,
   round(conversion_rate, 9) AS critic_rewrite_success_rate, drift_flagged, created_at FROM dr2""")
 def q_evaluation_batch(spark, sf):
+    """Batch metrics are persisted (the metrics table) before drift reads them twice."""
     from shoptide.operators.evaluate import drift, evaluation_batches
-    return rounded(drift(evaluation_batches(_outcomes(spark, sf))).select(*_EB))
+    from shoptide.session import materialize
+    metrics = materialize(evaluation_batches(_outcomes(spark, sf)), "metrics")
+    return rounded(drift(metrics).select(*_EB))
 
 
 @register("drift", f"""{_EVAL_BASE}
@@ -335,7 +338,8 @@ SELECT batch_no, round(conversion_rate, 9) AS conversion_rate, history_len, roun
   drift_flagged FROM dr2""")
 def q_drift(spark, sf):
     from shoptide.operators.evaluate import drift, evaluation_batches
-    d = drift(evaluation_batches(_outcomes(spark, sf)))
+    from shoptide.session import materialize
+    d = drift(materialize(evaluation_batches(_outcomes(spark, sf)), "metrics"))
     return rounded(d.select("batch_no", "conversion_rate", "history_len", "history_avg", "drift_flagged"))
 
 
@@ -548,7 +552,7 @@ def q_history_enrich(spark, sf):
     return history_enrich(session_clicks(spark, sf))
 
 
-@register("governance_context", f"""{_LEDGER_BASE}, {O.STARTS},
+_GC = f"""{O.STARTS},
 disc AS (SELECT st.customer_id, l.created_at FROM ledger l JOIN st ON l.session_id = st.session_id
   WHERE l.action_type IN ('APPLY_DISCOUNT', 'OFFER_DISCOUNT')),
 gc AS (SELECT st.*,
@@ -557,11 +561,15 @@ gc AS (SELECT st.*,
   (SELECT COUNT(*) FROM disc d WHERE d.customer_id = st.customer_id AND d.created_at < st.session_start
      AND d.created_at >= date_trunc('month', st.session_start)) AS discounts_this_month,
   (SELECT MAX(d.created_at) FROM disc d WHERE d.customer_id = st.customer_id AND d.created_at < st.session_start) AS last_disc
-  FROM st)
-SELECT session_id, customer_id, CAST(total_purchases AS INTEGER) AS total_purchases,
+  FROM st),
+gc2 AS (SELECT session_id, customer_id, CAST(total_purchases AS INTEGER) AS total_purchases,
   CAST(discounts_this_month AS INTEGER) AS discounts_this_month,
-  round((epoch_us(session_start) - epoch_us(last_disc)) / 3600000000.0, 9) AS last_discount_within_hours
-FROM gc""")
+  (epoch_us(session_start) - epoch_us(last_disc)) / 3600000000.0 AS last_discount_within_hours FROM gc)"""
+
+
+@register("governance_context", f"""{_LEDGER_BASE}, {_GC}
+SELECT session_id, customer_id, total_purchases, discounts_this_month,
+  round(last_discount_within_hours, 9) AS last_discount_within_hours FROM gc2""")
 def q_governance_context(spark, sf):
     from shoptide.operators.stores import governance_context
     clicks, led = _ledger(spark, sf)
@@ -954,3 +962,36 @@ def q_stream_sessionize(spark, sf):
     from shoptide.streaming.pipelines import latest_sessions
     d = _run_streams(spark, sf, defects=False, sessions=True)
     return latest_sessions(spark, d["sessions"])
+
+
+# --- model fallback and policy with context ----------------------------------------------------------
+@register("final_intent_ml")
+def q_final_intent_ml(spark, sf):
+    """Rule result when calibrated confidence >= 0.6, else the RandomForest's
+    most probable class (trained on the train split of the rule labels)."""
+    from shoptide.operators.ml import fit_forest, stratified_split, training_set
+    from shoptide.session import materialize
+    f = materialize(session_features(session_clicks(spark, sf)), "features")
+    lab = intent_ops.rule_intent(f).select("session_id", F.col("rule_intent").alias("label"))
+    ts = stratified_split(training_set(f, lab))
+    model = fit_forest(materialize(ts.where("split = 'train'"), "train"))
+    return rounded(intent_ops.final_intent(f, model=model).select("session_id", "intent", "confidence", "method"))
+
+
+
+
+@register("policy_with_context", f"""{_LEDGER_BASE}, {O.FEAT}, {O.intent_ctes('feat', 'sp')}, {_GC},
+{O.policy_ctes_ctx('sp_pred', 'cx', 'gc2')}
+SELECT session_id, proposed_action, allowed, policy_reason FROM cx_pol""")
+def q_policy_with_context(spark, sf):
+    """Both rule sets with the customer context derived from history and the
+    ledger (purchases and discounts before the session)."""
+    from shoptide.operators.dispatch import with_proposed_action
+    from shoptide.operators.policy import policy_allow, policy_reason
+    from shoptide.operators.stores import governance_context
+    clicks, led = _ledger(spark, sf)
+    pred = with_proposed_action(intent_ops.final_intent(session_features(clicks)))
+    ctx = governance_context(clicks, led).select("session_id", "total_purchases", "discounts_this_month",
+                                                 "last_discount_within_hours")
+    out = policy_reason(policy_allow(pred.join(ctx, "session_id", "left")))
+    return out.select("session_id", "proposed_action", "allowed", "policy_reason")
