@@ -39,8 +39,14 @@ DOUBLE_FEATURES = {
 
 
 def register(name: str, sql: str | None = None):
+    """Register a query. Event times are TIMESTAMP_NTZ in UTC; epoch arithmetic
+    goes through the session time zone, so every query pins it to UTC."""
     def deco(fn: SparkQuery) -> SparkQuery:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
         return fn
@@ -286,7 +292,7 @@ def q_ledger_upsert(spark, sf):
 
 @register("action_history", f"""{_LEDGER_BASE}
 SELECT session_id, action_id, action_type, created_at,
-  ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY created_at DESC, action_id DESC) AS recency_rank FROM ledger""")
+  CAST(ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY created_at DESC, action_id DESC) AS INTEGER) AS recency_rank FROM ledger""")
 def q_action_history(spark, sf):
     """Every session's ledger history with its newest-first rank."""
     from pyspark.sql import Window
@@ -451,7 +457,7 @@ def q_event_dedup(spark, sf):
 
 @register("bounded_history", f"""{with_(O.CLICKS, O.SESS)}
 SELECT event_id, session_id, recency_rank FROM (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY timestamp DESC, event_id DESC) AS recency_rank FROM sess) x
+  SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY timestamp DESC, event_id DESC) AS INTEGER) AS recency_rank FROM sess) x
 WHERE recency_rank <= 100""")
 def q_bounded_history(spark, sf):
     from shoptide.operators.stores import bounded_history
@@ -580,7 +586,7 @@ def q_governance_context(spark, sf):
 @register("product_graph", """WITH pop AS (SELECT l_partkey AS pk, COUNT(*) AS popularity FROM lineitem GROUP BY l_partkey),
 prod AS (SELECT p_partkey AS product_id, p_name AS product_name, p_retailprice AS price,
   COALESCE(popularity, 0) AS popularity, p_type AS category FROM part LEFT JOIN pop ON p_partkey = pk),
-ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY category ORDER BY popularity DESC, product_name, product_id) AS rank FROM prod),
+ranked AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY category ORDER BY popularity DESC, product_name, product_id) AS INTEGER) AS rank FROM prod),
 li AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
 comp AS (SELECT DISTINCT a.l_partkey AS product_id, p.p_name AS name FROM li a JOIN li b
   ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey JOIN part p ON p.p_partkey = b.l_partkey),
@@ -600,7 +606,7 @@ def q_product_graph(spark, sf):
 @register("customer_affinity", """WITH pur AS (SELECT o.o_custkey AS customer_id, p.p_type AS category, p.p_retailprice AS price
   FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN part p ON p.p_partkey = l.l_partkey),
 agg AS (SELECT customer_id, category, COUNT(*) AS purchase_count, SUM(price) AS total_spent FROM pur GROUP BY customer_id, category),
-r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY purchase_count DESC, category) AS rank FROM agg),
+r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY purchase_count DESC, category) AS INTEGER) AS rank FROM agg),
 t AS (SELECT * FROM r WHERE rank <= 5)
 SELECT customer_id, category, purchase_count, round(total_spent, 9) AS total_spent, rank,
   FIRST_VALUE(category) OVER (PARTITION BY customer_id ORDER BY rank) AS top_category,
@@ -617,7 +623,7 @@ nr AS (SELECT vec_id, sqrt(SUM(x * x)) AS nrm FROM u GROUP BY vec_id),
 d AS (SELECT a.vec_id AS qid, b.vec_id AS cid, SUM(a.x * b.x) AS dot FROM u a JOIN u b ON a.i = b.i AND a.vec_id <> b.vec_id
   GROUP BY a.vec_id, b.vec_id),
 s AS (SELECT qid, cid, dot / (na.nrm * nb.nrm) AS score FROM d JOIN nr na ON na.vec_id = qid JOIN nr nb ON nb.vec_id = cid),
-r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rank FROM s)
+r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS INTEGER) AS rank FROM s)
 SELECT qid, cid, round(score, 9) AS score, rank FROM r WHERE rank <= 5""")
 def q_similar_topk(spark, sf):
     """Exact top-5 cosine neighbours of every embedding among all others."""
@@ -839,7 +845,7 @@ _ROUTED = """routed AS (SELECT *, CASE WHEN COALESCE(confidence < 0.7, FALSE) OR
 
 
 @register("escalation_batch", f"""{with_(O.session_pipeline(), _ROUTED)},
-ev2 AS (SELECT s.*, ROW_NUMBER() OVER (PARTITION BY s.session_id ORDER BY s.timestamp DESC, s.event_id DESC) AS recency_rank
+ev2 AS (SELECT s.*, CAST(ROW_NUMBER() OVER (PARTITION BY s.session_id ORDER BY s.timestamp DESC, s.event_id DESC) AS INTEGER) AS recency_rank
   FROM sess s WHERE s.session_id IN (SELECT session_id FROM routed WHERE system = 'system_2'))
 SELECT session_id, event_id, action, recency_rank FROM ev2 WHERE recency_rank <= 50""")
 def q_escalation_batch(spark, sf):

@@ -215,7 +215,7 @@ def with_event_defaults(df: DataFrame, ingest_ts: Column | None = None) -> DataF
     ingest_ts = ingest_ts if ingest_ts is not None else F.current_timestamp()
     return (
         df.withColumn("event_id", F.coalesce(F.col("event_id"), default_event_id()))
-        .withColumn("timestamp", F.coalesce(F.col("timestamp"), ingest_ts))
+        .withColumn("timestamp", F.coalesce(F.col("timestamp"), ingest_ts.cast(df.schema["timestamp"].dataType)))
         .withColumn("metadata", F.coalesce(F.col("metadata"), F.lit("{}")))
     )
 
