@@ -913,7 +913,7 @@ def _stream_dirs(spark):
     import uuid
     from shoptide.session import checkpoint_dir
     base = f"{checkpoint_dir(spark).rstrip('/')}/shoptide/stream-{uuid.uuid4().hex[:12]}"
-    return {k: f"{base}/{k}" for k in ("feed", "store", "quarantine", "decisions", "sessions",
+    return {k: f"{base}/{k}" for k in ("feed", "store", "quarantine", "registry", "decisions", "sessions",
                                        "ck_ingest", "ck_decisions", "ck_sessions")}
 
 
@@ -932,9 +932,11 @@ def _run_streams(spark, sf, defects: bool, decisions: bool = False, sessions: bo
         "source_event_id")
     for p in range(phases):
         feed.where(F.col("phase") == p).select("value").write.mode("overwrite").text(f"{d['feed']}/phase={p}")
-        ingest_stream(spark, d["feed"], d["store"], d["quarantine"], d["ck_ingest"]).awaitTermination()
+        ingest_stream(spark, d["feed"], d["store"], d["quarantine"], d["ck_ingest"],
+                      registry_dir=d["registry"]).awaitTermination()
         if decisions:
-            decision_stream(spark, d["store"], d["decisions"], d["ck_decisions"]).awaitTermination()
+            decision_stream(spark, d["store"], d["decisions"], d["ck_decisions"],
+                            registry_dir=d["registry"]).awaitTermination()
         if sessions:
             sessionize_stream(spark, d["store"], d["sessions"], d["ck_sessions"]).awaitTermination()
     return d

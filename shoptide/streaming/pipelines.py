@@ -17,10 +17,13 @@ from shoptide.sources.events import parse_json_values, quarantine, valid_events
 
 
 def ingest_stream(spark: SparkSession, feed_dir: str, store_dir: str, quarantine_dir: str,
-                  checkpoint: str, max_files: int | None = None, available_now: bool = True) -> StreamingQuery:
-    """Raw JSON lines -> typed events; valid rows to the event store, the rest
-    (malformed, mistyped, missing fields) to quarantine. The stream never stops
-    on bad input."""
+                  checkpoint: str, max_files: int | None = None, available_now: bool = True,
+                  registry_dir: str | None = None) -> StreamingQuery:
+    """Raw JSON lines -> typed events; valid rows to the event store (partitioned
+    by ingest batch and event date), the rest (malformed, mistyped, missing
+    fields) to quarantine. The stream never stops on bad input. With
+    ``registry_dir`` it also writes each session's first event time seen in the
+    batch (a small table: one row per session and batch)."""
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -29,8 +32,13 @@ def ingest_stream(spark: SparkSession, feed_dir: str, store_dir: str, quarantine
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            valid_events(batch).drop("raw").write.mode("overwrite").parquet(f"{store_dir}/batch={batch_id}")
+            valid = valid_events(batch).drop("raw").withColumn(
+                "event_date", F.to_date(F.col("timestamp").cast("timestamp")))
+            valid.write.mode("overwrite").partitionBy("event_date").parquet(f"{store_dir}/batch={batch_id}")
             quarantine(batch).write.mode("overwrite").parquet(f"{quarantine_dir}/batch={batch_id}")
+            if registry_dir:
+                valid.groupBy("session_id").agg(F.min("timestamp").alias("first_ts")).write.mode(
+                    "overwrite").parquet(f"{registry_dir}/batch={batch_id}")
         finally:
             batch.unpersist()
 
@@ -40,12 +48,15 @@ def ingest_stream(spark: SparkSession, feed_dir: str, store_dir: str, quarantine
 
 
 def decision_stream(spark: SparkSession, store_dir: str, decisions_dir: str, checkpoint: str,
-                    cooldown_minutes: int = 15, available_now: bool = True) -> StreamingQuery:
+                    cooldown_minutes: int = 15, available_now: bool = True,
+                    registry_dir: str | None = None) -> StreamingQuery:
     """Per-event decisions as events reach the event store.
 
-    For each micro-batch, the sessions it touches are re-read from the store up
-    to the newest store batch seen (partition pruning on ``batch``), and the
-    batch decision operators run over that history; only the new events'
+    For each micro-batch, the sessions it touches are re-read from the store:
+    partitions up to the newest store batch seen, and (with ``registry_dir``)
+    only event dates from the earliest start among the touched sessions, so the
+    read covers the live sessions' time range, not the whole store. The batch
+    decision operators run over that history and only the new events'
     decisions are written. The result equals the batch job on the same events
     in arrival order, and the state is the store itself, so a restart needs no
     operator state beyond the source checkpoint.
@@ -60,10 +71,16 @@ def decision_stream(spark: SparkSession, store_dir: str, decisions_dir: str, che
         if top is None:
             return
         touched = batch.select("session_id").distinct()
-        history = (spark.read.parquet(store_dir).where(F.col("batch") <= F.lit(top))
-                   .join(touched, "session_id", "left_semi").drop("batch"))
+        store = spark.read.parquet(store_dir).where(F.col("batch") <= F.lit(top))
+        if registry_dir:
+            start = (spark.read.parquet(registry_dir).join(touched, "session_id", "left_semi")
+                     .agg(F.min("first_ts")).first()[0])
+            if start is not None:
+                store = store.where(F.col("event_date") >= F.to_date(F.lit(start).cast("timestamp")))
+        history = store.join(touched, "session_id", "left_semi").drop("batch", "event_date")
         dec = event_decisions(history, cooldown_minutes=cooldown_minutes)
         out = dec.join(batch.select("session_id", "event_id"), ["session_id", "event_id"], "left_semi")
+        out = out.drop("event_date")
         out.write.mode("overwrite").parquet(f"{decisions_dir}/batch={batch_id}")
 
     w = src.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
