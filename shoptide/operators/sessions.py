@@ -238,3 +238,17 @@ def _bounded_running_features(clicks: DataFrame, max_events: int) -> DataFrame:
         ev = ev.withColumn(name, c)
     ev = ev.withColumn("session_end", F.col("timestamp"))
     return derive_features(ev).drop("__prev_cat", "__sw")
+
+
+def features_for(requested: DataFrame, features: DataFrame) -> DataFrame:
+    """Features for requested session ids (a point read). Sessions without
+    events get the default feature row (zeros, no customer), as the feature
+    engineer does for an empty event list; empty input otherwise stays empty."""
+    zero = {f.name: F.lit(0).cast(f.dataType) for f in features.schema.fields
+            if f.name not in ("session_id", "customer_id", "repeat_customer", "days_since_last_purchase",
+                              "session_start", "session_end", "action_sequence")
+            and f.dataType.typeName() in ("long", "integer", "double")}
+    j = requested.select("session_id").join(features, "session_id", "left")
+    return j.select("session_id", *[F.coalesce(F.col(c), zero[c]).alias(c) if c in zero else F.col(c)
+                                    for c in features.columns if c != "session_id"]).withColumn(
+        "repeat_customer", F.coalesce(F.col("repeat_customer"), F.lit(False)))

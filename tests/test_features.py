@@ -86,3 +86,14 @@ def test_bounded_running_features(clicks):
     rows = sorted(running_features(clicks(spec), max_events=3).collect(), key=lambda r: r.event_id)
     assert [r.total_actions for r in rows] == [1, 2, 3, 3, 3, 3]
     assert [r.category_switches for r in rows] == [0, 1, 2, 2, 2, 2]
+
+
+def test_features_for_unknown_session_defaults(spark, clicks):
+    from shoptide.operators.intent import final_intent
+    from shoptide.operators.sessions import features_for
+    feats = session_features(clicks([("page_view", None, 0)]))
+    req = spark.createDataFrame([("s1",), ("nope",)], "session_id string")
+    rows = {r.session_id: r for r in final_intent(features_for(req, feats)).collect()}
+    assert rows["s1"].page_views == 1
+    assert rows["nope"].total_actions == 0 and rows["nope"].intent == "BROWSE"
+    assert rows["nope"].confidence == pytest.approx(0.0759, abs=1e-4)

@@ -42,3 +42,11 @@ def test_history_enrich(spark):
     df = spark.createDataFrame(rows, "session_id string, event_id string, customer_id string, timestamp timestamp_ntz, action string")
     out = {r.session_id: (r.repeat_customer, r.days_since_last_purchase) for r in history_enrich(df).collect()}
     assert out == {"c1_1": (False, None), "c1_2": (True, 40), "c2_1": (False, None)}
+
+
+def test_empty_lookup_gives_empty_list(spark):
+    from shoptide.operators.graph import empty_lookup
+    keys = spark.createDataFrame([("a",), ("b",)], "k string")
+    found = spark.createDataFrame([("a", ["x"])], "k string, names array<string>")
+    out = {r.k: r.names for r in empty_lookup(keys, found, "k", "names").collect()}
+    assert out == {"a": ["x"], "b": []}
