@@ -62,6 +62,20 @@ def action_history(ledger: DataFrame, session_id: str | None = None) -> DataFram
     return df.orderBy(F.col("created_at").desc(), F.col("action_id").desc())
 
 
+def recency_rank(ledger: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+    """Every session's ledger rows with ``recency_rank`` (1 = newest).
+
+    A running count in descending time order, computed by the chunked scan so a
+    session with a huge history is not ranked in one task."""
+    from shoptide.functions.running import running_scan, time_chunk
+
+    df = ledger.withColumn("__chunk", -time_chunk("created_at", chunk_seconds))
+    r = running_scan(df, by=["session_id"], chunk="__chunk",
+                     order=[F.col("created_at").desc(), F.col("action_id").desc()],
+                     aggs={"recency_rank": ("sum", F.lit(1))})
+    return r.withColumn("recency_rank", F.col("recency_rank").cast("int")).drop("__chunk")
+
+
 def acknowledgements(outcomes: DataFrame) -> DataFrame:
     """Rows that acknowledge decided actions with their outcome (converted / not_converted)."""
     return outcomes.where(F.col("converted").isNotNull()).select(

@@ -295,11 +295,9 @@ SELECT session_id, action_id, action_type, created_at,
   CAST(ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY created_at DESC, action_id DESC) AS INTEGER) AS recency_rank FROM ledger""")
 def q_action_history(spark, sf):
     """Every session's ledger history with its newest-first rank."""
-    from pyspark.sql import Window
+    from shoptide.operators.ledger import recency_rank
     led = _ledger(spark, sf)[1]
-    w = Window.partitionBy("session_id").orderBy(F.col("created_at").desc(), F.col("action_id").desc())
-    return led.select("session_id", "action_id", "action_type", "created_at",
-                      F.row_number().over(w).alias("recency_rank"))
+    return recency_rank(led).select("session_id", "action_id", "action_type", "created_at", "recency_rank")
 
 
 @register("recent_actions", f"""{_LEDGER_BASE}
