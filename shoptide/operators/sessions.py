@@ -31,14 +31,15 @@ def sessionize(
     clicks: DataFrame,
     gap_minutes: int = 360,
     key: str = "customer_id",
-    chunk_seconds: int = 86400,
+    chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
 ) -> DataFrame:
     """Gap-and-island sessions: a new session starts when the gap to the key's
     previous event is strictly greater than ``gap_minutes`` (a gap of exactly the
     limit stays in the session, as with ``session_window``).
 
     ``session_id = key || '_' || n`` with n = 1, 2, ... per key in time order;
-    n is 1 + the running number of breaks, one chunked scan over ``(key, day)``.
+    n is 1 + the running number of breaks, one chunked scan over
+    ``(key, time chunk)`` (default one hour; tune to the data's density).
     """
     gap_us = gap_minutes * 60 * 1_000_000
     df = clicks.withColumn("__chunk", time_chunk("timestamp", chunk_seconds))
