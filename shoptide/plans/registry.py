@@ -1001,3 +1001,15 @@ def q_policy_with_context(spark, sf):
                                                  "last_discount_within_hours")
     out = policy_reason(policy_allow(pred.join(ctx, "session_id", "left")))
     return out.select("session_id", "proposed_action", "allowed", "policy_reason")
+
+
+@register("enriched_intent", f"""{with_(O.session_pipeline(), O.STARTS, _ENR, O.intent_ctes('fe', 'en'))}
+SELECT session_id, rule_intent, round(rule_confidence, 9) AS rule_confidence, repeat_customer, days_since_last_purchase
+FROM en_pred""")
+def q_enriched_intent(spark, sf):
+    """Rule intent with repeat_customer / days_since_last_purchase filled from
+    the customer's history, so the LOYAL_RETURNER and CHURN_RISK history rules fire."""
+    from shoptide.plans.pipeline import enriched_features
+    df = intent_ops.rule_intent(enriched_features(session_clicks(spark, sf)))
+    return rounded(df.select("session_id", "rule_intent", "rule_confidence", "repeat_customer",
+                             "days_since_last_purchase"))

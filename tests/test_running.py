@@ -43,3 +43,28 @@ def test_global_rank_without_key(spark):
     df = df.withColumn("chunk", F.floor(F.col("id") / 100))
     got = running_scan(df, [], "chunk", ["id"], aggs={"rank": ("sum", F.lit(1))})
     assert all(r.rank == r.id + 1 for r in got.collect())
+
+
+def test_hot_session_spread_over_chunks(spark):
+    """One session with most of the rows: the scan still equals the plain window
+    and the exchange is keyed by (session, chunk), not the session alone."""
+    from shoptide.operators.sessions import running_features
+    from pyspark.sql import functions as F2
+    rows = [("hot" if i % 4 else f"s{i}", f"e{i:05d}", i * 37, "page_view" if i % 3 else "add_to_cart",
+             f"c{i % 5}", float(i % 11)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "session_id string, event_id string, sec long, action string, category string, value double")
+    df = df.withColumn("timestamp", F2.timestamp_seconds("sec").cast("timestamp_ntz")).withColumn(
+        "customer_id", F2.lit("c")).drop("sec")
+    rf = running_features(df, chunk_seconds=600)
+    p = rf._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(session_id" in p and "__chunk" in p
+    got = {r.event_id: (r.total_actions, r.categories_viewed, r.category_switches, r.cart_adds)
+           for r in rf.where("session_id = 'hot'").collect()}
+    hot = sorted((r for r in rows if r[0] == "hot"), key=lambda r: r[2])
+    seen, sw, adds, prev = set(), 0, 0, None
+    for n, r in enumerate(hot, 1):
+        seen.add(r[4]); adds += r[3] == "add_to_cart"
+        if prev is not None and r[4] != prev:
+            sw += 1
+        prev = r[4]
+        assert got[r[1]] == (n, len(seen), sw, adds)
