@@ -20,6 +20,17 @@ from pyspark.sql import functions as F
 
 TOPK_SCHEMA = "qid long, cid long, score double"
 
+# Ship this module's functions by value to the Python workers, so they do not
+# need the package on their import path.
+try:  # pragma: no cover - depends on the installed pyspark
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass
+
 
 def _block_topk(k: int, exclude_self: bool):
     def fn(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
