@@ -915,11 +915,13 @@ def _stream_dirs(spark):
                                        "ck_ingest", "ck_decisions", "ck_sessions")}
 
 
-def _run_streams(spark, sf, defects: bool, decisions: bool = False, sessions: bool = False, phases: int = 3):
+def _run_streams(spark, sf, defects: bool, decisions: bool = False, sessions: bool = False, phases: int = 3,
+                 stateful: bool = False):
     """Feed the raw events in ``phases`` time-ordered drops; after each drop the
     streams resume from their checkpoints (a restart per phase)."""
     from shoptide.sources.events import raw_event_json
-    from shoptide.streaming.pipelines import decision_stream, ingest_stream, sessionize_stream
+    from shoptide.streaming.pipelines import (decision_stream, ingest_stream, sessionize_stream,
+                                              stateful_decision_stream)
     d = _stream_dirs(spark)
     clicks = session_clicks(spark, sf)
     day = F.floor(F.unix_micros(F.col("timestamp").cast("timestamp")) / F.lit(86400 * 1_000_000))
@@ -937,6 +939,8 @@ def _run_streams(spark, sf, defects: bool, decisions: bool = False, sessions: bo
                             registry_dir=d["registry"]).awaitTermination()
         if sessions:
             sessionize_stream(spark, d["store"], d["sessions"], d["ck_sessions"]).awaitTermination()
+        if stateful:
+            stateful_decision_stream(spark, d["store"], d["decisions"], d["ck_decisions"]).awaitTermination()
     return d
 
 
@@ -1013,3 +1017,12 @@ def q_enriched_intent(spark, sf):
     df = intent_ops.rule_intent(enriched_features(session_clicks(spark, sf)))
     return rounded(df.select("session_id", "rule_intent", "rule_confidence", "repeat_customer",
                              "days_since_last_purchase"))
+
+
+@register("stream_decisions_stateful", SQL["action_decisions"])
+def q_stream_decisions_stateful(spark, sf):
+    """The per-event decision loop with operator state (applyInPandasWithState
+    keyed by session, event-time TTL) over a clean feed in three drops with
+    restarts; must equal the batch ``action_decisions``."""
+    d = _run_streams(spark, sf, defects=False, stateful=True)
+    return rounded(spark.read.parquet(d["decisions"]).select(*_DEC, "action_id"))

@@ -128,3 +128,26 @@ def latest_sessions(spark: SparkSession, out_dir: str, key: str = "customer_id")
     g = df.groupBy(key, "session_start").agg(F.max_by(F.struct("session_end", "n_events"), F.col("version")).alias("r"))
     return g.select(key, F.col("session_start").cast("timestamp_ntz").alias("session_start"),
                     F.col("r.session_end").cast("timestamp_ntz").alias("session_end"), F.col("r.n_events").alias("n_events"))
+
+
+def stateful_decision_stream(spark: SparkSession, store_dir: str, decisions_dir: str, checkpoint: str,
+                             cooldown_minutes: int = 15, available_now: bool = True) -> StreamingQuery:
+    """The per-event decision loop with operator state (see :mod:`shoptide.streaming.stateful`).
+
+    Uses the RocksDB state store when the session has no provider configured
+    (state off the JVM heap, incremental checkpoints)."""
+    from shoptide.streaming.stateful import stateful_decisions
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if not spark.conf.get(key, None):
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = spark.read.parquet(store_dir).schema
+    src = spark.readStream.schema(schema).parquet(store_dir)
+    dec = stateful_decisions(src, cooldown_minutes=cooldown_minutes)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{decisions_dir}/batch={batch_id}")
+
+    w = dec.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
+    return w.start()

@@ -68,3 +68,10 @@ def test_unreachable_policy_denies(spark):
     df = spark.createDataFrame([("NO_ACTION",)], "proposed_action string")
     out = unreachable_policy(policy_allow(df), F.lit(False)).first()
     assert out.allowed is False
+
+
+def test_stateful_stream_equals_batch(spark):
+    q = E.queries()
+    cols = ["event_id", "session_id", "action", "reason", "action_id", "dispatched"]
+    got = rows(q["stream_decisions_stateful"](spark, SF).select(*cols))
+    assert got == rows(q["action_decisions"](spark, SF).select(*cols))
