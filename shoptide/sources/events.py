@@ -154,13 +154,15 @@ def write_csv_events(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def kafka_options(bootstrap: str, topic: str = "ecommerce.clicks.raw") -> dict[str, str]:
-    """Options for ``readStream.format('kafka')`` (needs the Kafka connector jar)."""
+def kafka_options(bootstrap: str, topic: str = "ecommerce.clicks.raw", group_id: str = "shoptide-clicks") -> dict[str, str]:
+    """Options for ``readStream.format('kafka')`` (needs the Kafka connector jar):
+    earliest offsets, a named consumer group; parse ``value`` with
+    :func:`parse_json_values`. Offsets are tracked by the query checkpoint."""
     return {
         "kafka.bootstrap.servers": bootstrap,
         "subscribe": topic,
         "startingOffsets": "earliest",
-        "kafka.group.id": "intent-transformer",
+        "kafka.group.id": group_id,
         "failOnDataLoss": "false",
     }
 
