@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+
+from shoptide.schema import MARKOV_BOOSTS
 from pyspark.sql import functions as F
 
 from shoptide.operators.markov import session_markov
@@ -9,23 +11,30 @@ from shoptide.schema import MARKOV_ACTION_TO_STATE, MARKOV_TRANSITIONS
 
 
 def py_next(state, history):
-    """Pure-Python restatement used as the reference for random histories."""
-    if state not in MARKOV_TRANSITIONS:
+    """Independent restatement: values in insertion order, boosts added one
+    occurrence at a time, normalised, first maximum wins."""
+    row = MARKOV_TRANSITIONS.get(state)
+    if row is None:
         return "EXIT"
-    adj = dict(MARKOV_TRANSITIONS[state])
-    if history:
-        w = np.exp(np.linspace(-1, 0, len(history)))
-        for a, wi in zip(history, w):
-            if wi > 0.3:
-                if a == "add_to_cart":
-                    adj["CARTING"] = adj.get("CARTING", 0) + 0.2
-                elif a == "checkout_start":
-                    adj["CHECKOUT"] = adj.get("CHECKOUT", 0) + 0.3
-                elif a == "search_query":
-                    adj["COMPARING"] = adj.get("COMPARING", 0) + 0.1
-    tot = sum(adj.values())
-    adj = {k: v / tot for k, v in adj.items()}
-    return max(adj, key=adj.get)
+    order = list(row)
+    value = {k: float(v) for k, v in row.items()}
+    boost = {act: (st, inc) for act, st, inc in MARKOV_BOOSTS}
+    for a in history:
+        if a in boost:
+            st, inc = boost[a]
+            if st not in value:
+                order.append(st)
+                value[st] = 0.0
+            value[st] = value[st] + inc
+    total = 0.0
+    for k in order:
+        total = total + value[k]
+    best, best_p = None, None
+    for k in order:
+        p = value[k] / total
+        if best is None or p > best_p:
+            best, best_p = k, p
+    return best
 
 
 def run(clicks, history):

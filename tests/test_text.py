@@ -20,50 +20,27 @@ def test_keyword_flags(spark, q, expected):
     assert r == expected
 
 
-def py_first_json(text):
-    start = text.find("{")
-    if start == -1:
-        return None
-    depth, in_str, esc = 0, False, False
-    for i in range(start, len(text)):
-        c = text[i]
-        if esc:
-            esc = False
-            continue
-        if c == "\\":
-            esc = True
-            continue
-        if c == '"':
-            in_str = not in_str
-            continue
-        if in_str:
-            continue
-        if c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if depth == 0:
-                return text[start:i + 1]
-    return None
+CASES = {
+    'Here is my plan: {"action": "OFFER_BUNDLE", "confidence": 0.8} thanks':
+        '{"action": "OFFER_BUNDLE", "confidence": 0.8}',
+    '```json\n{"action": "SEND_TO_HUMAN", "reasoning": "a } inside"}\n```':
+        '{"action": "SEND_TO_HUMAN", "reasoning": "a } inside"}',
+    '{"a": {"b": {"c": "x\\"}"}}, "d": 1} trailing {"e": 2}':
+        '{"a": {"b": {"c": "x\\"}"}}, "d": 1}',
+    "no json at all": None,
+    "{unbalanced": None,
+    'p{margin:0} then {"action": "X"}': "{margin:0}",
+    'escaped \\{ brace {"k": "v"}': None,  # starts at the first brace; never closes
+    "ends with backslash {\\": None,
+    "": None,
+}
 
 
-CASES = [
-    'Here is my plan: {"action": "OFFER_BUNDLE", "confidence": 0.8} thanks',
-    '```json\n{"action": "SEND_TO_HUMAN", "reasoning": "a } inside"}\n```',
-    '{"a": {"b": {"c": "x\\"}"}}, "d": 1} trailing {"e": 2}',
-    "no json at all",
-    "{unbalanced",
-    "p{margin:0} then {\"action\": \"X\"}",
-    'escaped \\{ brace {"k": "v"}',
-    "ends with backslash {\\",
-    "",
-]
-
-
-def test_first_json_matches_scan(spark):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(CASES)], "i int, t string")
+def test_first_json_expected(spark):
+    items = list(CASES.items())
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(items)], "i int, t string")
     got = {r.i: r.j for r in df.select("i", first_json_object(F.col("t")).alias("j")).collect()}
-    assert got == {i: py_first_json(t) for i, t in enumerate(CASES)}
+    assert got == {i: e for i, (_, e) in enumerate(items)}
 
 
 def test_planner_resolution(spark):
