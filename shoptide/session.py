@@ -76,4 +76,4 @@ def materialize(df, name: str):
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/shoptide/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # known schema: no footer-inference job
