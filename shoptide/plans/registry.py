@@ -1026,3 +1026,20 @@ def q_stream_decisions_stateful(spark, sf):
     restarts; must equal the batch ``action_decisions``."""
     d = _run_streams(spark, sf, defects=False, stateful=True)
     return rounded(spark.read.parquet(d["decisions"]).select(*_DEC, "action_id"))
+
+
+@register("ledger_outcomes", f"""{_EVAL_BASE}
+SELECT action_id, session_id, action_type, intent, round(confidence, 9) AS confidence, reason,
+  CASE WHEN converted IS NULL THEN NULL WHEN converted THEN 'converted' ELSE 'not_converted' END AS outcome,
+  converted IS NOT NULL AS acknowledged,
+  CASE WHEN converted IS NOT NULL THEN 'acknowledged' ELSE 'dispatched' END AS status, created_at
+FROM outc""")
+def q_ledger_outcomes(spark, sf):
+    """Decided outcomes written back to the ledger: an acknowledgement row per
+    decided action is upserted on action_id (audit semantics keep the first
+    created_at/intent/confidence and take the new status and outcome)."""
+    from shoptide.operators.ledger import acknowledgements, upsert
+    clicks, led = _ledger(spark, sf)
+    acks = acknowledgements(evaluation_outcomes(clicks, led))
+    merged = upsert(led.drop("status").unionByName(acks), mode="pg")
+    return rounded(merged.select(*_LCOLS))
