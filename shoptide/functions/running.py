@@ -47,6 +47,7 @@ def running_scan(
     aggs: dict[str, tuple[str, Column]] | None = None,
     prev: dict[str, Column] | None = None,
     pairsums: dict[str, tuple[Column, PairFn]] | None = None,
+    distincts: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add running aggregates per ``by`` key in ``order``.
 
@@ -59,10 +60,14 @@ def running_scan(
     pairsums: ``name -> (expr, f)``: running sum of ``f(expr, previous expr)``
               (numeric, null counts 0) over consecutive rows; the key's first
               row contributes nothing.
+    distincts: ``name -> expr``: running count of distinct non-null values of
+              ``expr``. Meant for low-cardinality values (categories): each
+              chunk summary carries the set of values it contains.
     """
     aggs = aggs or {}
     prev = prev or {}
     pairsums = pairsums or {}
+    distincts = distincts or {}
     for name, (kind, _) in aggs.items():
         if kind not in _KINDS:
             raise ValueError(f"unsupported running kind {kind!r} for {name}")
@@ -77,6 +82,7 @@ def running_scan(
     inputs = {f"_rs_x_{n}": e for n, (_, e) in aggs.items()}
     inputs.update({f"_rs_v_{n}": e for n, e in prev.items()})
     inputs.update({f"_rs_y_{n}": e for n, (e, _) in pairsums.items()})
+    inputs.update({f"_rs_d_{n}": e for n, e in distincts.items()})
     base = df.select("*", *[e.alias(n) for n, e in inputs.items()]).repartition(*keys)
 
     win = []
@@ -87,6 +93,10 @@ def running_scan(
     for name in pairsums:
         win.append(F.lag(f"_rs_y_{name}").over(w_local).alias(f"_rs_py_{name}"))
     win.append((F.row_number().over(w_local) == 1).alias("_rs_first"))
+    for name in distincts:
+        # first row of this value within the chunk (same partitioning: no new exchange)
+        w_val = Window.partitionBy(*keys, f"_rs_d_{name}").orderBy(*order_cols)
+        win.append((F.col(f"_rs_d_{name}").isNotNull() & (F.row_number().over(w_val) == 1)).alias(f"_rs_f_{name}"))
     local = base.select("*", *win)
     for name, (_, fn) in pairsums.items():
         term = F.coalesce(fn(F.col(f"_rs_y_{name}"), F.col(f"_rs_py_{name}")), F.lit(0))
@@ -104,6 +114,7 @@ def running_scan(
             F.max_by(f"_rs_y_{n}", order_key).alias(f"_rs_ly_{n}"),
             F.sum(f"_rs_term_{n}").alias(f"_rs_ty_{n}"),
         ]
+    summary_aggs += [F.collect_set(f"_rs_d_{n}").alias(f"_rs_set_{n}") for n in distincts]
     summary = local.groupBy(*keys).agg(*summary_aggs)
     # One row per chunk; with no key (a global order) this window holds only the
     # chunk summaries, bounded by the time span over the chunk width.
@@ -114,6 +125,8 @@ def running_scan(
     for n, (_, fn) in pairsums.items():
         bnd = F.coalesce(fn(F.col(f"_rs_fy_{n}"), F.lag(f"_rs_ly_{n}").over(w_chunks)), F.lit(0))
         carry_cols.append(bnd.alias(f"_rs_b_{n}"))
+    carry_cols += [F.array_distinct(F.flatten(F.collect_list(f"_rs_set_{n}").over(w_before))).alias(f"_rs_seen_{n}")
+                   for n in distincts]
     carry = summary.select(*keys, *carry_cols, *[f"_rs_ty_{n}" for n in pairsums])
     if pairsums:
         carry = carry.select(
@@ -123,6 +136,10 @@ def running_scan(
         )
 
     out = local.join(carry, on=list(keys), how="inner")
+    if distincts:
+        new = {n: (F.col(f"_rs_f_{n}") & ~F.coalesce(F.array_contains(f"_rs_seen_{n}", F.col(f"_rs_d_{n}")), F.lit(False)))
+               for n in distincts}
+        out = out.select("*", *[F.sum(F.when(c, 1).otherwise(0)).over(w_run).alias(f"_rs_nl_{n}") for n, c in new.items()])
     final = []
     for name, (kind, _) in aggs.items():
         c, l = F.col(f"_rs_c_{name}"), F.col(f"_rs_l_{name}")
@@ -137,5 +154,7 @@ def running_scan(
         final.append(F.when(F.col("_rs_first"), F.col(f"_rs_q_{name}")).otherwise(F.col(f"_rs_p_{name}")).alias(name))
     for name in pairsums:
         final.append((F.col(f"_rs_cs_{name}") + F.col(f"_rs_b_{name}") + F.col(f"_rs_s_{name}")).alias(name))
-    keep = [c for c in df.columns if c not in aggs and c not in prev and c not in pairsums]
+    for name in distincts:
+        final.append((F.coalesce(F.size(f"_rs_seen_{name}"), F.lit(0)) + F.col(f"_rs_nl_{name}")).cast("long").alias(name))
+    keep = [c for c in df.columns if c not in aggs and c not in prev and c not in pairsums and c not in distincts]
     return out.select(*keep, *final)

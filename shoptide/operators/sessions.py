@@ -165,10 +165,11 @@ def running_features(
     """Features of the session *so far* at every event (the per-event hot path).
 
     Every counter is a prefix aggregate computed by one chunked scan over
-    ``(session_id, hour)``; no per-session list is built, so the cost is
-    linear in the events. ``categories_viewed`` sums first-occurrence flags; the
-    first occurrence of each (session, category) is found by a grouped minimum
-    and attached with an equi-join on ``(session_id, event_id)`` (no hot key).
+    ``(session_id, hour)`` (a single shuffle of the events); no per-session
+    list is built, so the cost is linear in the events. ``categories_viewed``
+    is the scan's running distinct count: a category counts at its first row in
+    a chunk unless an earlier chunk of the session already had it (each chunk
+    summary carries its set of categories, bounded by the vocabulary).
 
     ``max_events`` keeps only the last N events in each frame (bounded history);
     ``None`` means the whole session so far.
@@ -180,16 +181,12 @@ def running_features(
         return _bounded_running_features(clicks, max_events)
     ev = normalise(clicks).withColumn("__chunk", time_chunk("timestamp", chunk_seconds))
     order_key = F.struct(*[F.col(c) for c in ORDER])
-    firsts = ev.groupBy("session_id", "category").agg(F.min_by("event_id", order_key).alias("event_id"))
-    ev = ev.join(firsts.select("session_id", "event_id", F.lit(1).alias("__new_cat")),
-                 on=["session_id", "event_id"], how="left")
     first_of = lambda a: F.when(F.col("action") == a, order_key)
     aggs = {
         "total_actions": ("sum", F.lit(1)),
         **{n: ("sum", _flag(a)) for n, a in _COUNTERS.items()},
         "total_cart_value": ("sum", F.col("value")),
         "max_item_value": ("max", F.col("value")),
-        "categories_viewed": ("sum", F.coalesce(F.col("__new_cat"), F.lit(0))),
         "session_start": ("min", F.col("timestamp")),
         "first_add_key": ("min", first_of("add_to_cart")),
         "first_checkout_key": ("min", first_of("checkout_start")),
@@ -197,9 +194,10 @@ def running_features(
     }
     switch = lambda cur, prev: F.when(cur != prev, 1).otherwise(0)
     ev = running_scan(ev, by=["session_id"], chunk="__chunk", order=ORDER, aggs=aggs,
-                      pairsums={"category_switches": (F.col("category"), switch)})
+                      pairsums={"category_switches": (F.col("category"), switch)},
+                      distincts={"categories_viewed": F.col("category")})
     ev = ev.withColumn("session_end", F.col("timestamp"))
-    return derive_features(ev).drop("__chunk", "__new_cat")
+    return derive_features(ev).drop("__chunk")
 
 
 def _bounded_running_features(clicks: DataFrame, max_events: int) -> DataFrame:
