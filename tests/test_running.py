@@ -68,3 +68,36 @@ def test_hot_session_spread_over_chunks(spark):
             sw += 1
         prev = r[4]
         assert got[r[1]] == (n, len(seen), sw, adds)
+
+
+def test_distinct_count_equals_window(spark):
+    rnd = random.Random(5)
+    rows = [(f"k{rnd.randint(0, 3)}", rnd.randint(0, 20000), f"e{i:05d}", rnd.choice(["a", "b", "c", "d", None]))
+            for i in range(1500)]
+    df = spark.createDataFrame(rows, "key string, t long, eid string, cat string").withColumn(
+        "chunk", F.floor(F.col("t") / 500))
+    got = {(r.key, r.eid): r.nd for r in
+           running_scan(df, ["key"], "chunk", ["t", "eid"], distincts={"nd": F.col("cat")}).collect()}
+    w = Window.partitionBy("key").orderBy("t", "eid").rowsBetween(Window.unboundedPreceding, 0)
+    ref = df.select("key", "eid", F.size(F.collect_set("cat").over(w)).alias("nd"))
+    assert got == {(r.key, r.eid): r.nd for r in ref.collect()}
+
+
+def test_hot_customer_sessionize(spark):
+    """One customer with most events across many hourly chunks: the chunked
+    gap-and-island equals a sequential restatement."""
+    from datetime import datetime, timedelta
+    from shoptide.operators.sessions import sessionize
+    rnd = random.Random(9)
+    t, rows, expect, n = datetime(2024, 1, 1), [], {}, 1
+    for i in range(2000):
+        gap = rnd.choice([1, 5, 30, 59, 60, 61, 200])
+        t += timedelta(minutes=gap)
+        if i and gap > 60:
+            n += 1
+        rows.append((f"e{i:05d}", "hot", t))
+        expect[f"e{i:05d}"] = f"hot_{n}"
+    rows += [(f"x{i}", f"c{i}", t) for i in range(50)]
+    df = spark.createDataFrame(rows, "event_id string, customer_id string, timestamp timestamp_ntz")
+    got = {r.event_id: r.session_id for r in sessionize(df, gap_minutes=60).where("customer_id = 'hot'").collect()}
+    assert got == expect
