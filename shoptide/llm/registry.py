@@ -5,6 +5,9 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = {
+    "op3_quality_rules": "quality_rules",
+    "op6_quality_classifier": "quality_classifier",
+    "op9_ngram_jaccard_join": "ngram_jaccard_join",
     "op10_exact_dedup": "exact_dedup",
 }
 
