@@ -187,9 +187,9 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     return held.mapInArrow(scorer(weight, bias), "doc_id long, text_key long, score double")
 
 
-def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", least: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score ``least`` or more, with all their columns."""
-    weight, bias = fit(docs, labels, label)
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", least: float = 0.7, training: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with all their columns; ``training`` holds the labelled texts if ``docs`` doesn't."""
+    weight, bias = fit(docs if training is None else training, labels, label)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

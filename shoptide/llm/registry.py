@@ -5,8 +5,10 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = {
+    "op1_length_packing": "length_packing",
     "op3_quality_rules": "quality_rules",
     "op6_quality_classifier": "quality_classifier",
+    "op7_chat_format": "chat_format",
     "op9_ngram_jaccard_join": "ngram_jaccard_join",
     "op10_exact_dedup": "exact_dedup",
 }
@@ -17,7 +19,9 @@ def _modules():
 
 
 def queries() -> dict:
-    return {name: getattr(module, name) for name, module in _modules().items()}
+    import corpus_pipeline
+
+    return {**{name: getattr(module, name) for name, module in _modules().items()}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
