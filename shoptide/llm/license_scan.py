@@ -100,7 +100,7 @@ class Scanner:
 
     def ranked(self, words: list[str]) -> list[tuple[int, int]]:
         """(bytes saved, template), the best first."""
-        block = " ".join(words).encode("utf-8", "replace")
+        block = " ".join(["", *words, ""]).encode("utf-8", "replace")
         plain = len(self.alone.compress(block))
         saved = [(plain - len(c.compress(block)), i) for i, c in enumerate(self.given)]
         return sorted((x for x in saved if x[0] >= LEAST_SAVED), key=lambda x: (-x[0], x[1]))

@@ -7,8 +7,10 @@ from importlib import import_module
 MODULES = {
     "op1_length_packing": "length_packing",
     "op3_quality_rules": "quality_rules",
+    "op5_license_scan": "license_scan",
     "op6_quality_classifier": "quality_classifier",
     "op7_chat_format": "chat_format",
+    "op8_token_records": "token_records",
     "op9_ngram_jaccard_join": "ngram_jaccard_join",
     "op10_exact_dedup": "exact_dedup",
 }
