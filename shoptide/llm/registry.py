@@ -8,6 +8,7 @@ MODULES = {
     "op1_length_packing": "length_packing",
     "op3_quality_rules": "quality_rules",
     "op2_toxicity": "toxicity",
+    "op4_merge_dropout": "merge_dropout",
     "op5_license_scan": "license_scan",
     "op6_quality_classifier": "quality_classifier",
     "op7_chat_format": "chat_format",
