@@ -14,16 +14,17 @@ empty parts that are to be expected; a set with more of them also signs under
 further partitionings, and under one common key at last, so that no link is
 lost. Signatures travel in packed blocks, one row per text chunk and reducer.
 
-**Candidates.** Sets with a signature in common form buckets. In a bucket of up
-to ``SMALL`` sets all pairs are candidates. Larger buckets are put together in
-groups, and every set of a group is compared only with the group's core, the
+**Candidates.** Sets with a signature in common form buckets. In a bucket of a
+few sets (``SMALL``) all pairs are candidates. Larger buckets are put together
+in groups, and every set of a group is compared only with the group's core, the
 shingles that most of a small sample of the group hold. Two sets differ exactly
 where their differences from the core differ. So sets close to the core are
 linked for certain through the closest one, and any other linked pair shares an
 element in short prefixes of the two differences (in one order, shingles outside
 the core first). These shared elements are the buckets of the next round; they
 hold about half of a group at most, as an element in more sets belongs to the
-core. A round is linear in its bucket rows, whatever the size of a group, and a
+core; after ``MERGED_ROUNDS`` rounds each bucket is a group of its own, so that
+groups shrink to the end. A round is linear in its bucket rows, whatever the size of a group, and a
 passage that many documents share vanishes from the differences. The sample
 steers only the work, never the result.
 
@@ -55,12 +56,12 @@ from .common import picked, table, written
 from .components import components
 from .textbatch import TextBatch, as_large, chunks, mix64, shingle_sets
 
-SMALL = 8
+SMALL = (8, 64)  # largest bucket whose pairs are all compared: in the first round, and in later ones
 SEEDS = 4
 HUB_ROWS = 256
 SHINGLES_PER_PART = 3_000_000
 SAMPLE = 64
-MERGED_ROUNDS = 12
+MERGED_ROUNDS = 1
 
 
 def _bands(largest: int) -> list[int]:
@@ -309,22 +310,22 @@ def _dealt(members: DataFrame, sets: DataFrame, heads: DataFrame, by: str) -> Da
     return rows.union(own).repartition(by, "salt").sortWithinPartitions(by, "salt", F.col("node").asc_nulls_first())
 
 
-def _small_pairs(members: DataFrame) -> DataFrame:
-    """Distinct (node, hub) to compare in buckets of up to SMALL sets.
+def _small_pairs(members: DataFrame, small: int) -> DataFrame:
+    """Distinct (node, hub) to compare in buckets of up to ``small`` sets.
 
     Two near sets need no comparison (both are linked to one set already), nor
     two far ones of which one holds the element beyond its short prefix.
     """
-    grouped = members.where(F.col("size") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("node", "near", "short")).alias("m"))
+    grouped = members.where(F.col("size") <= small).groupBy("key").agg(F.collect_list(F.struct("node", "near", "short")).alias("m"))
     each = grouped.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
     needed = (F.col("x.node") < F.col("y.node")) & ~(F.col("x.near") & F.col("y.near")) & (
         F.col("x.near") | F.col("y.near") | (F.col("x.short") & F.col("y.short")))
     return each.where(needed).select(F.col("x.node").alias("node"), F.col("y.node").alias("hub")).distinct()
 
 
-def _large_groups(members: DataFrame, merge: bool) -> DataFrame:
-    """(label, node): the sets of large buckets. Buckets are put together when one set has most company in each of them."""
-    large = members.where(F.col("size") > SMALL)
+def _large_groups(members: DataFrame, small: int, merge: bool) -> DataFrame:
+    """(label, node): the sets of large buckets. With ``merge``, buckets are put together when one set has most company in each of them."""
+    large = members.where(F.col("size") > small)
     if not merge:
         return large.select(F.col("key").alias("label"), "node").distinct()
     weights = large.groupBy("node").agg(F.sum("size").alias("weight"))
@@ -332,7 +333,7 @@ def _large_groups(members: DataFrame, merge: bool) -> DataFrame:
     hubs = large.groupBy("key", "salts").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
     hubs = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     dealt = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    return dealt.join(hubs, ["key", "salt"]).select(F.xxhash64("of", "hub").alias("label"), "node").distinct()
+    return dealt.join(hubs, ["key", "salt"]).select(F.col("hub").alias("label"), "node").distinct()
 
 
 def _refine(groups: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -361,7 +362,7 @@ def _refine(groups: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     short = F.floor((9 * F.col("h") + F.col("a") - F.col("top")) / 18) + 1
     rows = rest.where("worst + top < 0").withColumn("n_short", short).select(
         "label", "node", "near", "n_short", F.posexplode("elements").alias("pos", "element"))
-    rows = rows.select(F.xxhash64("label", "element").alias("key"), F.col("label").alias("of"), "node", "near", (F.col("pos") < F.col("n_short")).alias("short"))
+    rows = rows.select(F.xxhash64("label", "element").alias("key"), "node", "near", (F.col("pos") < F.col("n_short")).alias("short"))
     rows = rows.where("short OR NOT near")
     totals = rows.groupBy("key").agg(F.count("*").alias("size"), F.expr("bool_or(short)").alias("any_short"), F.expr("bool_and(near)").alias("all_near"))
     useful = written(totals.where("size > 1 AND any_short AND NOT all_near").select("key", "size"), "useful")
@@ -379,7 +380,7 @@ def link_components(docs: DataFrame) -> DataFrame:
 
     blocks = rows.mapInArrow(_blocks(n_parts), "part int, keys binary, nodes binary")
     members = blocks.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(_buckets, "key long, node long, size long")
-    members = members.select("key", F.lit(0).cast("long").alias("of"), "node", F.lit(False).alias("near"), F.lit(True).alias("short"), "size")
+    members = members.select("key", "node", F.lit(False).alias("near"), F.lit(True).alias("short"), "size")
     members = written(members, "buckets")
 
     ids = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("rid").alias("rid"))
@@ -389,7 +390,8 @@ def link_components(docs: DataFrame) -> DataFrame:
 
     links, done, round_no = [], None, 0
     while not members.isEmpty():
-        pairs = _small_pairs(members)
+        small = SMALL[min(round_no, 1)]
+        pairs = _small_pairs(members, small)
         if done is not None:
             pairs = pairs.join(done, ["node", "hub"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -398,7 +400,7 @@ def link_components(docs: DataFrame) -> DataFrame:
         compared = written(compared, "compared")
         links.append(compared.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b")))
         done = compared.select("node", "hub") if done is None else done.union(compared.select("node", "hub"))
-        groups = written(_large_groups(members, merge=round_no < MERGED_ROUNDS), "groups")
+        groups = written(_large_groups(members, small, merge=round_no < MERGED_ROUNDS), "groups")
         if groups.isEmpty():
             break
         certain, members = _refine(groups, sets)
