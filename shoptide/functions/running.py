@@ -24,6 +24,7 @@ is under the broadcast threshold.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,13 @@ def time_chunk(ts: Column | str, seconds: int) -> Column:
     return F.floor(F.unix_micros(col.cast("timestamp")) / F.lit(seconds * 1_000_000))
 
 
+def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on keys of which any may be null: a null key meets the null key, so no row is lost."""
+    named = right.select(*[F.col(k).alias(f"_rs_k_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = [left[k].eqNullSafe(named[f"_rs_k_{i}"]) for i, k in enumerate(keys)]
+    return left.join(named, reduce(Column.__and__, same), how).drop(*[f"_rs_k_{i}" for i in range(len(keys))])
+
+
 def running_scan(
     df: DataFrame,
     by: Sequence[str],
@@ -52,7 +60,9 @@ def running_scan(
     """Add running aggregates per ``by`` key in ``order``.
 
     ``chunk`` must be a column of ``df`` that is non-decreasing in ``order``
-    within each key (e.g. a time bucket of the order timestamp).
+    within each key (e.g. a time bucket of the order timestamp). Rows with a null
+    key form one key, rows with a null chunk (no time) come first in theirs: every
+    row comes out.
 
     aggs:     ``name -> (kind, expr)``, kind in sum/max/min, frame = all rows up
               to and including the current one.
@@ -62,7 +72,8 @@ def running_scan(
               row contributes nothing.
     distincts: ``name -> expr``: running count of distinct non-null values of
               ``expr``. Meant for low-cardinality values (categories): each
-              chunk summary carries the set of values it contains.
+              chunk summary carries the set of values it contains, and of
+              those the ones that no earlier chunk has.
     """
     aggs = aggs or {}
     prev = prev or {}
@@ -125,8 +136,14 @@ def running_scan(
     for n, (_, fn) in pairsums.items():
         bnd = F.coalesce(fn(F.col(f"_rs_fy_{n}"), F.lag(f"_rs_ly_{n}").over(w_chunks)), F.lit(0))
         carry_cols.append(bnd.alias(f"_rs_b_{n}"))
-    carry_cols += [F.array_distinct(F.flatten(F.collect_list(f"_rs_set_{n}").over(w_before))).alias(f"_rs_seen_{n}")
-                   for n in distincts]
+    for n in distincts:
+        # A value is new in the first chunk that has it: one row per (key, value, chunk), never a list of earlier chunks.
+        held = summary.select(*keys, F.explode(f"_rs_set_{n}").alias("_rs_value"))
+        firsts = held.groupBy(*by, "_rs_value").agg(F.min(chunk).alias(chunk), F.count_if(F.col(chunk).isNull()).alias("_rs_none"))
+        firsts = firsts.withColumn(chunk, F.when(F.col("_rs_none") > 0, F.lit(None)).otherwise(F.col(chunk)))
+        news = firsts.groupBy(*keys).agg(F.collect_set("_rs_value").alias(f"_rs_new_{n}"))
+        summary = _join_keys(summary, news, keys, "left")
+        carry_cols += [F.col(f"_rs_new_{n}"), F.coalesce(F.sum(F.size(F.coalesce(f"_rs_new_{n}", F.array()))).over(w_before), F.lit(0)).alias(f"_rs_seen_{n}")]
     carry = summary.select(*keys, *carry_cols, *[f"_rs_ty_{n}" for n in pairsums])
     if pairsums:
         carry = carry.select(
@@ -135,9 +152,9 @@ def running_scan(
               for n in pairsums],
         )
 
-    out = local.join(carry, on=list(keys), how="inner")
+    out = _join_keys(local, carry, keys, "inner")
     if distincts:
-        new = {n: (F.col(f"_rs_f_{n}") & ~F.coalesce(F.array_contains(f"_rs_seen_{n}", F.col(f"_rs_d_{n}")), F.lit(False)))
+        new = {n: (F.col(f"_rs_f_{n}") & F.coalesce(F.array_contains(f"_rs_new_{n}", F.col(f"_rs_d_{n}")), F.lit(False)))
                for n in distincts}
         out = out.select("*", *[F.sum(F.when(c, 1).otherwise(0)).over(w_run).alias(f"_rs_nl_{n}") for n, c in new.items()])
     final = []
@@ -155,6 +172,6 @@ def running_scan(
     for name in pairsums:
         final.append((F.col(f"_rs_cs_{name}") + F.col(f"_rs_b_{name}") + F.col(f"_rs_s_{name}")).alias(name))
     for name in distincts:
-        final.append((F.coalesce(F.size(f"_rs_seen_{name}"), F.lit(0)) + F.col(f"_rs_nl_{name}")).cast("long").alias(name))
+        final.append((F.col(f"_rs_seen_{name}") + F.col(f"_rs_nl_{name}")).cast("long").alias(name))
     keep = [c for c in df.columns if c not in aggs and c not in prev and c not in pairsums and c not in distincts]
     return out.select(*keep, *final)

@@ -40,16 +40,22 @@ def sessionize(
     ``session_id = key || '_' || n`` with n = 1, 2, ... per key in time order;
     n is 1 + the running number of breaks, one chunked scan over
     ``(key, time chunk)`` (default one hour; tune to the data's density).
+
+    An event without a key is anonymous and keeps the session it came with; one
+    that came without a session either is a session of its own, named by its
+    event id.
     """
     gap_us = gap_minutes * 60 * 1_000_000
-    df = clicks.withColumn("__chunk", time_chunk("timestamp", chunk_seconds))
+    given = F.col("session_id").cast("string") if "session_id" in clicks.columns else F.lit(None).cast("string")
+    own = F.coalesce(given, F.concat(F.lit("anonymous_"), F.col("event_id").cast("string")))
+    who = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\u0000"), own))
+    df = clicks.withColumn("__chunk", time_chunk("timestamp", chunk_seconds)).withColumn("__who", who).withColumn("__own", own)
     brk = lambda cur, prev: F.when((_micros(cur) - _micros(prev)) > gap_us, 1).otherwise(0)
-    out = running_scan(df, by=[key], chunk="__chunk", order=ORDER,
+    out = running_scan(df, by=["__who"], chunk="__chunk", order=ORDER,
                        pairsums={"__breaks": (F.col("timestamp"), brk)})
     n = F.col("__breaks") + 1
-    return out.withColumn(
-        "session_id", F.concat(F.col(key).cast("string"), F.lit("_"), n.cast("string"))
-    ).drop("__chunk", "__breaks")
+    named = F.concat(F.col(key).cast("string"), F.lit("_"), n.cast("string"))
+    return out.withColumn("session_id", F.coalesce(named, F.col("__own"))).drop("__chunk", "__breaks", "__who", "__own")
 
 
 # --- whole-session features ----------------------------------------------------
@@ -82,8 +88,9 @@ def session_features(
     previous category inside its hour; rows fold to one summary per
     (session, hour) without a further shuffle; hours fold to sessions, where
     category switches across an hour boundary are settled from the neighbouring
-    summaries. Distinct categories come from a separate distinct (session,
-    category) aggregate. No step holds a whole session.
+    summaries. Distinct categories are merged from the hours' sets, which the
+    category vocabulary bounds. No step holds a whole session; events without a
+    session id form one row.
 
     ``action_sequence`` (the whole ordered action list) is opt-in: its size grows
     with the session, so large jobs should use the counters.
@@ -106,6 +113,7 @@ def session_features(
         F.sum(sw).alias("__sw"),
         F.min_by("category", order_key).alias("__first_cat"),
         F.max_by("category", order_key).alias("__last_cat"),
+        F.collect_set("category").alias("__cats"),
     ]
     chunks = rows.groupBy(*keys).agg(*chunk_aggs)
     wc = Window.partitionBy("session_id").orderBy("__chunk")
@@ -120,15 +128,13 @@ def session_features(
         F.sum("total_cart_value").alias("total_cart_value"),
         F.max("max_item_value").alias("max_item_value"),
         F.sum(F.col("__sw") + F.col("__bnd")).alias("category_switches"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("__cats")))).cast("long").alias("categories_viewed"),
     )
-    distinct = (ev.select("session_id", "category").distinct()
-                .groupBy("session_id").agg(F.count(F.lit(1)).alias("categories_viewed")))
-    g = g.join(distinct, on="session_id", how="inner")
     if include_sequence:
         seq = ev.groupBy("session_id").agg(
             F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in ORDER], F.col("action")))),
                         lambda x: x["action"]).alias("action_sequence"))
-        g = g.join(seq, on="session_id", how="inner")
+        g = g.join(seq.withColumnRenamed("session_id", "__sid"), F.col("session_id").eqNullSafe(F.col("__sid")), "inner").drop("__sid")
     return derive_features(g)
 
 

@@ -127,13 +127,18 @@ def daily_profile_snapshots(clicks: DataFrame) -> DataFrame:
 def _before_starts(clicks: DataFrame, starts: DataFrame, marks: DataFrame, chunk_seconds: int = 86400) -> DataFrame:
     """As-of scan per customer: for every session start, count and latest time of
     ``marks`` strictly before it. Marks and starts are merged in time order
-    (starts first on equal times) and the chunked scan keeps it linear."""
-    m = marks.select("customer_id", F.col("timestamp").alias("__t"), F.lit(1).alias("__k"),
-                     F.lit(None).cast("string").alias("session_id"))
-    s = starts.select("customer_id", F.col("session_start").alias("__t"), F.lit(0).alias("__k"), "session_id")
+    (starts first on equal times) and the chunked scan keeps it linear. An
+    anonymous session has no earlier history: it is a customer of its own here,
+    and marks without a customer belong to nobody."""
+    m = marks.where(F.col("customer_id").isNotNull()).select(
+        F.col("customer_id").alias("__who"), "customer_id", F.col("timestamp").alias("__t"), F.lit(1).alias("__k"),
+        F.lit(None).cast("string").alias("session_id"))
+    own = F.concat(F.lit("\u0000"), F.coalesce(F.col("session_id").cast("string"), F.lit("")))
+    s = starts.select(F.coalesce(F.col("customer_id").cast("string"), own).alias("__who"), "customer_id",
+                      F.col("session_start").alias("__t"), F.lit(0).alias("__k"), "session_id")
     u = m.unionByName(s).withColumn("__chunk", time_chunk("__t", chunk_seconds))
     is_mark = F.col("__k") == 1
-    out = running_scan(u, by=["customer_id"], chunk="__chunk", order=["__t", "__k"],
+    out = running_scan(u, by=["__who"], chunk="__chunk", order=["__t", "__k"],
                        aggs={"n_before": ("sum", F.when(is_mark, 1).otherwise(0)),
                              "last_before": ("max", F.when(is_mark, F.col("__t")))})
     return out.where(F.col("__k") == 0).select("session_id", "customer_id", F.col("__t").alias("session_start"),

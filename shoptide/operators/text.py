@@ -53,7 +53,7 @@ _SEGMENT = r'(?s)[^\\"{}]*+(?:\\.|\\|"|\{|\}|$)'
 def first_json_object(text: Column) -> Column:
     """The first balanced ``{...}`` in ``text`` (string- and escape-aware), or null."""
     start = F.instr(text, "{")
-    rest = F.substring(text, start, 1 << 30)
+    rest = F.substring(text, start, F.length(text))
     segs = F.regexp_extract_all(rest, F.lit(_SEGMENT), 0)
     init = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("instr"),
                     F.lit(0).alias("pos"), F.lit(None).cast("int").alias("end"))
@@ -73,13 +73,31 @@ def first_json_object(text: Column) -> Column:
     return F.when((start > 0) & end.isNotNull(), F.substring(rest, 1, end))
 
 
-PLAN_SCHEMA = T.StructType([
-    T.StructField("action", T.StringType()),
-    T.StructField("confidence", T.DoubleType()),
-    T.StructField("reasoning", T.StringType()),
-    T.StructField("product_context", T.StringType()),
-    T.StructField("customer_segment", T.StringType()),
-])
+# Values are read as text (raw JSON for nested ones); numbers are cast afterwards, as a response may quote them.
+PLAN_FIELDS = ["action", "confidence", "reasoning", "product_context", "customer_segment"]
+SLM_FIELDS = ["intent", "reasoning", "confidence"]
+_STRICT = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad", "allowSingleQuotes": "false"}
+# After an object only white space may follow.
+_ONE_OBJECT = r"(?s)\A[ \t\r\n]*\{.*\}[ \t\r\n]*\z"
+
+
+def parsed_object(text: Column, fields: list[str]) -> Column:
+    """The named fields of a strict JSON object as text, or null when ``text`` is anything else.
+
+    Strict: double quotes only, no raw control characters in strings, nothing
+    behind the object.
+    """
+    schema = T.StructType([*[T.StructField(f, T.StringType()) for f in fields], T.StructField("__bad", T.StringType())])
+    p = F.from_json(text, schema, _STRICT)
+    whole = text.rlike(_ONE_OBJECT) & (F.trim(first_json_object(text)) == F.trim(F.regexp_replace(text, r"\A[ \t\r\n]+|[ \t\r\n]+\z", "")))
+    return F.when(whole & p["__bad"].isNull(), p)
+
+
+def number(text: Column, default: float) -> tuple[Column, Column]:
+    """(value, failed) of a number given as JSON number or text; an absent one is ``default``."""
+    value = F.trim(text).try_cast("double")
+    return F.when(text.isNull(), F.lit(default)).otherwise(value), text.isNotNull() & value.isNull()
+
 
 # --- fixed values: fallback keyword scan order of the planner -------------------
 PLANNER_FALLBACK_ACTIONS = ["OFFER_BUNDLE", "SEND_ABANDON_EMAIL", "OFFER_DISCOUNT", "SEND_TO_HUMAN", "SHOW_URGENCY"]
@@ -91,13 +109,13 @@ def planner_resolution(responses: DataFrame) -> DataFrame:
     Parsed JSON object -> its fields with defaults (NO_ACTION, 0.5,
     'LLM analysis', '', 'unknown'); no balanced object or unparsable -> keyword
     scan (first hit in a fixed order) with confidence 0.6 and the first 500
-    characters as reasoning; an error -> NO_ACTION with confidence 0.0.
+    characters as reasoning; an error -> NO_ACTION with confidence 0.0. A
+    confidence given as text counts as its number (null if it is none).
     """
     js = first_json_object(F.col("text"))
     df = responses.withColumn("json_text", js)
-    df = df.withColumn("__valid", F.col("json_text").isNotNull() & F.coalesce(
-        F.get_json_object(F.col("json_text"), "$").isNotNull(), F.lit(False)))
-    df = df.withColumn("__p", F.when(F.col("__valid"), F.from_json(F.col("json_text"), PLAN_SCHEMA)))
+    df = df.withColumn("__p", parsed_object(F.col("json_text"), PLAN_FIELDS))
+    df = df.withColumn("__confidence", number(F.col("__p.confidence"), 0.5)[0]).withColumn("__valid", F.col("__p").isNotNull())
     kw = F.lit("NO_ACTION")
     for a in reversed(PLANNER_FALLBACK_ACTIONS):
         kw = F.when(F.coalesce(F.col("text"), F.lit("")).contains(a), F.lit(a)).otherwise(kw)
@@ -108,7 +126,7 @@ def planner_resolution(responses: DataFrame) -> DataFrame:
         F.when(err, "error").when(valid, "parsed").otherwise("keyword_fallback").alias("outcome"),
         F.when(err, F.lit("NO_ACTION")).when(valid, F.coalesce(F.col("__p.action"), F.lit("NO_ACTION")))
         .otherwise(kw).alias("action"),
-        F.when(err, F.lit(0.0)).when(valid, F.coalesce(F.col("__p.confidence"), F.lit(0.5)))
+        F.when(err, F.lit(0.0)).when(valid, F.col("__confidence"))
         .otherwise(F.lit(0.6)).alias("confidence"),
         F.when(err, F.concat(F.lit("Planner error: "), F.substring(F.col("error"), 1, 200)))
         .when(valid, F.coalesce(F.col("__p.reasoning"), F.lit("LLM analysis")))
@@ -123,24 +141,17 @@ def response_outcomes(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-SLM_SCHEMA = T.StructType([
-    T.StructField("intent", T.StringType()),
-    T.StructField("reasoning", T.StringType()),
-    T.StructField("confidence", T.DoubleType()),
-])
-
-
 def slm_resolution(responses: DataFrame, json_col: str = "text") -> DataFrame:
     """Enrichment responses (session_id, JSON text) -> (ext_intent, ext_confidence, reasoning).
 
-    Defaults: intent BROWSING, reasoning '', confidence 0.0. Empty or
-    unparsable content gives no row (no override)."""
-    p = F.from_json(F.col(json_col), SLM_SCHEMA)
-    ok = F.col(json_col).isNotNull() & (F.trim(F.col(json_col)) != "") & F.get_json_object(F.col(json_col), "$").isNotNull()
-    df = responses.withColumn("__ok", ok).withColumn("__p", F.when(F.col("__ok"), p))
-    return df.where(F.col("__ok")).select(
+    Defaults: intent BROWSING, reasoning '', confidence 0.0; a confidence given
+    as text counts as its number. Content that is empty, not one strict JSON
+    object, or has a confidence that is no number gives no row (no override)."""
+    df = responses.withColumn("__p", parsed_object(F.col(json_col), SLM_FIELDS))
+    confidence, failed = number(F.col("__p.confidence"), 0.0)
+    return df.where(F.col("__p").isNotNull() & ~F.coalesce(failed, F.lit(False))).select(
         "session_id",
         F.coalesce(F.col("__p.intent"), F.lit("BROWSING")).alias("ext_intent"),
-        F.coalesce(F.col("__p.confidence"), F.lit(0.0)).alias("ext_confidence"),
+        confidence.alias("ext_confidence"),
         F.coalesce(F.col("__p.reasoning"), F.lit("")).alias("ext_reasoning"),
     )

@@ -86,5 +86,6 @@ def enriched_features(clicks: DataFrame) -> DataFrame:
     from shoptide.operators.stores import history_enrich
 
     f = session_features(clicks).drop("repeat_customer", "days_since_last_purchase")
-    h = history_enrich(clicks).select("session_id", "repeat_customer", "days_since_last_purchase")
-    return f.join(h, "session_id", "inner")
+    h = history_enrich(clicks).select(F.col("session_id").alias("__sid"), "repeat_customer", "days_since_last_purchase")
+    out = f.join(h, f["session_id"].eqNullSafe(h["__sid"]), "left").drop("__sid")
+    return out.withColumn("repeat_customer", F.coalesce("repeat_customer", F.lit(False)))

@@ -645,12 +645,11 @@ def q_decision_summary(spark, sf):
 sa AS (SELECT *, CASE WHEN allowed THEN guarded_action ELSE 'NO_ACTION' END AS action FROM sp_pol)
 SELECT session_id, CASE WHEN allowed THEN 'ALLOWED' ELSE 'DENIED' END AS opa_verdict,
   CASE WHEN allowed THEN 'EXECUTED:' || action ELSE 'DENIED:' || proposed_action END AS result,
-  CASE WHEN allowed THEN CASE action {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in __import__('shoptide.operators.vectors', fromlist=['x']).ACTION_HANDLERS.items())} ELSE action END END AS handler,
   {_SUMMARY_SQL} AS summary FROM sa""")
 def q_closed_loop(spark, sf):
     from shoptide.operators.vectors import closed_loop
     c = closed_loop(session_actions(session_clicks(spark, sf)))
-    return c.select("session_id", "opa_verdict", "result", "handler", "summary")
+    return c.select("session_id", "opa_verdict", "result", "summary")
 
 
 _LAB = f"""lab AS (SELECT session_id, rule_intent AS label FROM sp_pol)"""

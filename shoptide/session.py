@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -20,20 +19,23 @@ def build_session(
     * AQE on: runtime partition coalescing, skew-join splitting and
       size-checked broadcast conversion.
     * Spark UI off (no HTTP server).
+
+    Master, shuffle partitions and memory are the cluster's own settings unless
+    they are given here.
     """
-    cpus = os.environ.get("BENCH_CPUS")
-    master = master or f"local[{cpus or '*'}]"
+    b = SparkSession.builder.appName(app_name)
+    if master:
+        b = b.master(master)
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     b = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
+        b
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
-        .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for k, v in (extra or {}).items():
@@ -44,21 +46,22 @@ def build_session(
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is read as is.
-    Only when it is unset (local tests) a private folder is created.
+    Only a local session may lack the setting (all its tasks share one machine);
+    it then gets a folder of its own. On a cluster a missing setting is an
+    error, as executors could not read each other's local files.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    local = tempfile.mkdtemp(prefix="shoptide-ckpt-")
-    sc.setCheckpointDir(local)
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="shoptide-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", current)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
+    return current
 
 
 def materialize(df, name: str):

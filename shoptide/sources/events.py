@@ -163,7 +163,7 @@ def kafka_options(bootstrap: str, topic: str = "ecommerce.clicks.raw", group_id:
         "subscribe": topic,
         "startingOffsets": "earliest",
         "kafka.group.id": group_id,
-        "failOnDataLoss": "false",
+        "failOnDataLoss": "true",
     }
 
 

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 from datetime import datetime, timedelta
 
 import pytest
@@ -13,8 +14,10 @@ T0 = datetime(2024, 1, 1, 12, 0, 0)
 def spark():
     from shoptide.session import build_session, checkpoint_dir
 
-    s = build_session(master="local[4]", shuffle_partitions=4)
-    checkpoint_dir(s)
+    folder = tempfile.mkdtemp(prefix="shoptide-tests-")
+    s = build_session(master="local[4]", shuffle_partitions=4, extra={
+        "spark.driver.memory": "4g", "spark.checkpoint.dir": folder, "spark.sql.warehouse.dir": f"{folder}/warehouse"})
+    assert folder in checkpoint_dir(s)
     yield s
 
 
