@@ -11,15 +11,19 @@ Suppression semantics (per session, in event-time order):
 Because the session stamp blocks every action, whether an event dispatches
 depends only on the time of the last dispatch: the dispatches are the greedy
 chain over *capable* events (allowed and not turned into NO_ACTION by a guard),
-each at least the cooldown after the previous one. That chain is the only
-sequential step; it runs as a fold over the session's capable events only.
-Every other event's outcome is an as-of lookup of the latest earlier dispatch.
+each at least the cooldown after the previous one. A capable event at least one
+cooldown after the previous capable event always dispatches, whatever came
+before. So a session is cut there into islands that do not depend on each other;
+chunked scans number them, and each island is one ordered stream that keeps a
+single value, its last dispatch. The stream also gives every other event the
+latest dispatch before it, so nothing is joined back.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shoptide.functions.running import running_scan, time_chunk
 from shoptide.schema import ACTION_MAP, COOLDOWN_MINUTES, NO_ACTION
@@ -76,92 +80,70 @@ def session_decision(df: DataFrame) -> DataFrame:
     return g.select("*", act.alias("action"), reason.alias("reason"))
 
 
-FOLD_LIMIT = 50_000  # capable events per session handled by the in-task fold
-
-
-def _fold_chain(events: DataFrame, capable: Column, cd: int) -> DataFrame:
-    """Greedy chain by a fold per session over its time-sorted capable events,
-    keeping the last dispatch time. Non-capable events never enter the list
-    (``collect_list`` skips nulls; a ``when`` rather than a ``filter`` keeps
-    Catalyst from inlining the policy expression into a pushed predicate)."""
-    item = F.when(capable, F.struct(_micros(F.col("timestamp")).alias("t"), F.col("event_id").alias("e")))
-    g = events.groupBy("session_id").agg(F.array_sort(F.collect_list(item)).alias("evs"))
-    init = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<string>").alias("d"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fire = acc["last"].isNull() | ((x["t"] - acc["last"]) >= F.lit(cd))
-        return F.when(fire, F.struct(x["t"].alias("last"), F.array_append(acc["d"], x["e"]).alias("d"))).otherwise(acc)
-
-    folded = g.select("session_id", F.aggregate("evs", init, step)["d"].alias("d"))
-    return folded.select("session_id", F.explode("d").alias("event_id"))
-
-
-def _doubling_chain(cap: DataFrame, cd: int, max_len: int, chunk_seconds: int) -> DataFrame:
-    """Greedy chain by pointer doubling, for sessions too large for one task.
-
-    ``cap``: capable events (session_id, event_id, t micros). next(c) is the
-    first capable event at or after t_c + cooldown (ties by event id), found by
-    a descending as-of scan. The chain is the orbit of each session's first
-    capable event: starting from R = {first}, round k adds next^(2^k)(R) and
-    squares the jump table. All joins are on (session_id, event_id), so a hot
-    session spreads over tasks; each round is written out to cut lineage."""
-    from shoptide.session import materialize
-
-    width = chunk_seconds * 1_000_000
-    q = cap.select("session_id", (F.col("t") + F.lit(cd)).alias("__time"), F.lit(0).alias("__kind"),
-                   F.col("event_id").alias("node"), F.lit(None).cast("string").alias("__cand"))
-    c = cap.select("session_id", F.col("t").alias("__time"), F.lit(1).alias("__kind"),
-                   F.lit(None).cast("string").alias("node"), F.col("event_id").alias("__cand"))
-    u = q.unionByName(c).withColumn("__chunk", -F.floor(F.col("__time") / F.lit(width)))
-    key = F.when(F.col("__kind") == 1, F.struct(F.col("__time").alias("t"), F.col("__cand").alias("e")))
-    s = running_scan(u, by=["session_id"], chunk="__chunk",
-                     order=[F.col("__time").desc(), F.col("__kind").desc(), F.col("__cand").desc()],
-                     aggs={"__nx": ("min", key)})
-    jump = materialize(s.where(F.col("__kind") == 0).select("session_id", "node", F.col("__nx.e").alias("to")),
-                       "chain-jump")
-    first = cap.groupBy("session_id").agg(F.min_by("event_id", F.struct("t", "event_id")).alias("node"))
-    reach = materialize(first, "chain-reach")
-    span = 1
-    while span < max_len:
-        step = reach.join(jump, ["session_id", "node"]).where(F.col("to").isNotNull()).select(
-            "session_id", F.col("to").alias("node"))
-        reach = materialize(reach.unionByName(step), "chain-reach")
-        span *= 2
-        if span < max_len:
-            j2 = jump.alias("a").join(jump.alias("b"), (F.col("a.session_id") == F.col("b.session_id"))
-                                      & (F.col("a.to") == F.col("b.node")), "left")
-            jump = materialize(j2.select(F.col("a.session_id").alias("session_id"), F.col("a.node").alias("node"),
-                                         F.col("b.to").alias("to")), "chain-jump")
-    return reach.select("session_id", F.col("node").alias("event_id"))
-
-
-def dispatch_chain(events: DataFrame, capable: Column, cooldown_minutes: int = COOLDOWN_MINUTES,
-                   fold_limit: int = FOLD_LIMIT, chunk_seconds: int = 3600) -> DataFrame:
-    """(session_id, event_id) of the dispatches: the greedy cooldown chain.
-
-    Sessions with at most ``fold_limit`` capable events fold in one task each
-    (a bounded list); larger sessions use :func:`_doubling_chain`, whose rounds
-    are set by their largest capable count (one scalar read). Both are exact.
-    """
-    cd = cooldown_minutes * 60 * 1_000_000
-    cap = events.select("session_id", "event_id", _micros(F.col("timestamp")).alias("t"),
-                        capable.alias("__cap")).where(F.col("__cap")).drop("__cap")
-    counts = cap.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
-    big = counts.where(F.col("n") > fold_limit)
-    small_events = events.join(big.select("session_id"), "session_id", "left_anti")
-    folded = _fold_chain(small_events, capable, cd)
-    max_len = big.agg(F.max("n")).first()[0]
-    if max_len is None:
-        return folded
-    big_cap = cap.join(big.select("session_id"), "session_id", "left_semi")
-    return folded.unionByName(_doubling_chain(big_cap, cd, int(max_len), chunk_seconds))
+def _stream_islands(cooldown_us: int):
+    """Marks the dispatches of each island, rows sorted by (session, island, order).
+
+    Holds one Arrow batch and the last dispatch; a batch's islands are cut with
+    numpy, and within one the next dispatch is a binary search."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        island, last_t, last_act = None, None, None  # of the island that the batch before ended in
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            sid, num = batch.column("session_id"), batch.column("__island")
+            changed = np.zeros(n, bool)
+            for col in (sid, num):
+                same = pc.fill_null(pc.equal(col[1:], col[:-1]), False).to_numpy(zero_copy_only=False)
+                none = (pc.is_null(col[1:]).to_numpy(zero_copy_only=False) & pc.is_null(col[:-1]).to_numpy(zero_copy_only=False))
+                changed[1:] |= ~(same | none)
+            changed[0] = (sid[0].as_py(), num[0].as_py()) != island
+            heads = np.flatnonzero(np.r_[True, changed[1:]])
+            t = pc.fill_null(batch.column("__t"), 0).to_numpy(zero_copy_only=False)
+            capable = pc.fill_null(batch.column("__capable"), False).to_numpy(zero_copy_only=False)
+            acts = batch.column("guarded_action")
+            fired = np.zeros(n, bool)
+            source = np.full(n, -1)  # row of the latest dispatch; -2: the one carried over
+            for a, b in zip(heads, np.r_[heads[1:], n]):
+                if changed[a]:
+                    last_t = last_act = None
+                rows = a + np.flatnonzero(capable[a:b])
+                times = t[rows]
+                i = 0 if last_t is None else int(np.searchsorted(times, last_t + cooldown_us))
+                at = last_t
+                while i < len(rows):
+                    fired[rows[i]] = True
+                    at = times[i]
+                    i = int(np.searchsorted(times, at + cooldown_us))
+                mark = np.where(fired[a:b], np.arange(a, b), -1 if last_t is None else -2)
+                source[a:b] = np.where(np.maximum.accumulate(np.maximum(mark, -1)) >= 0, np.maximum.accumulate(mark), mark)
+                carried_t, carried_act = last_t, last_act
+                if fired[a:b].any():
+                    last = int(np.flatnonzero(fired[a:b])[-1]) + a
+                    last_t, last_act = int(t[last]), acts[last].as_py()
+                if a == 0:
+                    first_t, first_act = carried_t, carried_act
+            island = (sid[n - 1].as_py(), num[n - 1].as_py())
+            own = pa.array(np.maximum(source, 0))
+            when, what = pc.take(batch.column("__t"), own), pc.take(acts, own)
+            known, carried = pa.array(source >= 0), pa.array(source == -2)
+            when = pc.if_else(known, when, pc.if_else(carried, pa.scalar(first_t, pa.int64()), pa.scalar(None, pa.int64())))
+            what = pc.if_else(known, what, pc.if_else(carried, pa.scalar(first_act, pa.string()), pa.scalar(None, pa.string())))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(fired), when, what], names=[*batch.schema.names, "dispatched", "__last_t", "__last_act"])
+
+    return run
 
 
 def action_decisions(
     scored: DataFrame,
     cooldown_minutes: int = COOLDOWN_MINUTES,
     chunk_seconds: int = 3600,
-    fold_limit: int = FOLD_LIMIT,
 ) -> DataFrame:
     """Per-event final action with suppression.
 
@@ -170,20 +152,26 @@ def action_decisions(
     guards read (total_cart_value, checkouts). Adds ``action``, ``reason``,
     ``dispatched`` and ``action_id``.
     """
-    g = dispatch_guards(scored)
-    capable_cond = F.col("allowed") & (F.col("guarded_action") != NO_ACTION)
-    chain = dispatch_chain(g, capable_cond, cooldown_minutes, fold_limit=fold_limit, chunk_seconds=chunk_seconds)
-    g = g.join(chain.select("session_id", "event_id", F.lit(True).alias("__disp")),
-               on=["session_id", "event_id"], how="left")
-    # latest dispatch at or before each event (for non-dispatch rows: strictly before)
-    g = g.select("*", F.coalesce(F.col("__disp"), F.lit(False)).alias("dispatched"),
-                 time_chunk("timestamp", chunk_seconds).alias("__chunk")).drop("__disp")
-    last_key = F.when(F.col("dispatched"), F.struct(F.col("timestamp").alias("ts"), F.col("event_id").alias("eid"),
-                                                   F.col("guarded_action").alias("act")))
-    g = running_scan(g, by=["session_id"], chunk="__chunk", order=ORDER, aggs={"__last": ("max", last_key)})
     cd = cooldown_minutes * 60 * 1_000_000
-    cooling = F.coalesce((_micros(F.col("timestamp")) - _micros(F.col("__last.ts"))) < F.lit(cd), F.lit(False))
-    same = cooling & (F.col("proposed_action") == F.col("__last.act"))
+    g = dispatch_guards(scored)
+    t = _micros(F.col("timestamp"))
+    capable = F.coalesce(F.col("allowed") & (F.col("guarded_action") != NO_ACTION), F.lit(False))
+    g = g.select("*", t.alias("__t"), capable.alias("__capable"), time_chunk("timestamp", chunk_seconds).alias("__chunk"))
+    g = running_scan(g, by=["session_id"], chunk="__chunk", order=ORDER,
+                     aggs={"__latest": ("max", F.when(F.col("__capable"), F.col("__t")))})
+
+    def opens(cur: Column, prev: Column) -> Column:
+        free = prev["latest"].isNull() | (cur["t"] - prev["latest"] >= cd)
+        return F.when(cur["capable"] & free, 1).otherwise(0)
+
+    state = F.struct(F.col("__t").alias("t"), F.col("__capable").alias("capable"), F.col("__latest").alias("latest"))
+    g = running_scan(g, by=["session_id"], chunk="__chunk", order=ORDER, pairsums={"__island": (state, opens)}).drop("__latest", "__chunk")
+    schema = T.StructType([*g.schema.fields, T.StructField("dispatched", T.BooleanType()), T.StructField("__last_t", T.LongType()),
+                           T.StructField("__last_act", T.StringType())])
+    g = g.repartition("session_id", "__island").sortWithinPartitions("session_id", "__island", *ORDER)
+    g = g.mapInArrow(_stream_islands(cd), schema)
+    cooling = F.coalesce(F.col("__t") - F.col("__last_t") < F.lit(cd), F.lit(False))
+    same = cooling & (F.col("proposed_action") == F.col("__last_act"))
     disp = F.col("dispatched")
     action = F.when(disp, F.col("guarded_action")).otherwise(F.lit(NO_ACTION))
     reason = (
@@ -195,7 +183,7 @@ def action_decisions(
     )
     out = g.drop("action").select("*", action.alias("action"), reason.alias("reason"))
     out = out.select("*", action_id(F.col("session_id"), F.col("action"), F.col("timestamp")).alias("action_id"))
-    return out.drop("__chunk", "__last")
+    return out.drop("__t", "__capable", "__island", "__last_t", "__last_act")
 
 
 def suppressor_counts(decisions: DataFrame) -> DataFrame:
