@@ -1042,3 +1042,96 @@ def q_ledger_outcomes(spark, sf):
     acks = acknowledgements(evaluation_outcomes(clicks, led))
     merged = upsert(led.drop("status").unionByName(acks), mode="pg")
     return rounded(merged.select(*_LCOLS))
+
+
+# --- events without a customer -------------------------------------------------------
+# Every fourth event comes without a customer, with the day's visit as its session.
+_MIXED_SQL = f"""mixed AS (
+  SELECT * REPLACE (CASE WHEN CAST(event_id AS BIGINT) % 4 = 0 THEN NULL ELSE customer_id END AS customer_id),
+    CASE WHEN CAST(event_id AS BIGINT) % 4 = 0 THEN 'visit_' || strftime(timestamp, '%Y%m%d') END AS given FROM clicks),
+m_prev AS (SELECT *, LAG(timestamp) OVER (PARTITION BY customer_id ORDER BY timestamp, event_id) AS prev_ts FROM mixed),
+m_sess AS (
+  SELECT event_id, customer_id, timestamp, action,
+    CASE WHEN customer_id IS NULL THEN given ELSE customer_id || '_' || CAST(1 + SUM(
+      CASE WHEN epoch_us(timestamp) - epoch_us(prev_ts) > {O.GAP_US} THEN 1 ELSE 0 END)
+      OVER (PARTITION BY customer_id ORDER BY timestamp, event_id ROWS UNBOUNDED PRECEDING) AS VARCHAR) END AS session_id
+  FROM m_prev)"""
+
+
+def _mixed_clicks(spark, sf):
+    from shoptide.operators.sessions import sessionize
+    from shoptide.sources.events import load_clicks
+
+    anonymous = F.col("event_id").cast("long") % 4 == 0
+    c = load_clicks(spark, sf)
+    c = c.withColumn("customer_id", F.when(~anonymous, F.col("customer_id"))).withColumn(
+        "session_id", F.when(anonymous, F.concat(F.lit("visit_"), F.date_format("timestamp", "yyyyMMdd"))))
+    return sessionize(c, gap_minutes=360)
+
+
+@register("sessionize_anonymous", f"{with_(O.CLICKS, _MIXED_SQL)}\nSELECT event_id, customer_id, session_id FROM m_sess")
+def q_sessionize_anonymous(spark, sf):
+    """Sessions where a quarter of the events has no customer: none is lost, and they keep the session they came with."""
+    return _mixed_clicks(spark, sf).select("event_id", "customer_id", "session_id")
+
+
+@register("anonymous_history", f"""{with_(O.CLICKS, _MIXED_SQL)},
+starts AS (SELECT session_id, max(customer_id) AS customer_id, min(timestamp) AS session_start, count(*) AS total_actions FROM m_sess GROUP BY session_id),
+bought AS (SELECT customer_id, timestamp FROM m_sess WHERE action = 'purchase_complete' AND customer_id IS NOT NULL)
+SELECT s.session_id, s.total_actions, count(b.timestamp) > 0 AS repeat_customer,
+  CAST(floor((epoch_us(s.session_start) - epoch_us(max(b.timestamp))) / 86400000000.0) AS INTEGER) AS days_since_last_purchase
+FROM starts s LEFT JOIN bought b ON b.customer_id = s.customer_id AND b.timestamp < s.session_start
+GROUP BY s.session_id, s.total_actions, s.session_start""")
+def q_anonymous_history(spark, sf):
+    """Features with customer history for all sessions, those without a customer too."""
+    from shoptide.plans.pipeline import enriched_features
+
+    return enriched_features(_mixed_clicks(spark, sf)).select("session_id", "total_actions", "repeat_customer", "days_since_last_purchase")
+
+
+# --- model responses around whole conversation texts ----------------------------------
+# The SQL states what each shape of response must come to, not how it is parsed.
+_RESPONSES = "a AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'assistant')"
+
+
+def _replies(spark, sf):
+    c = table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    return c.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("reply"))
+
+
+@register("planner_replies", f"""WITH {_RESPONSES}
+SELECT conv_id, turn,
+  CASE turn % 4 WHEN 1 THEN 'parsed' WHEN 2 THEN 'keyword_fallback' WHEN 3 THEN 'keyword_fallback' ELSE 'error' END AS outcome,
+  CASE turn % 4 WHEN 1 THEN 'SHOW_URGENCY' WHEN 2 THEN 'NO_ACTION' WHEN 3 THEN 'OFFER_BUNDLE' ELSE 'NO_ACTION' END AS action,
+  CASE turn % 4 WHEN 1 THEN 0.75 WHEN 0 THEN 0.0 ELSE 0.6 END::DOUBLE AS confidence,
+  CASE turn % 4 WHEN 1 THEN text WHEN 2 THEN left('Plan: ' || text, 500)
+    WHEN 3 THEN left('{{''action'': ''OFFER_BUNDLE''}} ' || text, 500) ELSE 'Planner error: timeout' END AS reasoning
+FROM a""")
+def q_planner_replies(spark, sf):
+    """Planner replies of four shapes around whole assistant texts: wrapped JSON with a quoted number, prose, single-quoted pseudo-JSON, errors."""
+    from shoptide.operators.text import planner_resolution
+
+    plan = F.to_json(F.struct(F.lit("SHOW_URGENCY").alias("action"), F.lit("0.75").alias("confidence"), F.col("reply").alias("reasoning")))
+    shape = F.col("turn") % 4
+    text = (F.when(shape == 1, F.concat(F.lit("Here you are: "), plan, F.lit(" That is all.")))
+            .when(shape == 2, F.concat(F.lit("Plan: "), F.col("reply")))
+            .when(shape == 3, F.concat(F.lit("{'action': 'OFFER_BUNDLE'} "), F.col("reply"))))
+    r = _replies(spark, sf).select(F.struct("conv_id", "turn").alias("session_id"), text.alias("text"), F.when(shape == 0, F.lit("timeout")).alias("error"))
+    return planner_resolution(r).select("session_id.conv_id", "session_id.turn", "outcome", "action", "confidence", "reasoning")
+
+
+@register("slm_replies", f"""WITH {_RESPONSES}
+SELECT conv_id, turn, CASE turn % 6 WHEN 1 THEN 'CARTING' ELSE 'BROWSING' END AS ext_intent,
+  CASE turn % 6 WHEN 1 THEN 0.8 ELSE 0.0 END::DOUBLE AS ext_confidence, CASE turn % 6 WHEN 1 THEN text ELSE '' END AS ext_reasoning
+FROM a WHERE turn % 6 IN (1, 2)""")
+def q_slm_replies(spark, sf):
+    """Enrichment replies of six shapes around whole assistant texts; only strict JSON objects with a number for confidence give a row."""
+    from shoptide.operators.text import slm_resolution
+
+    shape = F.col("turn") % 6
+    full = F.to_json(F.struct(F.lit("CARTING").alias("intent"), F.lit("0.8").alias("confidence"), F.col("reply").alias("reasoning")))
+    high = F.to_json(F.struct(F.lit("high").alias("confidence"), F.col("reply").alias("reasoning")))
+    text = (F.when(shape == 1, full).when(shape == 2, F.lit(" {} ")).when(shape == 3, high)
+            .when(shape == 4, F.concat(full, F.lit(" "), F.col("reply"))).when(shape == 5, F.concat(F.lit("["), full, F.lit("]"))).otherwise(F.col("reply")))
+    r = _replies(spark, sf).select(F.struct("conv_id", "turn").alias("session_id"), text.alias("text"))
+    return slm_resolution(r).select("session_id.conv_id", "session_id.turn", "ext_intent", "ext_confidence", "ext_reasoning")
