@@ -16,20 +16,26 @@ lost. Signatures travel in packed blocks, one row per text chunk and reducer.
 
 **Candidates.** Sets with a signature in common form buckets. In a bucket of a
 few sets (``SMALL``) all pairs are candidates. Larger buckets are put together
-in groups, and every set of a group is compared only with the group's core, the
-shingles that most of a small sample of the group hold. Two sets differ exactly
-where their differences from the core differ. So sets close to the core are
-linked for certain through the closest one, and any other linked pair shares an
-element in short prefixes of the two differences (in one order, shingles outside
-the core first). These shared elements are the buckets of the next round; they
-hold about half of a group at most, as an element in more sets belongs to the
-core; after ``MERGED_ROUNDS`` rounds each bucket is a group of its own, so that
-groups shrink to the end. A round is linear in its bucket rows, whatever the size of a group, and a
-passage that many documents share vanishes from the differences. The sample
-steers only the work, never the result.
+in groups around the set that has most company. A group of bounded size (up to
+``GROUP_SETS`` sets and ``GROUP_SHINGLES`` shingles, each set shipped once) is
+settled in one task: sets close to the group's core, the shingles that most of
+the group hold, are linked for certain through the closest one, and only the
+others are held against the rest, so that a group gives at most one link per
+set. A group beyond the bound is divided first: two sets differ exactly where
+their differences from the core differ, so linked sets which are not both close
+to the core share an element in short prefixes of the two differences (in one
+order, shingles outside the core first). These shared elements are the buckets
+of the next round; they hold about half of a group at most, as an element in
+more sets belongs to the core. After ``MERGED_ROUNDS`` rounds each bucket is a
+group of its own, so that groups shrink to the end. A round is linear in its
+bucket rows, and a passage that many documents share vanishes from the
+differences. The core of a divided group comes from a small sample, which steers
+only the work, never the result.
 
 **Verification** compares whole sets of 64-bit shingle hashes, with the members
-of large groups dealt over several tasks. Equal sets are one node from the
+of large groups dealt over several tasks. Pairs go without their texts first: a
+sketch of ``CELLS`` element counts bounds the difference of two sets from below,
+and only pairs that it allows are fetched. Equal sets are one node from the
 start, so exact copies never meet.
 
 Defined results: a null or empty text, or one without words, has no shingles and
@@ -62,6 +68,8 @@ HUB_ROWS = 256
 SHINGLES_PER_PART = 3_000_000
 SAMPLE = 64
 MERGED_ROUNDS = 1
+CELLS = 128
+GROUP_SETS, GROUP_SHINGLES = 4096, 3_000_000  # a group of up to so many is settled in one task
 
 
 def _bands(largest: int) -> list[int]:
@@ -227,6 +235,91 @@ def _buckets(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
+def _sketches(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Elements of each set by hash cell, cut at 255. Two sets differ in at least the sum of the cells' differences."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    cell = of * CELLS + (h >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=len(sizes) * CELLS), 255).astype(np.uint8).reshape(len(sizes), CELLS)
+
+
+def _with_sketches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) -> (node, text, n, sketch); a row whose text is not the node's goes (a doc_id that several texts have)."""
+    for rows, h, sizes, digests in _sets(parts):
+        sketch = _sketches(h, sizes)
+        out = pa.RecordBatch.from_arrays(
+            [rows.column("node"), rows.column("text"), pa.array(sizes), pa.array([x.tobytes() for x in sketch], pa.binary())], ["node", "text", "n", "sketch"])
+        yield out.filter(pa.array(digests.view(np.int64) == rows.column("node").to_numpy(zero_copy_only=False)))
+
+
+def _may_link(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches allow a similarity of 0.8."""
+    for part in parts:
+        x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("x", "y"))
+        apart = np.abs(x - y).sum(axis=1)
+        total = part.column("nx").to_numpy() + part.column("ny").to_numpy()
+        yield part.filter(pa.array(9 * apart <= total)).select(["node", "hub"])
+
+
+def _settle(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (positions) that connect all sets which are connected by links; at most one per set.
+
+    Sets near the core are linked for certain (see :func:`_refine`); any other
+    set is held against all sets that are not connected with it yet, by sketch
+    first and then as a whole.
+    """
+    a = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    elements, n = np.unique(flat, return_counts=True)
+    core = elements[2 * n > len(sets)]
+    inside = core[np.minimum(np.searchsorted(core, flat), len(core) - 1)] == flat if len(core) else np.zeros(len(flat), bool)
+    slack = a - 9 * (a + len(core) - 2 * np.bincount(np.repeat(np.arange(len(a)), a), inside, len(a)).astype(np.int64))
+    centre = int(np.argmax(slack))
+    near = np.flatnonzero(slack + slack[centre] >= 0)
+    links = [(int(i), centre) for i in near if i != centre]
+    root = np.arange(len(a))
+    root[near] = centre
+    sketch = _sketches(flat, a).astype(np.int16)
+    for i in np.setdiff1d(np.arange(len(a)), near):
+        apart = np.abs(sketch - sketch[i]).sum(axis=1)
+        for j in np.flatnonzero((9 * apart <= a + a[i]) & (root != root[i])):
+            if root[i] == root[j]:
+                continue
+            x, y = sets[i], sets[j]
+            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            if 100 * both >= 80 * (len(x) + len(y) - both):
+                links.append((int(i), int(j)))
+                root[root == root[i]] = root[j]
+    return links
+
+
+def _settled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (label, node); one group of bounded size is held at a time."""
+    at, nodes, held = None, [], []
+
+    def out() -> pa.RecordBatch:
+        links = _settle(held) if len(held) > 1 else []
+        rows = pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in links], pa.int64()), pa.array([nodes[j] for _, j in links], pa.int64())], ["a", "b"])
+        nodes.clear()
+        held.clear()
+        return rows
+
+    for part in parts:
+        texts = as_large(part.column("text"))
+        for lo, hi in chunks(texts):
+            doc, h = shingle_sets(TextBatch(texts, lo, hi))
+            ends = np.searchsorted(doc, np.arange(hi - lo + 1))
+            rows = part.slice(lo, hi - lo).select(["label", "node"]).to_pydict()
+            for i, (label, node) in enumerate(zip(rows["label"], rows["node"])):
+                if held and label != at:
+                    yield out()
+                if not nodes or node != nodes[-1]:
+                    nodes.append(node)
+                    held.append(h[ends[i]:ends[i + 1]].copy())
+                at = label
+    if held:
+        yield out()
+
+
 def _compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (hub, salt), the hub's own row first; one result per member."""
     hub, hub_set = None, np.empty(0, np.uint64)
@@ -386,24 +479,32 @@ def link_components(docs: DataFrame) -> DataFrame:
     ids = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("rid").alias("rid"))
     wanted = ids.join(members.select("node").distinct(), "node", "left_semi")
     sets = rows.select("rid", "text").join(written(wanted, "wanted"), "rid").select("node", "text")
-    sets = written(sets.dropDuplicates(["node"]), "sets")
+    sets = written(sets.mapInArrow(_with_sketches, "node long, text string, n long, sketch binary"), "sets")
 
-    links, done, round_no = [], None, 0
+    links, round_no = [], 0
+    sketches, texts = sets.select("node", "n", "sketch"), sets.select("node", "text")
     while not members.isEmpty():
         small = SMALL[min(round_no, 1)]
         pairs = _small_pairs(members, small)
-        if done is not None:
-            pairs = pairs.join(done, ["node", "hub"], "left_anti")
-        pairs = written(pairs, "pairs")
-        heads = pairs.select("hub").distinct().join(sets.withColumnRenamed("node", "hub"), "hub").withColumn("core", F.lit(None).cast("binary"))
-        compared = _dealt(pairs, sets, heads, "hub").mapInArrow(_compare, "node long, hub long, linked boolean")
-        compared = written(compared, "compared")
-        links.append(compared.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-        done = compared.select("node", "hub") if done is None else done.union(compared.select("node", "hub"))
-        groups = written(_large_groups(members, small, merge=round_no < MERGED_ROUNDS), "groups")
-        if groups.isEmpty():
+        pairs = pairs.join(sketches.select("node", F.col("n").alias("nx"), F.col("sketch").alias("x")), "node")
+        pairs = pairs.join(sketches.select(F.col("node").alias("hub"), F.col("n").alias("ny"), F.col("sketch").alias("y")), "hub")
+        pairs = pairs.where("5 * nx >= 4 * ny AND 5 * ny >= 4 * nx").select("node", "hub", "nx", "ny", "x", "y")
+        pairs = written(pairs.mapInArrow(_may_link, "node long, hub long"), "pairs")
+        heads = pairs.select("hub").distinct().join(texts.withColumnRenamed("node", "hub"), "hub").withColumn("core", F.lit(None).cast("binary"))
+        compared = _dealt(pairs, texts, heads, "hub").mapInArrow(_compare, "node long, hub long, linked boolean")
+        links.append(written(compared.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b")), "links"))
+
+        groups = _large_groups(members, small, merge=round_no < MERGED_ROUNDS).join(sketches.select("node", "n"), "node")
+        groups = written(groups, "groups")
+        sizes = groups.groupBy("label").agg(F.count("*").alias("n_sets"), F.sum("n").alias("n_shingles"))
+        sizes = written(sizes.withColumn("fits", (F.col("n_sets") <= GROUP_SETS) & (F.col("n_shingles") <= GROUP_SHINGLES)).select("label", "fits"), "sizes")
+        groups = groups.join(sizes, "label")
+        settled = groups.where("fits").select("label", "node").join(texts, "node").repartition("label").sortWithinPartitions("label", "node")
+        links.append(written(settled.mapInArrow(_settled, "a long, b long"), "links"))
+        wide = written(groups.where("NOT fits").select("label", "node"), "wide-groups")
+        if wide.isEmpty():
             break
-        certain, members = _refine(groups, sets)
+        certain, members = _refine(wide, texts)
         links.append(certain)
         round_no += 1
 

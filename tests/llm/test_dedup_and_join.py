@@ -115,11 +115,41 @@ def test_near_copies_shared_passages_and_odd_rows(docs, odd_rows, monkeypatch):
     rows += [(3000 + i, " ".join(prose(rng, 8))) for i in range(20)] + [(3100 + i, "A b C d e f g h") for i in range(5)] + [(3200, "a B c D e f g H i")]
     expected = plain_components(rows)
     assert got(ngram_jaccard_join.link_components(docs(rows, clash=True))) == expected
-    monkeypatch.setattr(ngram_jaccard_join, "SMALL", (2, 3))  # nearly all through cores and differences
-    monkeypatch.setattr(ngram_jaccard_join, "SAMPLE", 8)
+    for name, value in (("SMALL", (2, 16)), ("SAMPLE", 8), ("GROUP_SETS", 40)):  # large groups are divided
+        monkeypatch.setattr(ngram_jaccard_join, name, value)
     assert got(ngram_jaccard_join.link_components(docs(rows))) == expected
 
 
+def test_a_settled_group_has_the_components_of_all_its_links():
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 1 << 63, 120).astype(np.uint64)
+    for spread in (6, 14, 22, 40):
+        sets = []
+        for _ in range(60):
+            gone = int(rng.integers(0, spread))
+            sets.append(np.unique(np.concatenate([rng.permutation(base)[gone:], rng.integers(1, 1 << 63, int(rng.integers(0, spread))).astype(np.uint64)])))
+        sets += [rng.integers(1, 1 << 63, 30).astype(np.uint64) for _ in range(3)]
+        root = list(range(len(sets)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    root[find(i)] = find(j)
+        wanted = {frozenset(j for j in range(len(sets)) if find(j) == find(i)) for i in range(len(sets))}
+        links = ngram_jaccard_join._settle([np.sort(x) for x in sets])
+        assert len(links) < len(sets)
+        root = list(range(len(sets)))
+        for i, j in links:
+            root[find(i)] = find(j)
+        assert {frozenset(j for j in range(len(sets)) if find(j) == find(i)) for i in range(len(sets))} == wanted
+
+
 def test_one_row_of_a_component_stays(docs):
     rows = [(5, "a b c d e f"), (3, "a b c d e f"), (7, "other words that are not the same"), (8, None), (9, "")]
     kept = ngram_jaccard_join.one_per_component(docs(rows, clash=True))
