@@ -47,7 +47,8 @@ class DigestIndex:
 
         A batch that already reached the index adds nothing when it is given again.
         """
-        new = digests.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("keep"))
+        # Written, as Spark would else put the anti-join below the aggregation and shuffle every copy of a text.
+        new = written(digests.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("keep")), "batch")
         fresh = new.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
         (
             fresh.select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"), F.lit(batch).alias("batch"))
