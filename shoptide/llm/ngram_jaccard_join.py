@@ -478,7 +478,8 @@ def link_components(docs: DataFrame) -> DataFrame:
 
     ids = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("rid").alias("rid"))
     wanted = ids.join(members.select("node").distinct(), "node", "left_semi")
-    sets = rows.select("rid", "text").join(written(wanted, "wanted"), "rid").select("node", "text")
+    # The wanted rows have no bound, so they are never broadcast, at any size.
+    sets = rows.select("rid", "text").join(written(wanted, "wanted").hint("merge"), "rid").select("node", "text")
     sets = written(sets.mapInArrow(_with_sketches, "node long, text string, n long, sketch binary"), "sets")
 
     links, round_no = [], 0
