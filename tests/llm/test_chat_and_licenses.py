@@ -81,7 +81,7 @@ def plain_search(text):
 
 def test_notices_are_found_where_a_plain_search_finds_them(docs, odd_rows):
     filler = ["", "Some words of prose stand here and there. ", "x " * 300, "No license to speak of, the copyright is gone.\n"]
-    texts = [a + t + b for (_, t), a, b in itertools.product(license_scan.TEMPLATES, filler, filler[:3])]
+    texts = [a + t + " " + b for (_, t), a, b in itertools.product(license_scan.TEMPLATES, filler, filler[:3])]
     texts += [license_scan.TEMPLATES[0][1] + " " + license_scan.TEMPLATES[2][1], "we license the public domain", "LICENSED UNDER the mit license"]
     rows = odd_rows + [(100 + i, t) for i, t in enumerate(texts)]
     out = license_scan.scanned(docs(rows, clash=True)).collect()
