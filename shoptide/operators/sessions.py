@@ -49,13 +49,14 @@ def sessionize(
     given = F.col("session_id").cast("string") if "session_id" in clicks.columns else F.lit(None).cast("string")
     own = F.coalesce(given, F.concat(F.lit("anonymous_"), F.col("event_id").cast("string")))
     who = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\u0000"), own))
-    df = clicks.withColumn("__chunk", time_chunk("timestamp", chunk_seconds)).withColumn("__who", who).withColumn("__own", own)
+    df = clicks.withColumn("__chunk", time_chunk("timestamp", chunk_seconds)).withColumn("__own", own).withColumn("__key", F.col(key)).withColumn(key, who)
     brk = lambda cur, prev: F.when((_micros(cur) - _micros(prev)) > gap_us, 1).otherwise(0)
-    out = running_scan(df, by=["__who"], chunk="__chunk", order=ORDER,
+    out = running_scan(df, by=[key], chunk="__chunk", order=ORDER,
                        pairsums={"__breaks": (F.col("timestamp"), brk)})
     n = F.col("__breaks") + 1
-    named = F.concat(F.col(key).cast("string"), F.lit("_"), n.cast("string"))
-    return out.withColumn("session_id", F.coalesce(named, F.col("__own"))).drop("__chunk", "__breaks", "__who", "__own")
+    named = F.concat(F.col("__key").cast("string"), F.lit("_"), n.cast("string"))
+    out = out.withColumn("session_id", F.coalesce(named, F.col("__own"))).withColumn(key, F.col("__key"))
+    return out.drop("__chunk", "__breaks", "__key", "__own")
 
 
 # --- whole-session features ----------------------------------------------------
