@@ -2,10 +2,11 @@
 
 Stretches of text around license vocabulary are candidate blocks. Each block is
 compressed with zstandard alone and with each notice template as a raw-content
-dictionary. The templates are ranked by the bytes that they save, and the best
-``CONFIRMED`` are confirmed by exact wording: the template's words are aligned
+dictionary. The templates are ranked by the bytes that they save, and all that
+save any are confirmed by exact wording: the template's words are aligned
 with the block's, and the words missing from or added inside the matched span
-are counted. The template with the fewest differences is reported when they are
+are counted (not aligned: a template of which more words are absent from the
+block than may differ). The template with the fewest differences is reported when they are
 at most ``TOLERANCE`` of its words; a notice of less than ``LONG_NOTICE`` words
 must match word by word. A found span is blanked and the block is ranked again, so a block
 gives all its notices.
@@ -22,6 +23,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -58,7 +60,6 @@ TEMPLATES: list[tuple[str, str]] = [
 
 VOCABULARY = r"licen[sc]e|copyright|permission is|permission to|redistribut|free software|creative commons|public domain|mozilla public"
 BEFORE, AFTER, GAP, LONGEST = 100, 350, 300, 6000
-CONFIRMED = 8
 LEAST_SAVED = 1
 TOLERANCE = 0.1
 LONG_NOTICE = 20
@@ -91,6 +92,7 @@ def dictionary(words: list[str]) -> bytes:
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]] = TEMPLATES):
         self.templates = [(name, [w for w, _, _ in normal_words(text)]) for name, text in templates]
+        self.counted = [Counter(words) for _, words in self.templates]
         options = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.alone = zstandard.ZstdCompressor(compression_params=options)
         self.given = [
@@ -127,9 +129,13 @@ class Scanner:
         found = True
         while found:
             found, closest = False, None
-            for saved, t in self.ranked(words)[:CONFIRMED]:
+            held = Counter(words)
+            for saved, t in self.ranked(words):
+                limit = allowed(len(self.templates[t][1]))
+                if (self.counted[t] - held).total() > limit:  # so many words are missing at least
+                    continue
                 best = self.differences(words, self.templates[t][1])
-                if best and best[0] <= allowed(len(self.templates[t][1])) and (closest is None or best[0] < closest[0]):
+                if best and best[0] <= limit and (closest is None or best[0] < closest[0]):
                     closest = (*best, saved, self.templates[t][0])
             if closest:
                 count, first, last, saved, name = closest

@@ -103,3 +103,14 @@ def test_small_changes_of_long_notices_are_counted():
     _, found = scanner.scan("Intro words here. " + changed + " And more words follow.")
     assert [(n, d) for n, _, _, _, d in found][0][0] == name and 1 <= found[0][4] <= 4
     assert scanner.scan("Licensed under the Apache License, Version 2.1.")[1] == [] and gpl
+
+
+def test_an_exact_short_notice_is_found_beside_altered_long_ones():
+    scanner = license_scan.Scanner()
+    words = [(n, t.split()) for n, t in license_scan.TEMPLATES]
+    long, short = [w for _, w in words if len(w) >= license_scan.LONG_NOTICE], [(n, w) for n, w in words if len(w) < license_scan.LONG_NOTICE]
+    for step, (name, notice) in itertools.product((6, 7, 8), short):
+        altered = [" ".join(f"zq{i}" if i % step == step - 1 else w for i, w in enumerate(t)) for t in long]
+        text = " ".join([*altered, *notice, "and more words follow"])
+        found = [x[:3] for x in scanner.scan(text)[1]]
+        assert found == plain_search(text) and found[-1][0] == name, (step, name)
