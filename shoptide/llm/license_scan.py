@@ -23,6 +23,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -59,7 +60,7 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 
 VOCABULARY = r"licen[sc]e|copyright|permission is|permission to|redistribut|free software|creative commons|public domain|mozilla public"
-BEFORE, AFTER, GAP, LONGEST = 100, 350, 300, 6000
+BEFORE, AFTER, LONGEST = 100, 350, 6000
 LEAST_SAVED = 1
 TOLERANCE = 0.1
 LONG_NOTICE = 20
@@ -145,16 +146,16 @@ class Scanner:
         return sorted(out, key=lambda x: x[1])
 
     def blocks(self, text: str) -> list[tuple[int, int]]:
-        """Candidate blocks: stretches around license vocabulary; long ones are cut with an overlap."""
+        """Candidate blocks: stretches around license vocabulary, joined where they meet; long ones are cut with an overlap."""
         out: list[list[int]] = []
         for m in _VOCABULARY.finditer(text):
             a, b = max(0, m.start() - BEFORE), min(len(text), m.end() + AFTER)
-            if out and m.start() - out[-1][2] <= GAP:
-                out[-1][1:] = [b, m.end()]
+            if out and a <= out[-1][1]:
+                out[-1][1] = b
             else:
-                out.append([max(a, out[-1][1] if out else 0), b, m.end()])
+                out.append([a, b])
         cut = []
-        for a, b, _ in out:
+        for a, b in out:
             while b - a > LONGEST:
                 cut.append((a, a + LONGEST))
                 a += LONGEST - BEFORE - AFTER
@@ -163,11 +164,13 @@ class Scanner:
 
     def scan(self, text: str) -> tuple[int, list[tuple[str, int, int, int, int]]]:
         blocks = self.blocks(text)
-        found: dict[tuple[str, int], tuple] = {}
-        for a, b in blocks:
-            for notice in self.notices(text, a, b):
-                found.setdefault(notice[:2], notice)
-        return len(blocks), sorted(found.values(), key=lambda x: (x[1], x[0]))
+        found: list[tuple[str, int, int, int, int]] = []
+        # Blocks cut from a long one overlap: of a notice that the cut shortens, the whole wording stays.
+        for notice in sorted((x for a, b in blocks for x in self.notices(text, a, b)), key=lambda x: (x[4], -x[3], x[1])):
+            i = bisect_left(found, notice[1], key=lambda x: x[1])
+            if (i == 0 or found[i - 1][2] <= notice[1]) and (i == len(found) or notice[2] <= found[i][1]):
+                found.insert(i, notice)
+        return len(blocks), found
 
 
 NOTICE = "struct<license: string, start: long, end: long, saved: long, differences: long>"

@@ -114,3 +114,19 @@ def test_an_exact_short_notice_is_found_beside_altered_long_ones():
         text = " ".join([*altered, *notice, "and more words follow"])
         found = [x[:3] for x in scanner.scan(text)[1]]
         assert found == plain_search(text) and found[-1][0] == name, (step, name)
+
+
+def test_a_notice_between_two_blocks_is_whole():
+    scanner = license_scan.Scanner()
+    prose = "and some words of prose go on from here to there " * 20
+    for gap, (_, notice) in itertools.product(range(290, 461, 10), license_scan.TEMPLATES):
+        text = "license " + prose[:gap - 1] + " " + notice + " and the end"
+        assert [x[:3] for x in scanner.scan(text)[1]] == plain_search(text), (gap, notice)
+
+
+def test_a_notice_over_the_cut_of_a_long_block_is_given_once():
+    scanner = license_scan.Scanner()
+    for name, notice in license_scan.TEMPLATES:
+        for at in (5430, 5540, 5760, 5850, 5940):
+            text = ("the license is " * 500)[:at - 1] + " " + notice + " " + "a license was " * 60
+            assert [x for x in scanner.scan(text)[1] if x[0] == name] and [x[:3] for x in scanner.scan(text)[1]] == plain_search(text), (at, notice)
