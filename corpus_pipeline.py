@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoptide.llm import exact_dedup, length_packing, ngram_jaccard_join, quality_classifier, quality_rules
+from shoptide.llm import exact_dedup, length_packing, ngram_jaccard_join, quality_classifier, quality_rules, token_records
 from shoptide.llm.common import table, written
 
 
@@ -33,8 +33,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bucket, batch and slot of each document that is left."""
-    return length_packing.packed(length_packing.sequence_lengths(docs))
+    """Bucket, batch and slot of each document that is left, measured in token ids."""
+    return length_packing.packed(length_packing.sequence_lengths(docs, token_records.default_tokenizer()))
 
 
 STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("exact_dedup", exact), ("ngram_jaccard_join", near), ("packing", packing)]

@@ -1,6 +1,7 @@
 """Operator 1, packing: optimal length buckets.
 
-Sequences are put in length buckets and padded to the bucket's end; inside a
+Sequences are measured in token ids, an end id included, as operator 8 writes
+them (only counted here). They are put in length buckets and padded to the bucket's end; inside a
 bucket they form batches of a fixed token budget. The bucket ends come from a
 dynamic programme over the global histogram of lengths, which finds the ends
 with the least padding in total (exactly: the cost fulfils the quadrangle
@@ -12,7 +13,7 @@ cells by hash and numbered inside a cell; the cells' counts (buckets times
 CELLS rows, a fixed bound, broadcast) give each cell its first place. Equal rows
 are counted before they are shuffled and drawn apart again at the end.
 
-Defined results: a null or empty text is a sequence of its end token only; the
+Defined results: a null or empty text is a sequence of its end id only; the
 largest bucket end is the longest sequence, and a sequence above the budget
 is a batch of its own, never cut; repeated rows get places of their own; rows of
 equal hash are ordered by doc_id and length; an empty table gives an empty
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import picked, table, written
 from .textbatch import TextBatch, as_large, chunks
+from .token_records import default_tokenizer, encoder_of
 
 BUCKETS = 8
 BUDGET = 32_768
@@ -74,18 +76,22 @@ def bucket_ends(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> tuple[
     return ends[::-1], int(best[d])
 
 
-def _word_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        texts = as_large(part.column("text"))
-        for lo, hi in chunks(texts):
-            n = TextBatch(texts, lo, hi).n_words + 1
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(lo, hi - lo), part.column("text_key").slice(lo, hi - lo), pa.array(n)], ["doc_id", "text_key", "n_tokens"])
+def _counts(tokenizer: str | None):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts = as_large(part.column("text"))
+            for lo, hi in chunks(texts):
+                batch = TextBatch(texts, lo, hi)
+                n = (encoder_of(tokenizer).counts(batch) if tokenizer else batch.n_words) + 1
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(lo, hi - lo), part.column("text_key").slice(lo, hi - lo), pa.array(n)], ["doc_id", "text_key", "n_tokens"])
 
+    return run
 
-def sequence_lengths(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n_tokens): the words of each text and an end token."""
+
+def sequence_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, text_key, n_tokens): the token ids of each text (without a tokenizer, its words) and an end id."""
     rows = picked(docs, doc_id="long", text="string").withColumn("text_key", F.xxhash64("text"))
-    return rows.mapInArrow(_word_counts, "doc_id long, text_key long, n_tokens long")
+    return rows.mapInArrow(_counts(tokenizer), "doc_id long, text_key long, n_tokens long")
 
 
 def packed(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, seed: int = SEED) -> DataFrame:
@@ -113,8 +119,8 @@ def packed(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, see
 
 
 def op1_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bucket, batch and slot of each of ``documents``, measured in words and an end token."""
-    return packed(sequence_lengths(table(spark, sf_dir, "documents")))
+    """Bucket, batch and slot of each of ``documents``, measured in token ids and an end id."""
+    return packed(sequence_lengths(table(spark, sf_dir, "documents"), default_tokenizer()))
 
 
 #: A dynamic programme is beyond SQL; the tests hold the ends against all possible ends, and the batches against a plain rebuild.

@@ -103,11 +103,9 @@ class StretchEncoder:
             safe[wide] = ((two >= 0xC3) & (two <= 0xDF)) | ((two < 0xC0) & (two >= 0x80) & ~np.isin(three, (0xE1, 0xE2, 0xE3)))
         return end[safe]
 
-    def encode(self, batch: TextBatch) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts of the batch one after another, and how many each has."""
+    def _looked_up(self, batch: TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the stretches of a batch that has text, the places of their ids in the pool, and how many each has."""
         total = len(batch.bytes)
-        if not total:
-            return np.empty(0, self.kind), np.zeros(batch.n_docs, np.int64)
         cuts = self._cuts(batch)
         starts = np.unique(np.concatenate([batch.doc_at[:-1], cuts]))
         starts = starts[starts < total]
@@ -123,11 +121,27 @@ class StretchEncoder:
             a, b = starts[first[miss]], ends[first[miss]]
             at[miss], n[miss] = self._encode_stretches(batch, a, b, cuts)
             self.key[slot[miss]], self.at[slot[miss]], self.n[slot[miss]] = distinct[miss], at[miss], n[miss]
-        at, n = at[inverse], n[inverse]
+        return starts, at[inverse], n[inverse]
+
+    def encode(self, batch: TextBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of the batch one after another, and how many each has."""
+        if not len(batch.bytes):
+            return np.empty(0, self.kind), np.zeros(batch.n_docs, np.int64)
+        starts, at, n = self._looked_up(batch)
         before = np.cumsum(n) - n
         ids = self.pool[np.repeat(at - before, n) + np.arange(int(n.sum()))]
-        counts = np.diff(np.concatenate(([0], np.cumsum(n)))[np.searchsorted(starts, batch.doc_at)])
-        return ids, counts
+        return ids, self._per_text(batch, starts, n)
+
+    def counts(self, batch: TextBatch) -> np.ndarray:
+        """How many ids each text of the batch has."""
+        if not len(batch.bytes):
+            return np.zeros(batch.n_docs, np.int64)
+        starts, _, n = self._looked_up(batch)
+        return self._per_text(batch, starts, n)
+
+    @staticmethod
+    def _per_text(batch: TextBatch, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate(([0], np.cumsum(n)))[np.searchsorted(starts, batch.doc_at)])
 
     def _encode_stretches(self, batch: TextBatch, a: np.ndarray, b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         data = batch.bytes.tobytes()
@@ -158,7 +172,7 @@ class StretchEncoder:
 _ENCODERS: dict[str, StretchEncoder] = {}
 
 
-def _encoder(path: str) -> StretchEncoder:
+def encoder_of(path: str) -> StretchEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = StretchEncoder(path)
     return _ENCODERS[path]
@@ -175,7 +189,7 @@ def _write(path: str, folder: str):
         for part in parts:
             texts = as_large(part.column("text"))
             ids_of = part.column("doc_id").to_pylist()
-            encoder = encoder or _encoder(path)
+            encoder = encoder or encoder_of(path)
             out = out or store.open_output_stream(f"{own}.rec", compression=None)
             for lo, hi in chunks(texts):
                 ids, counts = encoder.encode(TextBatch(texts, lo, hi))

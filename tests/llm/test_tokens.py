@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from shoptide.llm import merge_dropout, token_records
+from shoptide.llm import length_packing, merge_dropout, token_records
 from shoptide.llm.common import new_folder, local_path
 from shoptide.llm.textbatch import TextBatch, as_large, chunks
 
@@ -27,6 +27,26 @@ def encode_all(encode, texts, limit=2_000_000):
     return out
 
 
+def test_packing_measures_token_ids(spark, docs, odd_rows, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(token_records.default_tokenizer())
+    tokenizer.encode_special_tokens = True
+    rows = odd_rows + [(20 + i, t) for i, t in enumerate(hard_texts(60, 7))]
+    expected = sorted((i is None, i or 0, len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows)
+    docs(rows, clash=True).write.parquet(f"{tmp_path}/documents.parquet")
+    read = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for out in (length_packing.op1_length_packing(spark, str(tmp_path)), corpus_pipeline.packing(spark, read, str(tmp_path))):
+        out = out.collect()
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"]) for r in out) == expected
+        batches = {}
+        for r in out:
+            assert r["n_tokens"] <= r["bucket_tokens"]
+            batches.setdefault((r["bucket"], r["batch"]), []).append(r["bucket_tokens"])
+        assert all(sum(x) <= length_packing.BUDGET or len(x) == 1 for x in batches.values())
+
+
 def test_stretches_give_the_ids_of_whole_texts():
     encoder = token_records.StretchEncoder(token_records.default_tokenizer())
     texts = hard_texts(1500)
