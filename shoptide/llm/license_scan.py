@@ -59,7 +59,10 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
-VOCABULARY = r"licen[sc]e|copyright|permission is|permission to|redistribut|free software|creative commons|public domain|mozilla public"
+# White space of the wording check, spelled out for the JVM; what may stand between two words of the vocabulary (line ends, comment marks).
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BETWEEN = rf"[^0-9A-Za-z{SPACE}]*[{SPACE}][^0-9A-Za-z]*"
+VOCABULARY = r"licen[sc]e|copyright|permission is|permission to|redistribut|free software|creative commons|public domain|mozilla public".replace(" ", BETWEEN)
 BEFORE, AFTER, LONGEST = 100, 350, 6000
 LEAST_SAVED = 1
 TOLERANCE = 0.1

@@ -130,3 +130,13 @@ def test_a_notice_over_the_cut_of_a_long_block_is_given_once():
         for at in (5430, 5540, 5760, 5850, 5940):
             text = ("the license is " * 500)[:at - 1] + " " + notice + " " + "a license was " * 60
             assert [x for x in scanner.scan(text)[1] if x[0] == name] and [x[:3] for x in scanner.scan(text)[1]] == plain_search(text), (at, notice)
+
+
+def test_wrapped_notices_are_found(docs):
+    gaps = ["\n", "  ", "\r\n\t", "\n * ", "\n# ", "\u00a0", "\u2028", "\x1c", "\u3000 "]
+    texts = [t.replace(" ", gap) for (_, t), gap in itertools.product(license_scan.TEMPLATES, gaps)]
+    by_id = {r["doc_id"]: r["notices"] for r in license_scan.scanned(docs(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        assert plain_search(t) and [(n["license"], n["start"], n["end"]) for n in by_id[i]] == plain_search(t), t
+    spaced = all(license_scan._VOCABULARY.search(f"public{chr(c)}domain") for c in range(0x11000) if chr(c).isspace())
+    assert spaced and not license_scan._VOCABULARY.search("public, or domain")
