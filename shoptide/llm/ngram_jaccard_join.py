@@ -55,10 +55,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import picked, table, written
+from .common import WORD_PATTERN, picked, table, written
 from .components import components
 from .textbatch import TextBatch, as_large, chunks, mix64, shingle_sets
 
@@ -172,7 +172,8 @@ def _sets(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.
 def _nodes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, _, sizes, digests in _sets(parts):
         node = pa.array(digests.view(np.int64), mask=sizes == 0)
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("rid"), pa.array(sizes), node], ["doc_id", "rid", "n_shingles", "node"])
+        yield pa.RecordBatch.from_arrays(
+            [*(rows.column(c) for c in ("doc_id", "rid", "text_key")), pa.array(sizes), node], ["doc_id", "rid", "text_key", "n_shingles", "node"])
 
 
 def _blocks(n_parts: int):
@@ -462,12 +463,12 @@ def _refine(groups: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return links, written(rows.join(useful, "key"), "buckets")
 
 
-def link_components(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+def _linked(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, text_key, n_shingles, part (its component's node, null without shingles)."""
     spark = docs.sparkSession
     rows = picked(docs, doc_id="long", text="string")
-    rows = rows.withColumn("rid", F.coalesce("doc_id", F.xxhash64("text")))
-    nodes = written(rows.mapInArrow(_nodes, "doc_id long, rid long, n_shingles long, node long"), "nodes")
+    rows = rows.withColumn("text_key", F.xxhash64("text")).withColumn("rid", F.coalesce("doc_id", "text_key"))
+    nodes = written(rows.mapInArrow(_nodes, "doc_id long, rid long, text_key long, n_shingles long, node long"), "nodes")
     total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHINGLES_PER_PART))
 
@@ -513,18 +514,34 @@ def link_components(docs: DataFrame) -> DataFrame:
     if links:
         roots = written(components(reduce(DataFrame.union, links)), "roots")
         named = nodes.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
+    return named.select("doc_id", "text_key", "n_shingles", "part")
+
+
+def link_components(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    named = _linked(docs)
     least = written(named.where("part IS NOT NULL").groupBy("part").agg(F.min("doc_id").alias("least")), "least")
     return named.join(least, "part", "left").select(
         "doc_id", "n_shingles", F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay when each component keeps the document that names it.
+    """The rows of ``docs`` that stay when each component keeps one: that of the smallest doc_id.
 
-    Rows without a doc_id stay when they link with no row that has one.
+    Rows without a doc_id come last, and rows of equal doc_id go by a hash of the
+    text. Texts without words are linked with nothing, so each of their rows stays.
     """
-    out = link_components(docs).where("component_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(out, docs["doc_id"].cast("long").eqNullSafe(out["__id"]), "left_semi")
+    first = _linked(docs).where("part IS NOT NULL").groupBy("part").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first"))
+    first = written(first.select(F.col("first.doc_id").alias("__id"), F.col("first.text_key").alias("__text")), "first")
+    first = first.withColumn("__key", F.xxhash64("__id", "__text"))
+    rows = docs.withColumn("__row_id", F.col("doc_id").cast("long")).withColumn("__row_text", F.xxhash64(F.col("text").cast("string")))
+    words = F.coalesce(F.col("text").cast("string").rlike(WORD_PATTERN), F.lit(False))
+    found = rows.where(words).withColumn("__key", F.xxhash64("__row_id", "__row_text")).join(first, "__key")
+    found = found.where(F.col("__row_id").eqNullSafe(F.col("__id")) & (F.col("__row_text") == F.col("__text")))
+    # Repeated rows with one doc_id and text pass the join together; one of them stays.
+    found = found.withColumn("__copy", F.row_number().over(Window.partitionBy("__key").orderBy("__key"))).where("__copy = 1")
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.where(~words))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

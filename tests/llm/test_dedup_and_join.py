@@ -156,3 +156,14 @@ def test_one_row_of_a_component_stays(docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 7, 8, 9]
     assert ngram_jaccard_join.link_components(docs([])).count() == 0
     assert ngram_jaccard_join.one_per_component(docs([])).count() == 0
+
+
+def test_one_row_of_a_component_stays_without_ids(docs):
+    near = [f"a b c d e f g h i j k l m n o p q r s t u v w x y {end}" for end in ("z", "Y1", "Y2")]
+    alone = "words that stand in no other row of the table at all"
+    rows = [(None, near[0]), (None, near[1]), (4, near[2]), (None, alone), (None, alone), (None, "P q r s t"), (None, "p q r s t")]
+    rows += [(9, "one text of the id nine"), (9, "another text of the same id"), (2, "twice the same row"), (2, "twice the same row"), (None, None), (None, None), (None, " \n")]
+    kept = ngram_jaccard_join.one_per_component(docs(rows, clash=True))
+    assert kept.columns == docs(rows, clash=True).columns
+    out = collections.Counter((r["doc_id"], (r["text"] or "").lower()) for r in kept.collect())
+    assert out == collections.Counter([(4, near[2].lower()), (None, alone), (None, "p q r s t"), (9, rows[7][1]), (9, rows[8][1]), (2, rows[9][1]), (None, ""), (None, ""), (None, " \n")])
