@@ -3,8 +3,8 @@
 Every line with a word is normalised (A-Z lower-cased, words joined by one
 space) and hashed. For each host, the distinct documents that hold a line are
 counted; documents are told apart by their text, so exact copies count once.
-Lines in more than ``max(min_docs, share * documents of the host)`` documents
-are removed, and a document that keeps less than ``least_left`` of its words is
+Lines in more than ``min_docs`` documents of a host are removed, at every size
+of the host (``share`` can ask for a share of its documents as well; the query doesn't), and a document that keeps less than ``least_left`` of its words is
 rejected as depleted. Base rules (too few words, too many repeated word
 windows) reject before that.
 
@@ -34,7 +34,6 @@ from .common import picked, table, written
 from .textbatch import TextBatch, as_large, chunks, mix64, powers
 
 MIN_DOCS = 20
-SHARE = 0.01
 LEAST_LEFT = 0.2
 SALTS = 16
 SYMBOLS = b"#*$%&|<>"
@@ -115,7 +114,7 @@ def _pass(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_verdicts(
-    docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, least_left: float = LEAST_LEFT,
+    docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = 0.0, least_left: float = LEAST_LEFT,
     min_words: int = 10, repeat_percent: int = 20,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, host, text_key, base counts, base_failed,

@@ -146,3 +146,10 @@ def test_batches_hold_the_budget_and_every_row_once(docs, odd_rows):
     again = length_packing.packed(length_packing.sequence_lengths(docs(rows).repartition(7)), buckets=4, budget=256).collect()
     assert sorted(map(str, again)) == sorted(map(str, out))
     assert length_packing.packed(length_packing.sequence_lengths(docs([]))).count() == 0
+
+
+def test_a_line_of_many_documents_goes_from_hosts_of_any_size(docs):
+    rows = [(i, f"the footer of this page\n{' '.join(f'w{i}v{k}' for k in range(12))}", "small") for i in range(21)]
+    rows += [(100 + i, ("the footer of this page\n" if i < 21 else "") + " ".join(f"w{i}v{k}" for k in range(12)), "large") for i in range(2200)]
+    out = quality_rules.line_verdicts(docs(rows)).where("removed_words > 0").groupBy("host").count().collect()
+    assert {r["host"]: r["count"] for r in out} == {"small": 21, "large": 21}
