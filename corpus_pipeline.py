@@ -39,7 +39,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("exact_dedup", exact), ("ngram_jaccard_join", near), ("packing", packing)]
 
-#: The classifier and the packing are beyond SQL; the tests hold the pipeline against a plain rebuild.
+#: The classifier and the packing are beyond SQL; tests/llm/test_pipeline.py holds the pipeline against a plain rebuild.
 ORACLE_SQL = None
 
 
