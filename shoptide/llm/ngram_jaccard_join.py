@@ -1,9 +1,10 @@
-"""Operator 9, n-gram Jaccard join: PartEnum signatures.
+"""Operator 9, n-gram Jaccard join: signatures of PartEnum's partitions.
 
 Documents whose sets of five-word shingles have a Jaccard similarity of at least
 0.8 are linked; every link between different sets counts, none is missed.
 
-**Signatures** (PartEnum, Arasu, Ganti and Kaushik, 2006). Set sizes are cut into
+**Signatures** (after PartEnum, Arasu, Ganti and Kaushik, 2006, without its second
+level: the subsets enumerated are those of one part). Set sizes are cut into
 bands whose ends differ by the factor 1/0.8, so a linked pair lies in one band
 or in two neighbouring ones. For a pair whose smaller set lies in a band ending
 at ``r``, at most ``k = r // 4`` shingles are in one set only. The shingle domain
