@@ -15,6 +15,7 @@ MODULES = {
     "op8_token_records": "token_records",
     "op9_ngram_jaccard_join": "ngram_jaccard_join",
     "op10_exact_dedup": "exact_dedup",
+    "op11_merkle_manifest": "merkle_manifest",
 }
 
 
