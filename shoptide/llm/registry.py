@@ -16,6 +16,7 @@ MODULES = {
     "op9_ngram_jaccard_join": "ngram_jaccard_join",
     "op10_exact_dedup": "exact_dedup",
     "op11_merkle_manifest": "merkle_manifest",
+    "op12_spelling_variants": "spelling_variants",
 }
 
 
