@@ -17,6 +17,7 @@ MODULES = {
     "op10_exact_dedup": "exact_dedup",
     "op11_merkle_manifest": "merkle_manifest",
     "op12_spelling_variants": "spelling_variants",
+    "op13_segment_tree_bpe": "segment_bpe",
 }
 
 
