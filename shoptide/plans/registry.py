@@ -1135,3 +1135,6 @@ def q_slm_replies(spark, sf):
             .when(shape == 4, F.concat(full, F.lit(" "), F.col("reply"))).when(shape == 5, F.concat(F.lit("["), full, F.lit("]"))).otherwise(F.col("reply")))
     r = _replies(spark, sf).select(F.struct("conv_id", "turn").alias("session_id"), text.alias("text"))
     return slm_resolution(r).select("session_id.conv_id", "session_id.turn", "ext_intent", "ext_confidence", "ext_reasoning")
+
+
+from shoptide.plans import stream_queries  # noqa: E402, F401  (registers its queries)

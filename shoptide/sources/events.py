@@ -75,21 +75,23 @@ def read_json_events(spark: SparkSession, path: str) -> DataFrame:
     return typed_events(raw)
 
 
-def parse_json_values(values: DataFrame, value_col: str = "value") -> DataFrame:
+def parse_json_values(values: DataFrame, value_col: str = "value", keep: list[str] | None = None) -> DataFrame:
     """Parse a column of JSON text (e.g. Kafka ``value`` bytes) into typed events.
 
     PERMISSIVE parsing: text that is not a JSON object keeps its raw text in
-    ``_corrupt_record``; the raw payload is kept as ``raw`` for quarantine."""
+    ``_corrupt_record``; the raw payload is kept as ``raw`` for quarantine, and
+    the columns in ``keep`` (where a record came from) stay beside it."""
+    keep = keep or []
     text = F.col(value_col).cast("string")
     schema = T.StructType([*_RAW_JSON.fields, T.StructField(CORRUPT, T.StringType())])
     parsed = values.select(
         F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("j"),
-        text.alias("raw"),
+        text.alias("raw"), *keep,
     )
     bad = F.col("j").isNull() | F.col(f"j.{CORRUPT}").isNotNull()
     flat = parsed.select(*[F.col(f"j.{f.name}").alias(f.name) for f in _RAW_JSON.fields],
-                         F.when(bad, F.coalesce(F.col("raw"), F.lit(""))).alias(CORRUPT), "raw")
-    return typed_events(flat)
+                         F.when(bad, F.coalesce(F.col("raw"), F.lit(""))).alias(CORRUPT), "raw", *keep)
+    return typed_events(flat, keep)
 
 
 def raw_event_json(clicks: DataFrame, defects: bool = True) -> DataFrame:
@@ -118,7 +120,33 @@ def raw_event_json(clicks: DataFrame, defects: bool = True) -> DataFrame:
                          F.when(k == 7, broken).otherwise(full).alias("value"))
 
 
-def typed_events(raw: DataFrame) -> DataFrame:
+DROPS = 4
+_DAY_US = 86_400_000_000
+
+
+def disordered_feed(clicks: DataFrame, drops: int = DROPS) -> DataFrame:
+    """Stand-in feed with faults of delivery, in ``drops`` equal spans of arrival time: (value, drop, arrival, copy).
+
+    By the number n of the event: n % 17 = 3 arrives ten days late, n % 5 = 0
+    20 hours late; n % 7 = 2 is delivered again 5 hours later with its value
+    raised by one; n % 10 = 1 has no event_id. Only shapes input.
+    """
+    n = F.col("event_id").cast("long")
+    late = F.when(n % 17 == 3, 240).when(n % 5 == 0, 20).otherwise(0)
+    us = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    once = clicks.select("*", n.alias("n"), F.lit(0).alias("copy"), (us + late * F.lit(3_600_000_000)).alias("arrival"))
+    again = once.where(F.col("n") % 7 == 2).withColumn("copy", F.lit(1)).withColumn("value", F.col("value") + 1.0).withColumn("arrival", F.col("arrival") + 5 * F.lit(3_600_000_000))
+    bounds = clicks.agg(F.min(F.floor(us / _DAY_US)).alias("lo"), F.max(F.floor(us / _DAY_US)).alias("hi")).first()
+    span = ((bounds["hi"] or 0) - (bounds["lo"] or 0) + 1) / drops
+    drop = F.least(F.floor((F.floor(F.col("arrival") / _DAY_US) - F.lit(bounds["lo"] or 0)) / F.lit(span)), F.lit(drops - 1))
+    fields = F.struct(
+        F.when(F.col("n") % 10 != 1, F.col("event_id")).alias("event_id"), "session_id", "customer_id",
+        F.date_format(F.col("timestamp").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
+        "action", "product_id", "category", F.round("value", 2).alias("value"), "metadata")
+    return once.unionByName(again).select(F.to_json(fields).alias("value"), drop.cast("int").alias("drop"), "arrival", "copy")
+
+
+def typed_events(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Cast text fields to the event schema; a failed cast becomes a validation error."""
     ts_text = F.col("timestamp")
     ts = F.coalesce(
@@ -130,7 +158,7 @@ def typed_events(raw: DataFrame) -> DataFrame:
         (ts_text.isNotNull() & ts.isNull()) | (F.col("value").isNotNull() & value.isNull())
     )
     corrupt = F.col(CORRUPT) if CORRUPT in raw.columns else F.lit(None).cast("string")
-    extra = ["raw"] if "raw" in raw.columns else []
+    extra = [*(["raw"] if "raw" in raw.columns else []), *(keep or [])]
     return raw.select(*extra,
         "event_id", "session_id", "customer_id",
         ts.cast("timestamp_ntz").alias("timestamp"),
@@ -167,6 +195,30 @@ def kafka_options(bootstrap: str, topic: str = "ecommerce.clicks.raw", group_id:
     }
 
 
+ORIGIN = ["topic", "partition", "offset"]
+
+
+def open_feed(spark: SparkSession, kind: str, reader=None, **options: str) -> DataFrame:
+    """A stream of raw records (value, topic, partition, offset) from files or from Kafka.
+
+    ``files``: ``path`` and the text source's own options; the topic is the file,
+    offsets are null. ``kafka``: the arguments of :func:`kafka_options`; a
+    record's offset stays with it, into the store and into quarantine.
+    ``reader`` replaces ``spark.readStream``.
+    """
+    reader = reader if reader is not None else spark.readStream
+    if kind == "kafka":
+        rows = reader.format("kafka").options(**kafka_options(**options)).load()
+        return rows.select(F.col("value").cast("string").alias("value"), "topic",
+                           F.col("partition").cast("int").alias("partition"), F.col("offset").cast("long").alias("offset"))
+    if kind == "files":
+        path = options.pop("path")
+        rows = reader.format("text").options(**options).load(path)
+        return rows.select("value", F.col("_metadata.file_path").alias("topic"), F.lit(0).alias("partition"),
+                           F.lit(None).cast("long").alias("offset"))
+    raise ValueError("kind must be 'files' or 'kafka'")
+
+
 def to_kafka_value(events: DataFrame) -> DataFrame:
     """Serialise events as one JSON object per row in a ``value`` column (Kafka sink shape)."""
     return events.select(
