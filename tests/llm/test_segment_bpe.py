@@ -46,9 +46,11 @@ def by_definition(bpe, data):
 
 def test_pieces_against_merging_by_definition(bpe):
     rng = random.Random(6)
-    for n in range(1, 60):
-        data = bytes(rng.choice(b"abcdeinrst \xc3\xa9") for _ in range(n))
-        assert bpe.merge(data) == by_definition(bpe, data)
+    for n in range(1, 80):
+        some = [bytes(rng.choice(b"abcdeinrst \xc3\xa9") for _ in range(n)) for _ in range(20)]
+        want = [by_definition(bpe, data) for data in some]
+        assert [bpe.merge(data) for data in some] == want
+        assert [np.frombuffer(ids, np.uint32).tolist() for ids in bpe.merge_many(some)] == want
 
 
 def test_texts_against_the_library(bpe, library):
@@ -68,12 +70,14 @@ def test_any_ids_decode_as_in_the_library(bpe, library):
 
 def test_slices_and_kept_pieces_change_nothing(bpe, library, monkeypatch):
     texts = hard_texts(200, 10) + [" ".join(hard_texts(300, 11)), "no_space" * 3000]
-    monkeypatch.setattr(sb, "SLICE_CHARS", 50)
-    monkeypatch.setattr(sb, "HELD_PIECES", 20)
+    monkeypatch.setattr(sb, "GROUP_CHARS", 50)
+    monkeypatch.setattr(sb, "HELD", 20)
     small = sb.SegmentTreeBpe(sb.default_tokenizer())
     for text in texts:
         assert small.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
-    assert len(small.held) <= 20 and len(small.older) <= 20
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids in small.encode_many(texts)] == want
+    assert len(small.held) <= 20 and len(small.older) <= 20 + 50
 
 
 def test_query_rows(spark, docs, odd_rows, library, tmp_path):
