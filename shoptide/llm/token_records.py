@@ -29,6 +29,7 @@ gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -46,9 +47,13 @@ from .textbatch import TextBatch, as_large, chunks
 END_ID = 0
 MASK = 0xA282EAD8
 NO_ID = -(1 << 63)
+INDEX_ROW = "<qQQ"  # doc_id, byte offset, number of ids
 CACHE_BITS = 20
 POOL_LIMIT = 16_000_000
 JOINED_BYTES = 4096
+TEXTS_AT_ONCE = 64  # joined stretches that are handed to the library in one call
+ENCODED_BYTES = 500_000  # text that is cut into stretches at once
+READ_ROWS = 10_000
 NO_SPACE_AT_END = np.zeros(256, bool)  # a byte that ends a character which is white space nowhere
 NO_SPACE_AT_END[0x21:0x7F] = True
 
@@ -62,6 +67,7 @@ class StretchEncoder:
     """Ids of whole texts from the ids of their distinct stretches."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would each hold memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -155,9 +161,12 @@ class StretchEncoder:
             groups = np.arange(len(some)) if single else (np.cumsum(size) - size) // JOINED_BYTES
             head = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
             tail = np.append(head[1:], len(some))
-            texts = [b"".join([data[a[i]:b[i]] for i in some[h:t]]).decode("utf-8") for h, t in zip(head, tail)]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            ids = np.fromiter((i for e in found for i in e), np.int64, sum(map(len, found)))
+            ids = [np.empty(0, np.int64)]
+            for k in range(0, len(head), TEXTS_AT_ONCE):
+                ends = zip(head[k:k + TEXTS_AT_ONCE], tail[k:k + TEXTS_AT_ONCE])
+                texts = [b"".join([data[a[i]:b[i]] for i in some[h:t]]).decode("utf-8") for h, t in ends]
+                ids += [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = np.concatenate(ids)
             reached = np.cumsum(self.n_bytes[ids])
             stop = np.cumsum(size)
             last = np.searchsorted(reached, stop)
@@ -185,25 +194,25 @@ def _write(path: str, folder: str):
         store.create_dir(root, recursive=True)
         shard = f"shard-{context.partitionId():06d}"
         own = f"{root}/.{shard}-{context.taskAttemptId()}"
-        encoder, records, total, index, out = None, 0, 0, [], None
+        encoder, records, total, out, side = None, 0, 0, None, None
         for part in parts:
             texts = as_large(part.column("text"))
             ids_of = part.column("doc_id").to_pylist()
             encoder = encoder or encoder_of(path)
-            out = out or store.open_output_stream(f"{own}.rec", compression=None)
-            for lo, hi in chunks(texts):
+            if out is None:
+                out, side = (store.open_output_stream(f"{own}.{kind}", compression=None) for kind in ("rec", "idx"))
+            for lo, hi in chunks(texts, ENCODED_BYTES):
                 ids, counts = encoder.encode(TextBatch(texts, lo, hi))
                 ends = np.cumsum(counts)
                 for doc_id, a, b in zip(ids_of[lo:hi], ends - counts, ends):
                     payload = ids[a:b].tobytes() + END_ID.to_bytes(encoder.width, "little")
                     length = struct.pack("<Q", len(payload))
-                    index.append(struct.pack("<qQQ", NO_ID if doc_id is None else doc_id, out.tell(), b - a + 1))
+                    side.write(struct.pack(INDEX_ROW, NO_ID if doc_id is None else doc_id, out.tell(), b - a + 1))
                     out.write(length + struct.pack("<I", masked_crc(length)) + payload + struct.pack("<I", masked_crc(payload)))
                     records, total = records + 1, total + int(b - a) + 1
         if out is not None:
             out.close()
-            with store.open_output_stream(f"{own}.idx", compression=None) as side:
-                side.write(b"".join(index))
+            side.close()
             for kind in ("rec", "idx"):
                 store.move(f"{own}.{kind}", f"{root}/{shard}.{kind}")
             yield pa.RecordBatch.from_pydict({"shard": [shard], "n_records": [records], "n_ids": [total], "width": [encoder.width]})
@@ -228,12 +237,11 @@ def _read(folder: str):
         store, root = fs.FileSystem.from_uri(folder)
         for part in parts:
             for row in part.to_pylist():
-                with store.open_input_stream(f"{root}/{row['shard']}.idx", compression=None) as side:
-                    index = np.frombuffer(side.read(), np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u8")]))
                 kind, start, out = ("<u2" if row["width"] == 2 else "<u4"), row["start"], []
-                with store.open_input_stream(f"{root}/{row['shard']}.rec", compression=None, buffer_size=1 << 20) as data:
+                with (store.open_input_stream(f"{root}/{row['shard']}.idx", compression=None) as side,
+                      store.open_input_stream(f"{root}/{row['shard']}.rec", compression=None, buffer_size=1 << 20) as data):
                     at = 0
-                    for doc_id, offset, n in index.tolist():
+                    for doc_id, offset, n in _index_rows(side):
                         head = data.read(12)
                         length, crc = struct.unpack("<QI", head)
                         if at != offset or crc != masked_crc(head[:8]):
@@ -246,7 +254,7 @@ def _read(folder: str):
                             raise ValueError(f"{row['shard']}: the index gives {n} ids at byte {at}, the record has {len(ids)}")
                         out.append((None if doc_id == NO_ID else doc_id, start, n, zlib.crc32(ids.tobytes())))
                         start, at = start + n, at + 16 + length
-                        if len(out) == 10_000:
+                        if len(out) == READ_ROWS:
                             yield _batch(out)
                             out = []
                 if out:
@@ -255,6 +263,12 @@ def _read(folder: str):
     return run
 
 
+def _index_rows(side) -> Iterator[tuple[int, int, int]]:
+    """(doc_id, offset, number of ids) of each record, a block of the index at a time."""
+    while block := side.read(struct.calcsize(INDEX_ROW) * READ_ROWS):
+        yield from struct.iter_unpack(INDEX_ROW, block)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
