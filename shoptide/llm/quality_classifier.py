@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fold, picked, table
 from .textbatch import TextBatch, as_large, chunks
@@ -196,9 +197,10 @@ def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", least:
             texts = as_large(part.column("text"))
             keep = [score_texts(TextBatch(texts, lo, hi), weight, bias) >= least for lo, hi in chunks(texts)]
             if keep:
-                yield part.filter(pa.array(np.concatenate(keep)))
+                yield part.filter(pa.array(np.concatenate(keep))).select(["row"])
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(F.struct("*").alias("row")).select("row", F.col("row.text").cast("string").alias("text"))  # any names
+    return rows.mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

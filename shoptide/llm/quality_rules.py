@@ -147,13 +147,16 @@ def cleaned(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     verdicts = line_verdicts(docs, host, **limits).where("kept").select(
         F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("text_key").alias("__key"), F.col("removed_lines").alias("__cut"))
     verdicts = verdicts.dropDuplicates(["__id", "__host", "__key"])
-    same = (docs["doc_id"].cast("long").eqNullSafe(verdicts["__id"]) & docs[host].cast("string").eqNullSafe(verdicts["__host"])
-            & (F.xxhash64(docs["text"]) == verdicts["__key"]))
-    rest = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("__cut", i))
-    out = docs.join(verdicts, same).withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.concat_ws("\n", rest)))
+    row = F.col("row")  # the original row as one struct, whatever its columns are named
+    rows = docs.select(F.struct("*").alias("row"))
+    same = (row["doc_id"].cast("long").eqNullSafe(verdicts["__id"]) & row[host].cast("string").eqNullSafe(verdicts["__host"])
+            & (F.xxhash64(row["text"]) == verdicts["__key"]))
+    rest = F.filter(F.split(row["text"], "\n", -1), lambda line, i: ~F.array_contains("__cut", i))
+    text = F.when(F.col("__cut").isNull(), row["text"]).otherwise(F.concat_ws("\n", rest))
+    out = row.withField("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__cut").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withField("n_chars", F.when(F.col("__cut").isNull(), row["n_chars"]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType))
+    return rows.join(verdicts, same).select(out.alias("row")).select("row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
