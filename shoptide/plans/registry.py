@@ -1020,11 +1020,12 @@ def q_enriched_intent(spark, sf):
 
 @register("stream_decisions_stateful", SQL["action_decisions"])
 def q_stream_decisions_stateful(spark, sf):
-    """The per-event decision loop with operator state (applyInPandasWithState
-    keyed by session, event-time TTL) over a clean feed in three drops with
-    restarts; must equal the batch ``action_decisions``."""
+    """The per-event decision loop with operator state (keyed by session, with
+    event-time timers) over a clean feed in three drops with restarts; must
+    equal the batch ``action_decisions``."""
+    from shoptide.streaming.pipelines import stateful_tables
     d = _run_streams(spark, sf, defects=False, stateful=True)
-    return rounded(spark.read.parquet(d["decisions"]).select(*_DEC, "action_id"))
+    return rounded(stateful_tables(spark, d["decisions"]).read("decisions").select(*_DEC, "action_id"))
 
 
 @register("ledger_outcomes", f"""{_EVAL_BASE}

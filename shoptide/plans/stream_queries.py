@@ -21,6 +21,7 @@ from shoptide.session import checkpoint_dir
 from shoptide.sources.events import DROPS, disordered_feed, open_feed
 from shoptide.streaming.evaluation import evaluate_due, evaluation_tables, recent_metrics
 from shoptide.streaming.loop import loop_tables, start_loop
+from shoptide.streaming.pipelines import feed_events, stateful_decision_stream, stateful_tables
 from shoptide.streaming.tables import BatchTables
 
 _RUNS: dict[tuple[str, str], str] = {}
@@ -152,3 +153,19 @@ def q_recent_metrics(spark, sf):
 def q_evaluation_outcomes(spark, sf):
     """Every action that a run has taken, with its conversion."""
     return _evaluations(spark, sf).read("outcomes").select("action_id", "session_id", "batch_no", "converted")
+
+
+_REPEATED = with_(O.event_pipeline().replace(O.SESS, _FED.replace("value + 1.0", "value + 0.0")), O.decisions_ctes(15))
+
+
+@register("stream_stateful_repaired", f"{_REPEATED}\nSELECT {sel(_DEC)}, {O.ACTION_ID_SQL} AS action_id FROM decisions")
+def q_stream_stateful_repaired(spark, sf):
+    """The operator with state over the feed with faults (redeliveries repeat what they were): equal to decisions in order."""
+    base = _folder(spark, "stateful")
+    feed = disordered_feed(session_clicks(spark, sf), raised=0.0)
+    for k in range(DROPS):
+        part = feed.where(F.col("drop") == k).orderBy("arrival", "copy").select("value")
+        part.write.mode("overwrite").text(f"{base}/feed/drop={k}")
+        events = feed_events(open_feed(spark, "files", path=f"{base}/feed"))
+        stateful_decision_stream(spark, events, f"{base}/tables", f"{base}/checkpoint").awaitTermination()
+    return rounded(stateful_tables(spark, f"{base}/tables").read("decisions").select(*_DEC, "action_id"))

@@ -124,18 +124,18 @@ DROPS = 4
 _DAY_US = 86_400_000_000
 
 
-def disordered_feed(clicks: DataFrame, drops: int = DROPS) -> DataFrame:
+def disordered_feed(clicks: DataFrame, drops: int = DROPS, raised: float = 1.0) -> DataFrame:
     """Stand-in feed with faults of delivery, in ``drops`` equal spans of arrival time: (value, drop, arrival, copy).
 
     By the number n of the event: n % 17 = 3 arrives ten days late, n % 5 = 0
     20 hours late; n % 7 = 2 is delivered again 5 hours later with its value
-    raised by one; n % 10 = 1 has no event_id. Only shapes input.
+    raised by ``raised``; n % 10 = 1 has no event_id. Only shapes input.
     """
     n = F.col("event_id").cast("long")
     late = F.when(n % 17 == 3, 240).when(n % 5 == 0, 20).otherwise(0)
     us = F.unix_micros(F.col("timestamp").cast("timestamp"))
     once = clicks.select("*", n.alias("n"), F.lit(0).alias("copy"), (us + late * F.lit(3_600_000_000)).alias("arrival"))
-    again = once.where(F.col("n") % 7 == 2).withColumn("copy", F.lit(1)).withColumn("value", F.col("value") + 1.0).withColumn("arrival", F.col("arrival") + 5 * F.lit(3_600_000_000))
+    again = once.where(F.col("n") % 7 == 2).withColumn("copy", F.lit(1)).withColumn("value", F.col("value") + raised).withColumn("arrival", F.col("arrival") + 5 * F.lit(3_600_000_000))
     bounds = clicks.agg(F.min(F.floor(us / _DAY_US)).alias("lo"), F.max(F.floor(us / _DAY_US)).alias("hi")).first()
     span = ((bounds["hi"] or 0) - (bounds["lo"] or 0) + 1) / drops
     drop = F.least(F.floor((F.floor(F.col("arrival") / _DAY_US) - F.lit(bounds["lo"] or 0)) / F.lit(span)), F.lit(drops - 1))

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shoptide.sources.events import parse_json_values, quarantine, valid_events
+from shoptide.session import materialize
+from shoptide.sources.events import parse_json_values, quarantine, valid_events, with_event_defaults
+from shoptide.streaming.tables import BatchTables, Table
 
 
 def ingest_stream(spark: SparkSession, feed_dir: str, store_dir: str, quarantine_dir: str,
@@ -130,24 +132,59 @@ def latest_sessions(spark: SparkSession, out_dir: str, key: str = "customer_id")
                     F.col("r.session_end").cast("timestamp_ntz").alias("session_end"), F.col("r.n_events").alias("n_events"))
 
 
-def stateful_decision_stream(spark: SparkSession, store_dir: str, decisions_dir: str, checkpoint: str,
-                             cooldown_minutes: int = 15, available_now: bool = True) -> StreamingQuery:
+STATEFUL_TABLES = {
+    "decisions": Table("session_id string, event_id string, timestamp timestamp_ntz, intent string, confidence double, proposed_action string, allowed boolean, "
+                       "dispatched boolean, action string, reason string, action_id string, event_date date", ["event_date"]),
+    "corrections": Table("session_id string, event_id string, action string, reason string, batch_id long"),
+    "ends": Table("kind string, session_id string, event_id string, timestamp timestamp_ntz, n_events long, batch_id long"),
+}
+
+
+def stateful_tables(spark: SparkSession, path: str) -> BatchTables:
+    return BatchTables(spark, path, STATEFUL_TABLES)
+
+
+def feed_events(feed: DataFrame) -> DataFrame:
+    """Valid events with their defaults from a stream of raw records (see :func:`shoptide.sources.events.open_feed`)."""
+    parsed = parse_json_values(feed, keep=["offset"])
+    return with_event_defaults(valid_events(parsed)).withColumnRenamed("offset", "arrived")
+
+
+def stateful_decision_stream(spark: SparkSession, source: str | DataFrame, decisions_dir: str, checkpoint: str,
+                             cooldown_minutes: int = 15, available_now: bool = True, controls: DataFrame | None = None) -> StreamingQuery:
     """The per-event decision loop with operator state (see :mod:`shoptide.streaming.stateful`).
 
-    Uses the RocksDB state store when the session has no provider configured
-    (state off the JVM heap, incremental checkpoints)."""
+    ``source`` is a folder of an event store or a stream of events. Each batch's
+    decisions and corrections replace the earlier ones of their events, with one
+    commit record, so a replayed batch changes nothing."""
     from shoptide.streaming.stateful import stateful_decisions
 
+    if isinstance(source, str):
+        source = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    dec = stateful_decisions(source, cooldown_minutes=cooldown_minutes, controls=controls)
+    tables = stateful_tables(spark, decisions_dir)
     key = "spark.sql.streaming.stateStore.providerClass"
-    if not spark.conf.get(key, None):
+    if not spark.conf.get(key, None):  # state off the JVM heap
         spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    schema = spark.read.parquet(store_dir).schema
-    src = spark.readStream.schema(schema).parquet(store_dir)
-    dec = stateful_decisions(src, cooldown_minutes=cooldown_minutes)
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{decisions_dir}/batch={batch_id}")
+    def sink(rows: DataFrame, batch_id: int) -> None:
+        batch = tables.begin(batch_id)
+        if batch is None:
+            return
+        rows = materialize(rows.withColumn("batch_id", F.lit(batch_id).cast("long")).withColumn("event_date", F.to_date("timestamp")), "decided")
+        if rows.isEmpty():  # a batch that only moved the watermark
+            return
+        decided = rows.where(F.col("kind").isin("decision", "correction"))
+        batch.merge("decisions", decided, "event_id")
+        batch.append("corrections", rows.where("kind = 'correction'"))
+        batch.append("ends", rows.where(~F.col("kind").isin("decision", "correction")))
+        batch.commit()
 
     w = dec.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
     return w.start()
+
+
+def dropped_by_watermark(query: StreamingQuery) -> int:
+    """Rows that came after the watermark had passed them, over the progress that the query still holds."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])

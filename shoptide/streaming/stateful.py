@@ -1,20 +1,32 @@
-"""The per-event decision loop as a stateful streaming operator.
-
-``applyInPandasWithState`` keyed by session_id. The state is the session's
-prefix: counters, value sum and maximum, first event time, the categories seen
-and the last category, and the last dispatch (time, action). Each micro-batch
-processes the session's new events in event-time order and emits one decision
-per event; the state then holds the new prefix. An event-time timeout drops a
-session's state once the watermark passes its last event plus the TTL.
-
-The per-event scoring restates the hot path in numpy (the same fixed rules,
-calibration, intent -> action map, the policy with the customer context absent
-as in the hot path, the guards and the cooldown). The batch job
-:func:`shoptide.plans.pipeline.event_decisions` is the reference for it; the
-two are checked to be equal.
-
-The set of categories seen is kept in the state (bounded by the category
-vocabulary); everything else is a fixed number of scalars per session.
+"""The per-event decision loop as a stateful operator that repairs itself.
+
+``applyInPandasWithState`` keyed by session_id, one state row per session. The
+state of a session is
+
+* ``prefix``: counters, value sum and maximum, times, categories seen and the last
+  dispatch over the events older than the watermark, which nothing can come
+  before any more, and
+* ``tail``: the later events, each with the decision that was given for it.
+
+A batch's events are put among the tail in time order (a redelivery replaces the
+event with its id), the tail is decided again from the prefix, and a decision
+leaves the operator when it is new or no longer what was given before: a late
+event repairs what follows it. What the watermark has passed is then folded into
+the prefix. So the state of a session is a fixed number of scalars, its
+categories (bounded by their vocabulary) and the events of the last
+``watermark``, and a batch's work on it is as long as those and the batch's own.
+
+An event-time timeout closes a session that has had no event for the TTL: it gives
+a row of kind ``closed`` and the state goes. Control rows (kind ``clear``) end a
+session at their time: earlier events are decided as before, the state goes, a
+row of kind ``cleared`` says so, and later events start anew; events that come
+after it from before that time are given back as ``ignored``.
+
+Scoring restates the hot path in numpy over a session's events at once (the same
+fixed rules, calibration, actions, the policy with the customer context absent,
+guards and cooldown). The batch job
+:func:`shoptide.plans.pipeline.event_decisions` is the reference; the two are
+checked to be equal.
 """
 
 from __future__ import annotations
@@ -31,16 +43,18 @@ from shoptide.schema import (
     ACTION_MAP, ALWAYS_ALLOWED, CALIBRATION_A, CALIBRATION_B, COOLDOWN_MINUTES, INTENTS, NO_ACTION, SESSION_TTL_HOURS,
 )
 
-STATE_SCHEMA = (
-    "n long, page_views long, cart_adds long, cart_removes long, checkouts long, searches long, "
-    "total_value double, max_value double, first_us long, last_cat string, switches long, cats array<string>, "
-    "last_disp_us long, last_disp_action string"
-)
+PREFIX = ("n long, page_views long, cart_adds long, cart_removes long, checkouts long, searches long, total_value double, "
+          "first_us long, last_us long, last_cat string, switches long, cats array<string>, last_disp_us long, last_disp_action string, cleared_us long")
+TAIL = {"event_id": "string", "us": "long", "action": "string", "category": "string", "value": "double",
+        "intent": "string", "confidence": "double", "out_action": "string", "out_reason": "string"}
+STATE_SCHEMA = PREFIX + "".join(f", tail_{name} array<{kind}>" for name, kind in TAIL.items())
 OUTPUT_SCHEMA = (
-    "session_id string, event_id string, timestamp timestamp_ntz, intent string, confidence double, "
-    "proposed_action string, allowed boolean, dispatched boolean, action string, reason string"
+    "kind string, session_id string, event_id string, timestamp timestamp_ntz, intent string, confidence double, "
+    "proposed_action string, allowed boolean, dispatched boolean, action string, reason string, n_events long"
 )
+COUNTED = ["page_view", "add_to_cart", "remove_from_cart", "checkout_start", "search_query"]
 SUPPRESSED = "SUPPRESSED_WITHIN_15MIN"
+EMPTY = (0, 0, 0, 0, 0, 0, 0.0, None, None, None, 0, [], None, None, None)
 
 # Ship this module's functions by value to the Python workers, so they do not
 # need the package on their import path.
@@ -54,124 +68,189 @@ except Exception:  # noqa: BLE001
     pass
 
 
-def _scores(pv, adds, removes, chk, srch, total, cats, er, dur, ccr, car, aiet):
-    """Rule scores per intent (arrays over the batch's events)."""
-    s = {
-        "BROWSE": np.where((pv > 5) & (adds == 0), 3, 0) + np.where(er > 0.5, 2, 0),
-        "COMPARE": np.where((cats > 3) & (adds == 0), 3, 0) + np.where(pv > adds * 3, 2, 0),
-        "CART_BUILDER": np.where((adds > removes) & (total > 50), 3, 0) + np.where(ccr > 0.3, 2, 0),
-        "CHECKOUT_INTENT": np.where(chk > 0, 4, 0) + np.where((total > 100) & (er < 0.3), 2, 0),
-        "PRICE_SENSITIVE": np.where(srch > 3, 3, 0) + np.where(car > 0.5, 2, 0),
-        # history inputs (repeat customer, days since purchase) are absent in the hot path
-        "CHURN_RISK": np.where((dur > 600) & (adds == 0), 2, 0),
-        "LOYAL_RETURNER": np.where((aiet < 30) & (total > 100), 2, 0),
+def running(prefix: tuple, tail: pd.DataFrame) -> dict[str, np.ndarray]:
+    """Features after each event of ``tail`` (in time order), carried on from the prefix."""
+    n0, *counts0 = prefix[:6]
+    total0, first0, last_cat0, switches0, cats0 = prefix[6], prefix[7], prefix[9], prefix[10], set(prefix[11] or [])
+    action, us = tail["action"].to_numpy(dtype=object), tail["us"].to_numpy(dtype=np.int64)
+    category = tail["category"].where(tail["category"].notna() & (tail["category"] != ""), "unknown")
+    out = {name: base + np.cumsum(action == name) for name, base in zip(COUNTED, counts0)}
+    out["n"] = n0 + np.arange(1, len(tail) + 1)
+    out["total"] = total0 + np.cumsum(pd.to_numeric(tail["value"]).fillna(0.0).to_numpy(dtype=np.float64))
+    out["cats"] = len(cats0) + np.cumsum((~category.duplicated() & ~category.isin(list(cats0))).to_numpy())
+    previous = category.shift(1)
+    if len(tail):
+        previous.iloc[0] = last_cat0 if last_cat0 is not None else category.iloc[0]
+    out["switches"] = switches0 + np.cumsum((category != previous).to_numpy())
+    out["category"], out["us"] = category.to_numpy(dtype=object), us
+    out["duration"] = (us - (us[0] if first0 is None else first0)) / 1e6 if len(tail) else np.empty(0)
+    return out
+
+
+def scored(f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Intent, confidence, proposed action, policy and guards of each event."""
+    views, adds, removes, checkouts, searches = (f[name].astype(np.float64) for name in COUNTED)
+    total, duration = f["total"], f["duration"]
+    between = np.where(f["n"] > 1, duration / np.maximum(f["n"] - 1, 1), 0.0)
+    explored = np.maximum(0.0, np.minimum(1.0, f["switches"] / np.maximum(views, 1.0)))
+    score = {
+        "BROWSE": np.where((views > 5) & (adds == 0), 3, 0) + np.where(explored > 0.5, 2, 0),
+        "COMPARE": np.where((f["cats"] > 3) & (adds == 0), 3, 0) + np.where(views > adds * 3, 2, 0),
+        "CART_BUILDER": np.where((adds > removes) & (total > 50), 3, 0) + np.where(adds / np.maximum(views, 1.0) > 0.3, 2, 0),
+        "CHECKOUT_INTENT": np.where(checkouts > 0, 4, 0) + np.where((total > 100) & (explored < 0.3), 2, 0),
+        "PRICE_SENSITIVE": np.where(searches > 3, 3, 0) + np.where(np.where(adds > 0, removes / np.maximum(adds, 1.0), 0.0) > 0.5, 2, 0),
+        # the history inputs (repeat customer, days since purchase) are absent in the hot path
+        "CHURN_RISK": np.where((duration > 600) & (adds == 0), 2, 0),
+        "LOYAL_RETURNER": np.where((between < 30) & (total > 100), 2, 0),
     }
-    return s
+    names = sorted(INTENTS)
+    table = np.vstack([score[i] for i in names])
+    points = table.sum(axis=0)
+    best = table.max(axis=0)
+    last = len(names) - 1 - np.argmax(table[::-1] == best, axis=0)  # of equal scores the greatest name
+    intent = np.where(points > 0, np.array(names, dtype=object)[last], "BROWSE")
+    raw = np.where(points > 0, np.minimum(best / np.maximum(points, 1), 1.0), 0.0)
+    proposed = np.array([ACTION_MAP.get(x, NO_ACTION) for x in intent], dtype=object)
+    allowed = np.isin(proposed, ALWAYS_ALLOWED) | ((proposed == "SEND_ABANDON_EMAIL") & (duration > 300) & (adds > 0) & (checkouts == 0))
+    small_cart = (proposed == "APPLY_DISCOUNT") & (total < 50)
+    no_checkout = (proposed == "SHOW_URGENCY") & (checkouts == 0)
+    return {
+        "intent": intent, "confidence": 1.0 / (1.0 + np.exp(-(CALIBRATION_A * raw + CALIBRATION_B))), "proposed_action": proposed, "allowed": allowed.astype(bool),
+        "guarded": np.where(small_cart | no_checkout, NO_ACTION, proposed),
+        "guard_reason": np.where(small_cart, "MIN_CART_VALUE_NOT_MET", np.where(no_checkout, "NO_CHECKOUT_STARTED", "")),
+    }
+
+
+def dispatched(s: dict[str, np.ndarray], us: np.ndarray, last_us: int | None, last_action: str | None, cooldown_us: int) -> dict[str, np.ndarray]:
+    """Action, reason and whether it was dispatched, by the cooldown chain from the last dispatch on."""
+    capable = np.flatnonzero(s["allowed"] & (s["guarded"] != NO_ACTION))
+    times, fired = us[capable], np.zeros(len(us), bool)
+    i = 0 if last_us is None else int(np.searchsorted(times, last_us + cooldown_us))
+    while i < len(times):  # one step per dispatch
+        fired[capable[i]] = True
+        i = int(np.searchsorted(times, times[i] + cooldown_us))
+    latest = np.maximum.accumulate(np.where(fired, np.arange(len(us)), -1)) if len(us) else np.empty(0, int)
+    own = np.maximum(latest, 0)
+    at = np.where(latest >= 0, us[own], last_us if last_us is not None else -(1 << 62))
+    what = np.where(latest >= 0, s["guarded"][own], last_action)
+    cooling = us - at < cooldown_us
+    same = cooling & (s["proposed_action"] == what)
+    reason = np.where(fired, None, np.where(same, SUPPRESSED, np.where(~s["allowed"], "", np.where(cooling, SUPPRESSED, s["guard_reason"]))))
+    return {"action": np.where(fired, s["guarded"], NO_ACTION), "reason": reason, "dispatched": fired, "last": latest}
+
+
+def _load(state: GroupState) -> tuple[tuple, pd.DataFrame]:
+    if not state.exists:
+        return EMPTY, pd.DataFrame({name: [] for name in TAIL}, dtype=object)
+    held = tuple(state.get)
+    n = len(EMPTY)
+    return held[:n], pd.DataFrame(dict(zip(TAIL, map(list, held[n:]))), dtype=object)
+
 
+def _stored(prefix: tuple, tail: pd.DataFrame) -> tuple:
+    plain = {"string": lambda x: x, "long": int, "double": float}
+    columns = [[None if x is None or x != x else plain[kind](x) for x in tail[name]] for name, kind in TAIL.items()]
+    return (*[x.item() if isinstance(x, np.generic) else x for x in prefix], *columns)
 
-def _decide(key, pdfs: Iterator[pd.DataFrame], state: GroupState,
-            cooldown_us: int, ttl_ms: int) -> Iterator[pd.DataFrame]:
+
+def _rows(rows: list[dict] | pd.DataFrame) -> pd.DataFrame:
+    fields = [c.split() for c in OUTPUT_SCHEMA.split(", ")]
+    out = pd.DataFrame(rows).reindex(columns=[name for name, _ in fields])
+    for name, kind in fields:  # plain objects: pandas' own text columns have no single Arrow array
+        if kind in ("string", "boolean"):
+            out[name] = out[name].astype(object).where(out[name].notna(), None)
+    out["timestamp"] = pd.to_datetime(out["timestamp"])
+    return out
+
+
+def _note(kind: str, session: str, prefix: tuple, tail: pd.DataFrame, us: int | None) -> pd.DataFrame:
+    return _rows([{"kind": kind, "session_id": session, "timestamp": None if us is None else pd.Timestamp(us, unit="us"), "n_events": int(prefix[0]) + len(tail)}])
+
+
+def _decide(session: str, prefix: tuple, tail: pd.DataFrame, new: pd.DataFrame, mark_us: int, cooldown_us: int) -> tuple[tuple, pd.DataFrame, pd.DataFrame]:
+    """(prefix, tail, decisions that are new or have changed) after the new events."""
+    new = new.drop_duplicates("event_id", keep="last").astype(object)
+    if len(tail):
+        given = tail.set_index("event_id")[list(TAIL)[5:]]  # a redelivery replaces an event, not what was given for it
+        new = new.join(given, on="event_id")
+        tail = pd.concat([tail[~tail["event_id"].isin(new["event_id"])], new], ignore_index=True)
+    else:
+        tail = new.reset_index(drop=True)
+    tail = tail.reindex(columns=list(TAIL)).sort_values(["us", "event_id"], kind="mergesort").reset_index(drop=True)
+    f = running(prefix, tail)
+    s = scored(f)
+    d = dispatched(s, f["us"], prefix[12], prefix[13], cooldown_us)
+    same = lambda old, now: (old == now) | (old.isna() & pd.isna(now))
+    given = tail["out_action"].notna()
+    kept = given & same(tail["intent"], pd.Series(s["intent"])) & same(tail["out_action"], pd.Series(d["action"])) & same(
+        tail["out_reason"], pd.Series(d["reason"], dtype=object)) & (tail["confidence"].astype(float) == s["confidence"])
+    out = pd.DataFrame({
+        "kind": np.where(given, "correction", "decision"), "session_id": session, "event_id": tail["event_id"],
+        "timestamp": pd.to_datetime(f["us"], unit="us"), "intent": s["intent"], "confidence": s["confidence"], "proposed_action": s["proposed_action"],
+        "allowed": s["allowed"], "dispatched": d["dispatched"], "action": d["action"], "reason": d["reason"], "n_events": f["n"]})[~kept.to_numpy()]
+    tail = tail.assign(intent=s["intent"], confidence=s["confidence"], out_action=d["action"], out_reason=d["reason"])
+    passed = int(np.searchsorted(f["us"], mark_us))
+    if passed:
+        k, last = passed - 1, int(d["last"][passed - 1])
+        prefix = (f["n"][k], *[f[name][k] for name in COUNTED], f["total"][k], prefix[7] if prefix[7] is not None else f["us"][0], f["us"][k], f["category"][k],
+                  f["switches"][k], sorted({*(prefix[11] or []), *f["category"][:passed]}),
+                  f["us"][last] if last >= 0 else prefix[12], s["guarded"][last] if last >= 0 else prefix[13], prefix[14])
+        tail = tail.iloc[passed:]
+    return prefix, tail, out
+
+
+def _session(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, cooldown_us: int, ttl_ms: int) -> Iterator[pd.DataFrame]:
+    session = key[0]
+    prefix, tail = _load(state)
     if state.hasTimedOut:
+        if prefix[0] or len(tail):
+            yield _note("closed", session, prefix, tail, int(tail["us"].max()) if len(tail) else prefix[8])
         state.remove()
         return
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    if pdf.empty:
-        return
-    pdf = pdf.sort_values(["__us", "event_id"], kind="mergesort").reset_index(drop=True)
-    if state.exists:
-        (n0, pv0, ad0, rm0, ck0, sr0, tot0, mx0, first0, lastcat0, sw0, cats0, ldisp, lact) = state.get
-        cats_seen = set(cats0 or [])
-    else:
-        n0 = pv0 = ad0 = rm0 = ck0 = sr0 = sw0 = 0
-        tot0, mx0, first0, lastcat0, ldisp, lact = 0.0, None, None, None, None, None
-        cats_seen = set()
-    act = pdf["action"].to_numpy(dtype=object)
-    cat = pdf["category"].where(pdf["category"].notna() & (pdf["category"] != ""), "unknown").to_numpy(dtype=object)
-    val = pdf["value"].fillna(0.0).to_numpy(dtype=np.float64)
-    us = pdf["__us"].to_numpy(dtype=np.int64)
-    m = len(pdf)
-    n = n0 + np.arange(1, m + 1)
-    cnt = lambda a, base: base + np.cumsum(act == a)
-    pv, adds, removes = cnt("page_view", pv0), cnt("add_to_cart", ad0), cnt("remove_from_cart", rm0)
-    chk, srch = cnt("checkout_start", ck0), cnt("search_query", sr0)
-    total = tot0 + np.cumsum(val)
-    mx = np.maximum.accumulate(val) if mx0 is None else np.maximum(mx0, np.maximum.accumulate(val))
-    first = us[0] if first0 is None else first0
-    ncat, sw, prev, distinct = [], [], lastcat0, len(cats_seen)
-    s = sw0
-    for c in cat:
-        if c not in cats_seen:
-            cats_seen.add(c)
-            distinct += 1
-        if prev is not None and c != prev:
-            s += 1
-        prev = c
-        ncat.append(distinct)
-        sw.append(s)
-    ncat, sw = np.array(ncat), np.array(sw)
-    dur = (us - first) / 1e6
-    aiet = np.where(n > 1, dur / np.maximum(n - 1, 1), 0.0)
-    pvd, addd = pv.astype(np.float64), adds.astype(np.float64)
-    ccr = addd / np.maximum(pvd, 1.0)
-    car = np.where(addd > 0, removes / np.maximum(addd, 1.0), 0.0)
-    er = np.maximum(0.0, np.minimum(1.0, sw / np.maximum(pvd, 1.0)))
-    sc = _scores(pv, adds, removes, chk, srch, total, ncat, er, dur, ccr, car, aiet)
-    tot_score = sum(sc[i] for i in INTENTS)
-    best = np.max(np.vstack([sc[i] for i in INTENTS]), axis=0)
-    intent = np.full(m, "BROWSE", dtype=object)
-    for i in sorted(INTENTS):  # later (greater) names overwrite: ties go to the greatest name
-        intent = np.where((sc[i] == best) & (tot_score > 0), i, intent)
-    raw = np.where(tot_score > 0, np.minimum(best / np.maximum(tot_score, 1), 1.0), 0.0)
-    conf = 1.0 / (1.0 + np.exp(-(CALIBRATION_A * raw + CALIBRATION_B)))
-    proposed = np.array([ACTION_MAP.get(x, NO_ACTION) for x in intent], dtype=object)
-    allowed = np.isin(proposed, ALWAYS_ALLOWED) | (
-        (proposed == "SEND_ABANDON_EMAIL") & (dur > 300) & (adds > 0) & (chk == 0))
-    low_cart = (proposed == "APPLY_DISCOUNT") & (total < 50)
-    no_chk = (proposed == "SHOW_URGENCY") & (chk == 0)
-    guarded = np.where(low_cart | no_chk, NO_ACTION, proposed)
-    guard_reason = np.where(low_cart, "MIN_CART_VALUE_NOT_MET", np.where(no_chk, "NO_CHECKOUT_STARTED", ""))
-    out_act, out_reason, out_disp = [], [], []
-    for j in range(m):
-        cooling = ldisp is not None and (us[j] - ldisp) < cooldown_us
-        if cooling and proposed[j] == lact:
-            a, r, d = NO_ACTION, SUPPRESSED, False
-        elif not allowed[j]:
-            a, r, d = NO_ACTION, "", False
-        elif cooling:
-            a, r, d = NO_ACTION, SUPPRESSED, False
-        elif guarded[j] != NO_ACTION:
-            a, r, d = guarded[j], None, True
-            ldisp, lact = int(us[j]), guarded[j]
-        else:
-            a, r, d = NO_ACTION, guard_reason[j], False
-        out_act.append(a)
-        out_reason.append(r)
-        out_disp.append(d)
-    state.update((int(n[-1]), int(pv[-1]), int(adds[-1]), int(removes[-1]), int(chk[-1]), int(srch[-1]),
-                  float(total[-1]), float(mx[-1]), int(first), prev, int(sw[-1]), sorted(cats_seen),
-                  ldisp, lact))
-    state.setTimeoutTimestamp(int(us[-1] // 1000) + ttl_ms)
-    yield pd.DataFrame({
-        "session_id": pdf["session_id"], "event_id": pdf["event_id"], "timestamp": pdf["timestamp"],
-        "intent": intent, "confidence": conf, "proposed_action": proposed, "allowed": allowed.astype(bool),
-        "dispatched": out_disp, "action": out_act, "reason": out_reason,
-    })
-
-
-def stateful_decisions(events: DataFrame, cooldown_minutes: int = COOLDOWN_MINUTES,
-                       ttl_hours: int = SESSION_TTL_HOURS, watermark: str = "24 hours") -> DataFrame:
-    """Streaming (or batch) click events -> one decision per event, via state."""
-    from shoptide.operators.dispatch import action_id
+    mark_ms = max(0, state.getCurrentWatermarkMs())
+    given = pd.concat(list(pdfs), ignore_index=True)  # a batch's events of one session: bounded by the trigger's input limits
+    given = given.sort_values(["us", "event_id", "arrived"], kind="mergesort")
+    columns = list(TAIL)[:5]
+    events = given[given["kind"] == "event"]
+    for clear_us in sorted({int(x) for x in given.loc[given["kind"] == "clear", "us"]}):
+        before, events = events[events["us"] < clear_us], events[events["us"] >= clear_us]
+        ended, later = tail[tail["us"].astype("int64") < clear_us], tail[tail["us"].astype("int64") >= clear_us][columns]
+        prefix, ended, out = _decide(session, prefix, ended, before[columns], mark_ms * 1000, cooldown_us)
+        yield _rows(out)
+        yield _note("cleared", session, prefix, ended, clear_us)
+        prefix, tail = (*EMPTY[:14], clear_us), tail.iloc[:0]
+        events = pd.concat([later, events[columns]], ignore_index=True) if len(later) else events
+    if prefix[14] is not None and len(events):
+        gone, events = events[events["us"] < prefix[14]], events[events["us"] >= prefix[14]]
+        if len(gone):
+            yield _rows([{"kind": "ignored", "session_id": session, "event_id": e, "timestamp": pd.Timestamp(u, unit="us")} for e, u in zip(gone["event_id"], gone["us"])])
+    if len(events):
+        prefix, tail, out = _decide(session, prefix, tail, events[columns], mark_ms * 1000, cooldown_us)
+        yield _rows(out)
+    last = max([x for x in (prefix[8], prefix[14], int(tail["us"].max()) if len(tail) else None) if x is not None], default=0)
+    state.update(_stored(prefix, tail))
+    state.setTimeoutTimestamp(max(int(last) // 1000 + ttl_ms, mark_ms + 1))
+
 
-    cd = cooldown_minutes * 60 * 1_000_000
-    ttl = ttl_hours * 3600 * 1000
-    ev = events.select("session_id", "event_id", "timestamp", "action", "category", "value",
-                       F.col("timestamp").cast("timestamp").alias("__ts"),
-                       F.unix_micros(F.col("timestamp").cast("timestamp")).alias("__us")).withWatermark("__ts", watermark)
+def stateful_decisions(events: DataFrame, cooldown_minutes: int = COOLDOWN_MINUTES, ttl_hours: int = SESSION_TTL_HOURS,
+                       watermark: str = "24 hours", controls: DataFrame | None = None) -> DataFrame:
+    """Streaming click events -> decisions, corrections and the ends of sessions (column ``kind``).
 
-    def fn(key, pdfs, state):
-        return _decide(key, pdfs, state, cd, ttl)
+    ``events`` may have a column ``arrived`` that orders deliveries of one event;
+    ``controls`` is a stream of (session_id, timestamp) at which sessions are cleared.
+    """
+    from shoptide.operators.dispatch import action_id
 
-    out = ev.groupBy("session_id").applyInPandasWithState(
-        fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
-    return out.withColumn("action_id", action_id(F.col("session_id"), F.col("action"), F.col("timestamp")))
+    cooldown_us, ttl_ms = cooldown_minutes * 60 * 1_000_000, ttl_hours * 3600 * 1000
+    time = F.col("timestamp").cast("timestamp")
+    arrived = F.col("arrived").cast("long") if "arrived" in events.columns else F.lit(0).cast("long")
+    rows = events.select("session_id", F.lit("event").alias("kind"), "event_id", "action", "category", "value", arrived.alias("arrived"),
+                         time.alias("__ts"), F.unix_micros(time).alias("us"))
+    if controls is not None:
+        none = F.lit(None).cast("string")
+        rows = rows.unionByName(controls.select(
+            "session_id", F.lit("clear").alias("kind"), none.alias("event_id"), none.alias("action"), none.alias("category"),
+            F.lit(None).cast("double").alias("value"), F.lit(0).cast("long").alias("arrived"), time.alias("__ts"), F.unix_micros(time).alias("us")))
+    out = rows.withWatermark("__ts", watermark).groupBy("session_id").applyInPandasWithState(
+        lambda key, pdfs, state: _session(key, pdfs, state, cooldown_us, ttl_ms), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("action_id", F.when(F.col("action").isNotNull(), action_id(F.col("session_id"), F.col("action"), F.col("timestamp"))))
