@@ -1,6 +1,10 @@
 """Operator 5, license scans: conditional compression.
 
-Stretches of text around license vocabulary are candidate blocks. Each block is
+A notice that may differ in d words keeps at least one of d + 1 disjoint runs of
+its template's words whole, as one difference breaks one run. The runs of all
+templates (``RUNS``) therefore decide what is looked at: where a run stands in a
+text, the words that the notice could reach before and after it are a candidate
+block, and blocks that meet are joined. Each block is
 compressed with zstandard alone and with each notice template as a raw-content
 dictionary. The templates are ranked by the bytes that they save, and all that
 save any are confirmed by exact wording: the template's words are aligned
@@ -11,8 +15,9 @@ at most ``TOLERANCE`` of its words; a notice of less than ``LONG_NOTICE`` words
 must match word by word. A found span is blanked and the block is ranked again, so a block
 gives all its notices.
 
-The vocabulary is sought in the JVM over every whole text, and only texts that
-hold some go to Python, row by row and without a shuffle.
+Every run holds one of the words ``ANCHORS``, chosen from the runs. They are
+sought in the JVM over every whole text, and only texts that hold one go to
+Python, row by row and without a shuffle.
 
 Defined results: a null or empty text has no blocks; notices that touch each
 other are separate; among equally close templates the larger saving wins, then
@@ -26,6 +31,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -59,18 +65,13 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
-# White space of the wording check, spelled out for the JVM; what may stand between two words of the vocabulary (line ends, comment marks).
-SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-BETWEEN = rf"[^0-9A-Za-z{SPACE}]*[{SPACE}][^0-9A-Za-z]*"
-VOCABULARY = r"licen[sc]e|copyright|permission is|permission to|redistribut|free software|creative commons|public domain|mozilla public".replace(" ", BETWEEN)
-BEFORE, AFTER, LONGEST = 100, 350, 6000
+LONGEST = 800  # words of a block
 LEAST_SAVED = 1
 TOLERANCE = 0.1
 LONG_NOTICE = 20
 LEVEL = 19
 
 _WORD = re.compile(r"\S+")
-_VOCABULARY = re.compile(VOCABULARY, re.IGNORECASE)
 
 
 def normal_words(text: str) -> list[tuple[str, int, int]]:
@@ -93,10 +94,45 @@ def dictionary(words: list[str]) -> bytes:
     return " ".join([*words, *words, ""]).encode()
 
 
+@dataclass(frozen=True)
+class Run:
+    """Some words of a template, and how many words of a notice may lie before the first and after the last of them."""
+
+    words: tuple[str, ...]
+    before: int
+    after: int
+
+
+def runs_of(words: list[str]) -> list[Run]:
+    """Disjoint runs of a template, one more than the words in which a notice may differ."""
+    d = allowed(len(words))
+    cuts = [len(words) * k // (d + 1) for k in range(d + 2)]
+    return [Run(tuple(words[a:b]), a + d, len(words) - b + d) for a, b in zip(cuts, cuts[1:])]
+
+
+def anchors_of(runs: list[Run]) -> list[str]:
+    """Words, of six letters or more where a run has such, of which every run holds one."""
+    left, out = [set(r.words) for r in runs], []
+    while left:
+        held = Counter(w for words in left for w in ({x for x in words if len(x) >= 6} or words))
+        best = min(held, key=lambda w: (-held[w], -len(w), w))
+        out.append(best)
+        left = [words for words in left if best not in words]
+    return out
+
+
+RUNS = [run for _, text in TEMPLATES for run in runs_of([w for w, _, _ in normal_words(text)])]
+ANCHORS = anchors_of(RUNS)
+
+
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]] = TEMPLATES):
         self.templates = [(name, [w for w, _, _ in normal_words(text)]) for name, text in templates]
         self.counted = [Counter(words) for _, words in self.templates]
+        self.runs: dict[str, list[Run]] = {}
+        for run in (r for _, words in self.templates for r in runs_of(words)):
+            self.runs.setdefault(run.words[0], []).append(run)
+        self.reach = max(len(r.words) + r.before + r.after for some in self.runs.values() for r in some)
         options = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.alone = zstandard.ZstdCompressor(compression_params=options)
         self.given = [
@@ -149,21 +185,24 @@ class Scanner:
         return sorted(out, key=lambda x: x[1])
 
     def blocks(self, text: str) -> list[tuple[int, int]]:
-        """Candidate blocks: stretches around license vocabulary, joined where they meet; long ones are cut with an overlap."""
+        """Candidate blocks: the reach of every run that stands in the text, joined where they meet; long ones are cut with an overlap."""
+        spans = normal_words(text)
+        words = [w for w, _, _ in spans]
         out: list[list[int]] = []
-        for m in _VOCABULARY.finditer(text):
-            a, b = max(0, m.start() - BEFORE), min(len(text), m.end() + AFTER)
+        reaches = [(max(0, i - r.before), min(len(words), i + len(r.words) + r.after)) for i, w in enumerate(words)
+                   for r in self.runs.get(w, ()) if tuple(words[i:i + len(r.words)]) == r.words]
+        for a, b in sorted(reaches):
             if out and a <= out[-1][1]:
-                out[-1][1] = b
+                out[-1][1] = max(b, out[-1][1])
             else:
                 out.append([a, b])
         cut = []
         for a, b in out:
             while b - a > LONGEST:
                 cut.append((a, a + LONGEST))
-                a += LONGEST - BEFORE - AFTER
+                a += LONGEST - self.reach
             cut.append((a, b))
-        return cut
+        return [(spans[a][1], spans[b - 1][2]) for a, b in cut]
 
     def scan(self, text: str) -> tuple[int, list[tuple[str, int, int, int, int]]]:
         blocks = self.blocks(text)
@@ -193,7 +232,7 @@ def _scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scanned(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_blocks, notices (license, start and end in code points, bytes saved, differing words)."""
     rows = picked(docs, doc_id="long", text="string")
-    rows = rows.withColumn("text", F.when(F.col("text").rlike(f"(?i){VOCABULARY}"), F.col("text")))
+    rows = rows.withColumn("text", F.when(F.col("text").rlike(f"(?iu){'|'.join(map(re.escape, ANCHORS))}"), F.col("text")))
     return rows.mapInArrow(_scan, f"doc_id long, n_blocks long, notices array<{NOTICE}>")
 
 
