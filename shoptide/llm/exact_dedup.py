@@ -10,7 +10,8 @@ the same bucketing. Texts never travel: only digests and ids are shuffled.
 Defined results: a null text counts as empty; the row with the largest doc_id
 of a batch stays (a null doc_id is smaller than any other); among repeated rows
 with the same doc_id and text exactly one stays; a text that the index already
-holds stays with the index's row. Extra columns are ignored by
+holds stays with the index's row; an empty table gives an empty result and adds
+nothing to the index. Extra columns are ignored by
 :func:`deduplicate` and kept by :func:`kept_rows`.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,21 +29,60 @@ INDEX_COLUMNS = "digest BINARY, keep_id BIGINT, keep_row BIGINT, batch STRING"
 
 
 class DigestIndex:
-    """One row per distinct text: ``digest`` (32 bytes), ``keep_id``, ``keep_row`` and the batch that brought it."""
+    """One row per distinct text: ``digest`` (32 bytes), ``keep_id``, ``keep_row`` and the batch that brought it.
+
+    Beside the data, in ``<path>-layout``, lie the number of buckets and the name
+    of the live folder, so an index is always opened as it was made.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, name: str | None = None):
-        """Opens the index at ``path``, or makes an empty one. ``buckets`` must be the number it was made with."""
+        """Opens the index at ``path``, or makes an empty one with ``buckets`` (else: shuffle partitions).
+
+        An index that exists keeps its number of buckets; to ask for another one is an error.
+        """
         self.spark, self.path = spark, path or new_folder(spark, "digest-index")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = name or f"digest_index_{uuid.uuid4().hex[:12]}"
-        spark.sql(
+        held = None if path is None else self._layout()
+        if held is None:
+            self.buckets, self.version = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), 0
+            self._set_layout()
+        else:
+            self.buckets, self.version = held
+            if buckets not in (None, self.buckets):
+                raise ValueError(f"the index at {self.path} has {self.buckets} buckets, not {buckets}")
+        self._open()
+
+    def _layout(self) -> tuple[int, int] | None:
+        try:
+            found = self.spark.read.schema("buckets int, version int").json(f"{self.path}-layout").first()
+        except AnalysisException:  # a new index
+            return None
+        return None if found is None else (found["buckets"], found["version"])
+
+    def _set_layout(self) -> None:
+        row = self.spark.createDataFrame([(self.buckets, self.version)], "buckets int, version int")
+        row.coalesce(1).write.mode("overwrite").json(f"{self.path}-layout")
+
+    def _open(self) -> None:
+        self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} ({INDEX_COLUMNS}) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/version={self.version}'"
         )
 
+    def close(self) -> None:
+        """Takes the table's name out of the catalog; the index's files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def _append(self, rows: DataFrame, name: str, version: int) -> None:
+        (
+            rows.select("digest", "keep_id", "keep_row", "batch").repartition(self.buckets, "digest").sortWithinPartitions("digest")
+            .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
+            .option("path", f"{self.path}/version={version}").saveAsTable(name)
+        )
+
     def ingest(self, digests: DataFrame, batch: str) -> None:
         """Appends the texts of ``digests`` (digest, doc_id, row) that the index lacks.
 
@@ -50,13 +91,23 @@ class DigestIndex:
         # Written, as Spark would else put the anti-join below the aggregation and shuffle every copy of a text.
         new = written(digests.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("keep")), "batch")
         fresh = new.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-        (
-            fresh.select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"), F.lit(batch).alias("batch"))
-            .repartition(self.buckets, "digest")
-            .sortWithinPartitions("digest")
-            .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
-            .option("path", self.path).saveAsTable(self.name)
-        )
+        self._append(fresh.select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"), F.lit(batch).alias("batch")), self.name, self.version)
+        self.spark.catalog.refreshTable(self.name)
+
+    def compact(self) -> None:
+        """Writes the index anew with one sorted file per bucket, and then makes that the live folder.
+
+        Each ingest adds a file per bucket. Of a compacted index Spark can use the
+        files' order and sort only the new data's side
+        (``spark.sql.legacy.bucketedTableScan.outputOrdering``).
+        """
+        other = f"{self.name}_{self.version + 1}"
+        self._append(written(self.rows(), "index-rows"), other, self.version + 1)  # read as plain files, which are dealt anew
+        self.spark.sql(f"DROP TABLE {other}")
+        self.close()
+        self.version += 1
+        self._set_layout()
+        self._open()
         self.spark.catalog.refreshTable(self.name)
 
 
@@ -82,6 +133,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     ``group_size`` counts the rows of this call with the same text.
     """
     digests = digests_of(docs)
+    own = index is None
     index = index or DigestIndex(docs.sparkSession)
     call = uuid.uuid4().hex[:12]
     for k, batch in enumerate(batches(digests)):
@@ -90,6 +142,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     # Written so that the join below reads plain files on this side: Spark may then split a hot digest's rows among tasks.
     held = index.rows().withColumn("mine", F.col("batch").startswith(call)).drop("batch")
     groups = written(sizes.join(held.hint("merge"), "digest"), "groups")
+    if own:
+        index.close()
     return digests.join(groups.hint("merge"), "digest").select(
         "doc_id", "keep_id", "group_size",
         (F.col("mine") & (F.col("row") == F.col("keep_row"))).alias("kept"),
@@ -99,12 +153,13 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 def kept_rows(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    stays = deduplicate(docs, index).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"))
-    digest = F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256))
-    same = docs["doc_id"].eqNullSafe(stays["__id"]) & (digest == stays["__digest"])
-    found = docs.join(stays, same, "left_semi")
+    stays = deduplicate(docs, index).where("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_digest"))
+    row = F.col("row")  # the original row as one struct, whatever its columns are named
+    rows = docs.select(F.struct("*").alias("row")).select(
+        "row", row["doc_id"].cast("long").alias("id"), F.unhex(F.sha2(F.coalesce(row["text"].cast("string"), F.lit("")).cast("binary"), 256)).alias("digest"))
+    found = rows.join(stays, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
     # Repeated rows with one doc_id and text pass the semi-join together; one of them stays.
-    return found.withColumn("__digest", digest).dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    return found.dropDuplicates(["id", "digest"]).select("row.*")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
