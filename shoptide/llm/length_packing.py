@@ -31,11 +31,12 @@ from pyspark.sql import functions as F
 
 from .common import picked, table, written
 from .textbatch import TextBatch, as_large, chunks
-from .token_records import default_tokenizer, encoder_of
+from .token_records import ENCODED_BYTES, default_tokenizer, encoder_of
 
 BUCKETS = 8
 BUDGET = 32_768
 CELLS = 1024
+COPIES = 4096
 SEED = 5
 
 
@@ -80,7 +81,7 @@ def _counts(tokenizer: str | None):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts = as_large(part.column("text"))
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(texts, ENCODED_BYTES):
                 batch = TextBatch(texts, lo, hi)
                 n = (encoder_of(tokenizer).counts(batch) if tokenizer else batch.n_words) + 1
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(lo, hi - lo), part.column("text_key").slice(lo, hi - lo), pa.array(n)], ["doc_id", "text_key", "n_tokens"])
@@ -110,7 +111,11 @@ def packed(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, see
     cells = rows.groupBy("bucket", "cell").agg(F.sum("copies").alias("n"))
     earlier = Window.partitionBy("bucket").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    rows = rows.join(F.broadcast(cells), ["bucket", "cell"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    rows = rows.join(F.broadcast(cells), ["bucket", "cell"])
+    # Equal rows are dealt in blocks, so that no array grows with their number.
+    rows = rows.withColumn("first_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))))
+    last_copy = F.least(F.col("first_copy") + COPIES, F.col("copies")) - 1
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.col("first_copy"), last_copy)))
     rows = rows.withColumn("place", F.col("first") + F.col("before") + F.col("copy")).withColumn("bucket_tokens", F.element_at(bounds, F.col("bucket") + 1))
     capacity = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_tokens")))
     return rows.select(
