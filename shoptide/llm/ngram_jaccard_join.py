@@ -478,10 +478,11 @@ def _linked(docs: DataFrame) -> DataFrame:
     members = members.select("key", "node", F.lit(False).alias("near"), F.lit(True).alias("short"), "size")
     members = written(members, "buckets")
 
-    ids = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("rid").alias("rid"))
+    ids = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("rid", "text_key")).alias("at")).select("node", "at.*")
     wanted = ids.join(members.select("node").distinct(), "node", "left_semi")
     # The wanted rows have no bound, so they are never broadcast, at any size.
-    sets = rows.select("rid", "text").join(written(wanted, "wanted").hint("merge"), "rid").select("node", "text")
+    sets = rows.select("rid", "text_key", "text").join(written(wanted, "wanted").hint("merge"), ["rid", "text_key"])
+    sets = sets.dropDuplicates(["rid", "text_key", "node"]).select("node", "text")  # repeated rows are one set; where they are, without a shuffle
     sets = written(sets.mapInArrow(_with_sketches, "node long, text string, n long, sketch binary"), "sets")
 
     links, round_no = [], 0
@@ -536,13 +537,15 @@ def one_per_component(docs: DataFrame) -> DataFrame:
         F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first"))
     first = written(first.select(F.col("first.doc_id").alias("__id"), F.col("first.text_key").alias("__text")), "first")
     first = first.withColumn("__key", F.xxhash64("__id", "__text"))
-    rows = docs.withColumn("__row_id", F.col("doc_id").cast("long")).withColumn("__row_text", F.xxhash64(F.col("text").cast("string")))
-    words = F.coalesce(F.col("text").cast("string").rlike(WORD_PATTERN), F.lit(False))
-    found = rows.where(words).withColumn("__key", F.xxhash64("__row_id", "__row_text")).join(first, "__key")
-    found = found.where(F.col("__row_id").eqNullSafe(F.col("__id")) & (F.col("__row_text") == F.col("__text")))
+    row = F.col("row")  # the original row as one struct, whatever its columns are named
+    rows = docs.select(F.struct("*").alias("row")).select(
+        "row", row["doc_id"].cast("long").alias("row_id"), F.xxhash64(row["text"].cast("string")).alias("row_text"),
+        F.coalesce(row["text"].cast("string").rlike(WORD_PATTERN), F.lit(False)).alias("words"))
+    found = rows.where("words").withColumn("__key", F.xxhash64("row_id", "row_text")).join(first, "__key")
+    found = found.where(F.col("row_id").eqNullSafe(F.col("__id")) & (F.col("row_text") == F.col("__text")))
     # Repeated rows with one doc_id and text pass the join together; one of them stays.
     found = found.withColumn("__copy", F.row_number().over(Window.partitionBy("__key").orderBy("__key"))).where("__copy = 1")
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.where(~words))
+    return found.select("row").union(rows.where("NOT words").select("row")).select("row.*")
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
