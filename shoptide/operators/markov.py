@@ -10,10 +10,20 @@ the row in order of their first appearance in the history).
 
 Only counts, the last action and first-appearance keys are needed, so the
 running form needs no per-session list.
+
+Repeated addition is not replayed. Between two powers of two the doubles are
+evenly spaced, so each addition moves the sum by the same rounded step; the
+sums of one (base, step) are a few dozen straight pieces up to the point where
+a further addition no longer changes the sum. These pieces are made once from
+the fixed transition rows and looked up by the count, so a session of any
+length costs the same.
 """
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +38,48 @@ def current_state(last_action: Column) -> Column:
     )
 
 
-def _accumulate(base: Column, inc: float, n: Column) -> Column:
-    return F.aggregate(F.array_repeat(F.lit(inc), n.cast("int")), base, lambda a, x: a + x)
+def sum_pieces(base: float, step: float) -> list[tuple[int, float, float]]:
+    """(first count, sum at that count, rounded step) of ``base + step + step + ...``.
+
+    For a count c in a piece the sum is exactly ``sum + (c - first) * rounded step``.
+    A piece ends where the sum passes a power of two or where a tie in rounding
+    makes one step differ (at most once between two powers); the last piece has
+    step 0 or reaches past any 64-bit count.
+    """
+    pieces, count, x = [], 0, base
+    while count < 2**63:
+        moved = (x + step) - x
+        if moved == 0.0:
+            pieces.append((count, x, 0.0))
+            break
+        limit = math.ldexp(1.0, math.frexp(x)[1]) if x > 0.0 else 0.0
+        inside = 0
+        if x + step < limit and (x + step + step >= limit or (x + step + step) - (x + step) == moved):
+            inside = math.ceil((Fraction(limit) - Fraction(x)) / Fraction(moved)) - 1
+        pieces.append((count, x, moved))
+        x, count = x + inside * moved + step, count + inside + 1
+    return pieces
+
+
+def _pieces(base: float, step: float) -> Column:
+    return F.array(*[F.struct(F.lit(c).cast("long").alias("c"), F.lit(x).alias("x"), F.lit(d).alias("d"))
+                     for c, x, d in sum_pieces(base, step)])
+
+
+def _sum_after(pieces: Column, n: Column) -> Column:
+    """The sum after ``n`` additions, from the pieces of its base and step."""
+    n = n.cast("long")
+    piece = F.array_max(F.filter(pieces, lambda p: p["c"] <= n))
+    return piece["x"] + (n - piece["c"]).cast("double") * piece["d"]
+
+
+def _row_pieces(target: str, step: float) -> Column:
+    """Literal map: state whose transition row has ``target`` -> pieces from the row's value."""
+    kv = []
+    for st, row in MARKOV_TRANSITIONS.items():
+        if target in row:
+            kv += [F.lit(st), _pieces(float(row[target]), step)]
+    return F.create_map(*kv) if kv else F.lit(None).cast("map<string,array<struct<c:bigint,x:double,d:double>>>")
 
 
 def _rows_map() -> Column:
@@ -58,7 +108,7 @@ def next_state(state: Column, counts: dict[str, Column], first_keys: dict[str, C
     def boost(s: Column, v: Column) -> Column:
         out = None
         for action, target, inc in MARKOV_BOOSTS:
-            val = _accumulate(v, inc, counts[action])
+            val = _sum_after(F.element_at(_row_pieces(target, inc), state), counts[action])
             out = F.when(s == target, val) if out is None else out.when(s == target, val)
         return out.otherwise(v)
 
@@ -75,7 +125,7 @@ def next_state(state: Column, counts: dict[str, Column], first_keys: dict[str, C
         absent = ~F.exists(base, _is_state(target))
         appended.append(F.when((counts[a] > 0) & absent, F.struct(
             F.lit(1).alias("g"), earlier.alias("r"), F.lit(target).alias("s"),
-            _accumulate(F.lit(0.0), inc, counts[a]).alias("v"))))
+            _sum_after(_pieces(0.0, inc), counts[a]).alias("v"))))
     arr = F.array_sort(F.concat(boosted, F.filter(F.array(*appended), lambda x: x.isNotNull())))
     total = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x["v"])
     ranked = F.transform(arr, lambda x, i: F.struct((x["v"] / total).alias("p"), (-i).alias("neg_i"), x["s"].alias("s")))

@@ -6,7 +6,7 @@ import pytest
 from shoptide.schema import MARKOV_BOOSTS
 from pyspark.sql import functions as F
 
-from shoptide.operators.markov import session_markov
+from shoptide.operators.markov import session_markov, sum_pieces
 from shoptide.schema import MARKOV_ACTION_TO_STATE, MARKOV_TRANSITIONS
 
 
@@ -73,3 +73,37 @@ def test_random_histories_match_restatement(spark):
         "timestamp", F.timestamp_seconds(F.col("sec")).cast("timestamp_ntz"))
     got = {r.session_id: (r.current_state, r.predicted_next_state) for r in session_markov(df).collect()}
     assert got == expect
+
+
+@pytest.mark.parametrize("base", sorted({0.0} | {float(v) for row in MARKOV_TRANSITIONS.values() for v in row.values()}))
+@pytest.mark.parametrize("step", sorted({inc for _, _, inc in MARKOV_BOOSTS} | {0.1, 0.7, 1 / 3}))
+def test_pieces_equal_repeated_addition(base, step):
+    pieces = sum_pieces(base, step)
+    assert len(pieces) < 200 and pieces[0][0] == 0 and all(a[0] < b[0] for a, b in zip(pieces, pieces[1:]))
+    n = 200_000
+    sums = np.cumsum(np.concatenate([[base], np.full(n, step)]))  # one addition after another
+    at = np.searchsorted([c for c, _, _ in pieces], np.arange(n + 1), side="right") - 1
+    first, start, moved = (np.array(v) for v in zip(*pieces))
+    assert np.array_equal(start[at] + (np.arange(n + 1) - first[at]) * moved[at], sums)
+
+
+def test_pieces_with_ties_in_rounding():
+    """Steps whose last bit falls on half a spacing: rounding to even alternates once, then settles."""
+    for step in (1.0 + 2.0**-52, 1.0 + 3 * 2.0**-52, 1.5 + 2.0**-52):
+        for base in (0.0, 1.0, 1.0 + 2.0**-52, 3.0 + 2.0**-51):
+            x, pieces = base, sum_pieces(base, step)
+            for n in range(2_000):
+                c, s, d = max(p for p in pieces if p[0] <= n)
+                assert s + (n - c) * d == x, (step, base, n)
+                x = x + step
+
+
+def test_ten_million_events_of_one_action(spark):
+    """Ten million searches in one session: the counts decide, no array is built."""
+    n = 10_000_000
+    df = spark.range(n).select(
+        F.lit("s").alias("session_id"), F.format_string("e%08d", F.col("id")).alias("event_id"),
+        F.when(F.col("id") == n - 1, "add_to_cart").otherwise("search_query").alias("action"),
+        F.timestamp_seconds(F.col("id")).cast("timestamp_ntz").alias("timestamp"))
+    r = session_markov(df).collect()[0]
+    assert (r.current_state, r.predicted_next_state) == ("CARTING", py_next("CARTING", ["search_query"] * 1000 + ["add_to_cart"]))
