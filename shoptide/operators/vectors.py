@@ -76,14 +76,15 @@ def cosine_topk(
     block_rows: int = 4096,
 ) -> DataFrame:
     """(qid, cid, score, rank): the k corpus vectors most cosine-similar to each
-    query (ties: smaller id first). Block counts come from two row counts."""
+    query (ties: smaller id first). Block counts come from two row counts. Block
+    numbers have one type on both sides: an int and a long hash to different partitions."""
     nq = max(1, math.ceil(queries.count() / block_rows))
     nc = max(1, math.ceil(corpus.count() / block_rows))
     q = queries.select(F.col(id_col).cast("long").alias("qid"), F.col(vec_col).alias("vec"))
     c = corpus.select(F.col(id_col).cast("long").alias("cid"), F.col(vec_col).alias("vec"))
-    q = q.select("*", F.pmod(F.xxhash64("qid"), F.lit(nq)).alias("qb"),
+    q = q.select("*", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int").alias("qb"),
                  F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"))
-    c = c.select("*", F.pmod(F.xxhash64("cid"), F.lit(nc)).alias("cb"),
+    c = c.select("*", F.pmod(F.xxhash64("cid"), F.lit(nc)).cast("int").alias("cb"),
                  F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
     part = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(
         _block_topk(k, exclude_self), schema=TOPK_SCHEMA)
