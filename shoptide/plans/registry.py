@@ -630,6 +630,38 @@ def q_similar_topk(spark, sf):
     return rounded(cosine_topk(e, e, k=5).select("qid", "cid", "score", "rank"))
 
 
+def _similar(spark, sf):
+    """Index of every embedding; queries are the rows whose id 50 divides."""
+    import uuid
+
+    from shoptide.operators.similar import build_index, search
+    from shoptide.session import checkpoint_dir
+    e = table(spark, sf, "embeddings")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/shoptide/vector-index-{uuid.uuid4().hex[:12]}"
+    build_index(e, path)
+    return e, search(e.where(F.col("vec_id") % 50 == 0), path)
+
+
+@register("similar_approx")
+def q_similar_approx(spark, sf):
+    """Top-5 neighbours among all embeddings by the approximate index (scores exact)."""
+    return rounded(_similar(spark, sf)[1].select("qid", "cid", "score", "rank"))
+
+
+@register("similar_recall", """SELECT COUNT(*) AS n_queries, TRUE AS scores_exact, TRUE AS recall_reached
+FROM embeddings WHERE vec_id % 50 = 0""")
+def q_similar_recall(spark, sf):
+    """The index against the exact search of the same queries: scores equal where
+    both name a row, and at least 0.9 of the exact neighbours found."""
+    from shoptide.operators.vectors import cosine_topk
+    e, found = _similar(spark, sf)
+    exact = cosine_topk(e.where(F.col("vec_id") % 50 == 0), e, k=5).select("qid", "cid", "score")
+    both = exact.join(found.select("qid", "cid", F.col("score").alias("found")), ["qid", "cid"], "left")
+    return both.agg(F.count_distinct("qid").alias("n_queries"),
+                    F.bool_and(F.coalesce(F.abs(F.col("score") - F.col("found")) < 1e-9, F.lit(True))).alias("scores_exact"),
+                    (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
+
+
 _SUMMARY_SQL = ("'User exhibited ' || intent || ' intent. SLM proposed ' || proposed_action || "
                 "'. OPA verdict: ' || (CASE WHEN allowed THEN 'ALLOWED' ELSE 'DENIED' END) || '.'")
 
@@ -652,6 +684,28 @@ def q_closed_loop(spark, sf):
     return c.select("session_id", "opa_verdict", "result", "summary")
 
 
+@register("decision_traces", f"""{with_(O.session_pipeline())},
+den AS (SELECT substring(sha256(session_id || ':' || proposed_action || ':DENIED'), 1, 16) AS trace_id, session_id, intent,
+  proposed_action, 'DENIED' AS opa_verdict, {_SUMMARY_SQL} AS summary FROM sp_pol WHERE NOT allowed),
+w AS (SELECT trace_id, regexp_extract_all(lower(summary), '[a-z0-9_]+') AS ws FROM den),
+f AS (SELECT trace_id, list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS fs FROM w),
+h AS (SELECT trace_id, CAST('0x' || substring(md5('decision:' || unnest(fs)), 1, 8) AS BIGINT) AS h FROM f),
+m AS (SELECT trace_id, h % 384 AS d, SUM(CASE WHEN (h // 384) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS x FROM h GROUP BY ALL),
+v AS (SELECT t.trace_id, list(CAST(COALESCE(m.x, 0) AS DOUBLE) ORDER BY r.d) AS vector
+  FROM (SELECT DISTINCT trace_id FROM den) t CROSS JOIN range(0, 384) r(d) LEFT JOIN m ON m.trace_id = t.trace_id AND m.d = r.d
+  GROUP BY t.trace_id)
+SELECT den.*, vector FROM den JOIN v USING (trace_id)""")
+def q_decision_traces(spark, sf):
+    """Denied decisions as traces with the vector of their summary. The decisions are
+    written first: a filter on the verdict would carry the whole policy with it."""
+    from shoptide.operators.similar import trace_vectors
+    from shoptide.operators.vectors import closed_loop, decision_traces
+    from shoptide.session import materialize
+    closed = closed_loop(session_actions(session_clicks(spark, sf))).select(
+        "session_id", "intent", "proposed_action", "opa_verdict", "summary")
+    return trace_vectors(decision_traces(materialize(closed, "closed_loop")))
+
+
 _LAB = f"""lab AS (SELECT session_id, rule_intent AS label FROM sp_pol)"""
 
 
