@@ -1192,4 +1192,4 @@ def q_slm_replies(spark, sf):
     return slm_resolution(r).select("session_id.conv_id", "session_id.turn", "ext_intent", "ext_confidence", "ext_reasoning")
 
 
-from shoptide.plans import stream_queries  # noqa: E402, F401  (registers its queries)
+from shoptide.plans import branch_queries, stream_queries  # noqa: E402, F401  (they register their queries)
