@@ -166,6 +166,9 @@ def stateful_decision_stream(spark: SparkSession, source: str | DataFrame, decis
     key = "spark.sql.streaming.stateStore.providerClass"
     if not spark.conf.get(key, None):  # state off the JVM heap
         spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    changes = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+    if spark.conf.get(changes, "false") != "true":  # a commit writes what the batch changed, not the store's files
+        spark.conf.set(changes, "true")
 
     def sink(rows: DataFrame, batch_id: int) -> None:
         batch = tables.begin(batch_id)

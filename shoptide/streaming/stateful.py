@@ -22,18 +22,20 @@ session at their time: earlier events are decided as before, the state goes, a
 row of kind ``cleared`` says so, and later events start anew; events that come
 after it from before that time are given back as ``ignored``.
 
-Scoring restates the hot path in numpy over a session's events at once (the same
-fixed rules, calibration, actions, the policy with the customer context absent,
-guards and cooldown). The batch job
+Scoring restates the hot path in one pass over a session's events (the same fixed
+rules, calibration, actions, the policy with the customer context absent, guards
+and cooldown). It works on plain values and each row crosses to Python as one
+text, as the time goes into the calls: one per session and batch, of few rows. The batch job
 :func:`shoptide.plans.pipeline.event_decisions` is the reference; the two are
 checked to be equal.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,11 +50,13 @@ PREFIX = ("n long, page_views long, cart_adds long, cart_removes long, checkouts
 TAIL = {"event_id": "string", "us": "long", "action": "string", "category": "string", "value": "double",
         "intent": "string", "confidence": "double", "out_action": "string", "out_reason": "string"}
 STATE_SCHEMA = PREFIX + "".join(f", tail_{name} array<{kind}>" for name, kind in TAIL.items())
-OUTPUT_SCHEMA = (
-    "kind string, session_id string, event_id string, timestamp timestamp_ntz, intent string, confidence double, "
-    "proposed_action string, allowed boolean, dispatched boolean, action string, reason string, n_events long"
+GIVEN = ["kind", "event_id", "us", "action", "category", "value", "arrived"]
+OUTPUT = ["kind", "session_id", "event_id", "us", "intent", "confidence", "proposed_action", "allowed", "dispatched", "action", "reason", "n_events"]
+OUTPUT_ROWS = (
+    "array<struct<kind string, session_id string, event_id string, us long, intent string, confidence double, "
+    "proposed_action string, allowed boolean, dispatched boolean, action string, reason string, n_events long>>"
 )
-COUNTED = ["page_view", "add_to_cart", "remove_from_cart", "checkout_start", "search_query"]
+ROWS_AT_ONCE = 1000
 SUPPRESSED = "SUPPRESSED_WITHIN_15MIN"
 EMPTY = (0, 0, 0, 0, 0, 0, 0.0, None, None, None, 0, [], None, None, None)
 
@@ -68,168 +72,141 @@ except Exception:  # noqa: BLE001
     pass
 
 
-def running(prefix: tuple, tail: pd.DataFrame) -> dict[str, np.ndarray]:
-    """Features after each event of ``tail`` (in time order), carried on from the prefix."""
-    n0, *counts0 = prefix[:6]
-    total0, first0, last_cat0, switches0, cats0 = prefix[6], prefix[7], prefix[9], prefix[10], set(prefix[11] or [])
-    action, us = tail["action"].to_numpy(dtype=object), tail["us"].to_numpy(dtype=np.int64)
-    category = tail["category"].where(tail["category"].notna() & (tail["category"] != ""), "unknown")
-    out = {name: base + np.cumsum(action == name) for name, base in zip(COUNTED, counts0)}
-    out["n"] = n0 + np.arange(1, len(tail) + 1)
-    out["total"] = total0 + np.cumsum(pd.to_numeric(tail["value"]).fillna(0.0).to_numpy(dtype=np.float64))
-    out["cats"] = len(cats0) + np.cumsum((~category.duplicated() & ~category.isin(list(cats0))).to_numpy())
-    previous = category.shift(1)
-    if len(tail):
-        previous.iloc[0] = last_cat0 if last_cat0 is not None else category.iloc[0]
-    out["switches"] = switches0 + np.cumsum((category != previous).to_numpy())
-    out["category"], out["us"] = category.to_numpy(dtype=object), us
-    out["duration"] = (us - (us[0] if first0 is None else first0)) / 1e6 if len(tail) else np.empty(0)
-    return out
-
-
-def scored(f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Intent, confidence, proposed action, policy and guards of each event."""
-    views, adds, removes, checkouts, searches = (f[name].astype(np.float64) for name in COUNTED)
-    total, duration = f["total"], f["duration"]
-    between = np.where(f["n"] > 1, duration / np.maximum(f["n"] - 1, 1), 0.0)
-    explored = np.maximum(0.0, np.minimum(1.0, f["switches"] / np.maximum(views, 1.0)))
+def _scored(pv: int, adds: int, removes: int, checkouts: int, searches: int, cats: int, switches: int, n: int, total: float, duration: float):
+    """Intent, confidence, proposed action, whether it is allowed, the guarded action and the guard's reason."""
+    views = max(pv, 1.0)
+    explored = max(0.0, min(1.0, switches / views))
     score = {
-        "BROWSE": np.where((views > 5) & (adds == 0), 3, 0) + np.where(explored > 0.5, 2, 0),
-        "COMPARE": np.where((f["cats"] > 3) & (adds == 0), 3, 0) + np.where(views > adds * 3, 2, 0),
-        "CART_BUILDER": np.where((adds > removes) & (total > 50), 3, 0) + np.where(adds / np.maximum(views, 1.0) > 0.3, 2, 0),
-        "CHECKOUT_INTENT": np.where(checkouts > 0, 4, 0) + np.where((total > 100) & (explored < 0.3), 2, 0),
-        "PRICE_SENSITIVE": np.where(searches > 3, 3, 0) + np.where(np.where(adds > 0, removes / np.maximum(adds, 1.0), 0.0) > 0.5, 2, 0),
+        "BROWSE": 3 * (pv > 5 and adds == 0) + 2 * (explored > 0.5),
+        "COMPARE": 3 * (cats > 3 and adds == 0) + 2 * (pv > adds * 3),
+        "CART_BUILDER": 3 * (adds > removes and total > 50) + 2 * (adds / views > 0.3),
+        "CHECKOUT_INTENT": 4 * (checkouts > 0) + 2 * (total > 100 and explored < 0.3),
+        "PRICE_SENSITIVE": 3 * (searches > 3) + 2 * (adds > 0 and removes / max(adds, 1.0) > 0.5),
         # the history inputs (repeat customer, days since purchase) are absent in the hot path
-        "CHURN_RISK": np.where((duration > 600) & (adds == 0), 2, 0),
-        "LOYAL_RETURNER": np.where((between < 30) & (total > 100), 2, 0),
+        "CHURN_RISK": 2 * (duration > 600 and adds == 0),
+        "LOYAL_RETURNER": 2 * ((duration / (n - 1) if n > 1 else 0.0) < 30 and total > 100),
     }
-    names = sorted(INTENTS)
-    table = np.vstack([score[i] for i in names])
-    points = table.sum(axis=0)
-    best = table.max(axis=0)
-    last = len(names) - 1 - np.argmax(table[::-1] == best, axis=0)  # of equal scores the greatest name
-    intent = np.where(points > 0, np.array(names, dtype=object)[last], "BROWSE")
-    raw = np.where(points > 0, np.minimum(best / np.maximum(points, 1), 1.0), 0.0)
-    proposed = np.array([ACTION_MAP.get(x, NO_ACTION) for x in intent], dtype=object)
-    allowed = np.isin(proposed, ALWAYS_ALLOWED) | ((proposed == "SEND_ABANDON_EMAIL") & (duration > 300) & (adds > 0) & (checkouts == 0))
-    small_cart = (proposed == "APPLY_DISCOUNT") & (total < 50)
-    no_checkout = (proposed == "SHOW_URGENCY") & (checkouts == 0)
-    return {
-        "intent": intent, "confidence": 1.0 / (1.0 + np.exp(-(CALIBRATION_A * raw + CALIBRATION_B))), "proposed_action": proposed, "allowed": allowed.astype(bool),
-        "guarded": np.where(small_cart | no_checkout, NO_ACTION, proposed),
-        "guard_reason": np.where(small_cart, "MIN_CART_VALUE_NOT_MET", np.where(no_checkout, "NO_CHECKOUT_STARTED", "")),
-    }
-
-
-def dispatched(s: dict[str, np.ndarray], us: np.ndarray, last_us: int | None, last_action: str | None, cooldown_us: int) -> dict[str, np.ndarray]:
-    """Action, reason and whether it was dispatched, by the cooldown chain from the last dispatch on."""
-    capable = np.flatnonzero(s["allowed"] & (s["guarded"] != NO_ACTION))
-    times, fired = us[capable], np.zeros(len(us), bool)
-    i = 0 if last_us is None else int(np.searchsorted(times, last_us + cooldown_us))
-    while i < len(times):  # one step per dispatch
-        fired[capable[i]] = True
-        i = int(np.searchsorted(times, times[i] + cooldown_us))
-    latest = np.maximum.accumulate(np.where(fired, np.arange(len(us)), -1)) if len(us) else np.empty(0, int)
-    own = np.maximum(latest, 0)
-    at = np.where(latest >= 0, us[own], last_us if last_us is not None else -(1 << 62))
-    what = np.where(latest >= 0, s["guarded"][own], last_action)
-    cooling = us - at < cooldown_us
-    same = cooling & (s["proposed_action"] == what)
-    reason = np.where(fired, None, np.where(same, SUPPRESSED, np.where(~s["allowed"], "", np.where(cooling, SUPPRESSED, s["guard_reason"]))))
-    return {"action": np.where(fired, s["guarded"], NO_ACTION), "reason": reason, "dispatched": fired, "last": latest}
-
-
-def _load(state: GroupState) -> tuple[tuple, pd.DataFrame]:
+    points = sum(score.get(i, 0) for i in INTENTS)
+    best, intent = max((score.get(i, 0), i) for i in INTENTS)  # of equal scores the greatest name
+    raw = min(best / points, 1.0) if points else 0.0
+    intent = intent if points else "BROWSE"
+    proposed = ACTION_MAP.get(intent, NO_ACTION)
+    allowed = proposed in ALWAYS_ALLOWED or (proposed == "SEND_ABANDON_EMAIL" and duration > 300 and adds > 0 and checkouts == 0)
+    guarded, why = proposed, ""
+    if proposed == "APPLY_DISCOUNT" and total < 50:
+        guarded, why = NO_ACTION, "MIN_CART_VALUE_NOT_MET"
+    elif proposed == "SHOW_URGENCY" and checkouts == 0:
+        guarded, why = NO_ACTION, "NO_CHECKOUT_STARTED"
+    return intent, 1.0 / (1.0 + math.exp(-(CALIBRATION_A * raw + CALIBRATION_B))), proposed, allowed, guarded, why
+
+
+def _load(state: GroupState) -> tuple[tuple, list[tuple]]:
     if not state.exists:
-        return EMPTY, pd.DataFrame({name: [] for name in TAIL}, dtype=object)
+        return EMPTY, []
     held = tuple(state.get)
-    n = len(EMPTY)
-    return held[:n], pd.DataFrame(dict(zip(TAIL, map(list, held[n:]))), dtype=object)
-
-
-def _stored(prefix: tuple, tail: pd.DataFrame) -> tuple:
-    plain = {"string": lambda x: x, "long": int, "double": float}
-    columns = [[None if x is None or x != x else plain[kind](x) for x in tail[name]] for name, kind in TAIL.items()]
-    return (*[x.item() if isinstance(x, np.generic) else x for x in prefix], *columns)
-
-
-def _rows(rows: list[dict] | pd.DataFrame) -> pd.DataFrame:
-    fields = [c.split() for c in OUTPUT_SCHEMA.split(", ")]
-    out = pd.DataFrame(rows).reindex(columns=[name for name, _ in fields])
-    for name, kind in fields:  # plain objects: pandas' own text columns have no single Arrow array
-        if kind in ("string", "boolean"):
-            out[name] = out[name].astype(object).where(out[name].notna(), None)
-    out["timestamp"] = pd.to_datetime(out["timestamp"])
-    return out
-
-
-def _note(kind: str, session: str, prefix: tuple, tail: pd.DataFrame, us: int | None) -> pd.DataFrame:
-    return _rows([{"kind": kind, "session_id": session, "timestamp": None if us is None else pd.Timestamp(us, unit="us"), "n_events": int(prefix[0]) + len(tail)}])
-
-
-def _decide(session: str, prefix: tuple, tail: pd.DataFrame, new: pd.DataFrame, mark_us: int, cooldown_us: int) -> tuple[tuple, pd.DataFrame, pd.DataFrame]:
-    """(prefix, tail, decisions that are new or have changed) after the new events."""
-    new = new.drop_duplicates("event_id", keep="last").astype(object)
-    if len(tail):
-        given = tail.set_index("event_id")[list(TAIL)[5:]]  # a redelivery replaces an event, not what was given for it
-        new = new.join(given, on="event_id")
-        tail = pd.concat([tail[~tail["event_id"].isin(new["event_id"])], new], ignore_index=True)
-    else:
-        tail = new.reset_index(drop=True)
-    tail = tail.reindex(columns=list(TAIL)).sort_values(["us", "event_id"], kind="mergesort").reset_index(drop=True)
-    f = running(prefix, tail)
-    s = scored(f)
-    d = dispatched(s, f["us"], prefix[12], prefix[13], cooldown_us)
-    same = lambda old, now: (old == now) | (old.isna() & pd.isna(now))
-    given = tail["out_action"].notna()
-    kept = given & same(tail["intent"], pd.Series(s["intent"])) & same(tail["out_action"], pd.Series(d["action"])) & same(
-        tail["out_reason"], pd.Series(d["reason"], dtype=object)) & (tail["confidence"].astype(float) == s["confidence"])
-    out = pd.DataFrame({
-        "kind": np.where(given, "correction", "decision"), "session_id": session, "event_id": tail["event_id"],
-        "timestamp": pd.to_datetime(f["us"], unit="us"), "intent": s["intent"], "confidence": s["confidence"], "proposed_action": s["proposed_action"],
-        "allowed": s["allowed"], "dispatched": d["dispatched"], "action": d["action"], "reason": d["reason"], "n_events": f["n"]})[~kept.to_numpy()]
-    tail = tail.assign(intent=s["intent"], confidence=s["confidence"], out_action=d["action"], out_reason=d["reason"])
-    passed = int(np.searchsorted(f["us"], mark_us))
-    if passed:
-        k, last = passed - 1, int(d["last"][passed - 1])
-        prefix = (f["n"][k], *[f[name][k] for name in COUNTED], f["total"][k], prefix[7] if prefix[7] is not None else f["us"][0], f["us"][k], f["category"][k],
-                  f["switches"][k], sorted({*(prefix[11] or []), *f["category"][:passed]}),
-                  f["us"][last] if last >= 0 else prefix[12], s["guarded"][last] if last >= 0 else prefix[13], prefix[14])
-        tail = tail.iloc[passed:]
-    return prefix, tail, out
-
-
-def _session(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, cooldown_us: int, ttl_ms: int) -> Iterator[pd.DataFrame]:
-    session = key[0]
+    return held[:len(EMPTY)], list(zip(*held[len(EMPTY):]))
+
+
+def _stored(prefix: tuple, tail: list[tuple]) -> tuple:
+    return (*prefix, *([list(column) for column in zip(*tail)] if tail else [[] for _ in TAIL]))
+
+
+def _note(kind: str, session: str, prefix: tuple, tail: list[tuple], us: int | None) -> tuple:
+    return (kind, session, None, us, *[None] * 7, int(prefix[0]) + len(tail))
+
+
+def _in_time(event: tuple) -> tuple:
+    return event[1], event[0] is None, event[0]
+
+
+def _decide(session: str, prefix: tuple, tail: list[tuple], new: list[tuple], mark_us: int, cooldown_us: int) -> tuple[tuple, list[tuple], list[tuple]]:
+    """(prefix, tail, decisions that are new or have changed) after the new events, in one pass over the tail."""
+    arrived = {e[0]: e for e in new}  # the last of repeated ids
+    given = {e[0]: e[5:] for e in tail}  # a redelivery replaces an event, not what was given for it
+    tail = [e for e in tail if e[0] not in arrived] + [(*e, *given.get(e[0], (None,) * 4)) for e in arrived.values()]
+    tail.sort(key=_in_time)
+    n, pv, adds, removes, checkouts, searches, total, first, _, last_cat, switches, cats, last_us, last_action, cleared = prefix
+    held, folded, kept, out = cats or [], 0, [], []
+    cats = set(held)
+    for event_id, us, action, category, value, *old in tail:
+        seen = category or "unknown"
+        n += 1
+        pv += action == "page_view"
+        adds += action == "add_to_cart"
+        removes += action == "remove_from_cart"
+        checkouts += action == "checkout_start"
+        searches += action == "search_query"
+        total += value if value is not None and value == value else 0.0
+        switches += last_cat is not None and seen != last_cat
+        last_cat = seen
+        cats.add(seen)
+        first = us if first is None else first
+        intent, confidence, proposed, allowed, guarded, why = _scored(
+            pv, adds, removes, checkouts, searches, len(cats), switches, n, total, (us - first) / 1e6)
+        cooling = last_us is not None and us - last_us < cooldown_us
+        fired = allowed and guarded != NO_ACTION and not cooling
+        if fired:
+            done, reason, last_us, last_action = guarded, None, us, guarded
+        elif cooling and (proposed == last_action or allowed):
+            done, reason = NO_ACTION, SUPPRESSED
+        else:
+            done, reason = NO_ACTION, why if allowed else ""
+        now = (intent, confidence, done, reason)
+        if old[2] is None or tuple(old) != now:
+            out.append(("decision" if old[2] is None else "correction", session, event_id, us, intent, confidence, proposed, allowed, fired, done, reason, n))
+        if us < mark_us:  # nothing comes before it any more
+            folded += 1
+            prefix = (n, pv, adds, removes, checkouts, searches, total, first, us, last_cat, switches, held, last_us, last_action, cleared)
+        kept.append((event_id, us, action, category, value, *now))
+    if folded:
+        prefix = (*prefix[:11], sorted({*held, *(e[3] or "unknown" for e in tail[:folded])}), *prefix[12:])
+    return prefix, kept[folded:], out
+
+
+def _advance(session: str, given: list[tuple], state: GroupState, cooldown_us: int, ttl_ms: int) -> list[tuple]:
+    """Rows of ``OUTPUT`` after the rows of one session (as ``GIVEN``; none when its time has run out)."""
     prefix, tail = _load(state)
     if state.hasTimedOut:
-        if prefix[0] or len(tail):
-            yield _note("closed", session, prefix, tail, int(tail["us"].max()) if len(tail) else prefix[8])
         state.remove()
-        return
+        if prefix[0] or tail:
+            return [_note("closed", session, prefix, tail, max(e[1] for e in tail) if tail else prefix[8])]
+        return []
     mark_ms = max(0, state.getCurrentWatermarkMs())
-    given = pd.concat(list(pdfs), ignore_index=True)  # a batch's events of one session: bounded by the trigger's input limits
-    given = given.sort_values(["us", "event_id", "arrived"], kind="mergesort")
-    columns = list(TAIL)[:5]
-    events = given[given["kind"] == "event"]
-    for clear_us in sorted({int(x) for x in given.loc[given["kind"] == "clear", "us"]}):
-        before, events = events[events["us"] < clear_us], events[events["us"] >= clear_us]
-        ended, later = tail[tail["us"].astype("int64") < clear_us], tail[tail["us"].astype("int64") >= clear_us][columns]
-        prefix, ended, out = _decide(session, prefix, ended, before[columns], mark_ms * 1000, cooldown_us)
-        yield _rows(out)
-        yield _note("cleared", session, prefix, ended, clear_us)
-        prefix, tail = (*EMPTY[:14], clear_us), tail.iloc[:0]
-        events = pd.concat([later, events[columns]], ignore_index=True) if len(later) else events
-    if prefix[14] is not None and len(events):
-        gone, events = events[events["us"] < prefix[14]], events[events["us"] >= prefix[14]]
-        if len(gone):
-            yield _rows([{"kind": "ignored", "session_id": session, "event_id": e, "timestamp": pd.Timestamp(u, unit="us")} for e, u in zip(gone["event_id"], gone["us"])])
-    if len(events):
-        prefix, tail, out = _decide(session, prefix, tail, events[columns], mark_ms * 1000, cooldown_us)
-        yield _rows(out)
-    last = max([x for x in (prefix[8], prefix[14], int(tail["us"].max()) if len(tail) else None) if x is not None], default=0)
+    ordered = sorted((g for g in given if g[0] == "event"), key=lambda g: (*_in_time(g[1:]), g[6] is None, g[6]))
+    events, out = [g[1:6] for g in ordered], []
+    for clear_us in sorted({int(g[2]) for g in given if g[0] == "clear"}):
+        before, events = [e for e in events if e[1] < clear_us], [e for e in events if e[1] >= clear_us]
+        later = [e[:5] for e in tail if e[1] >= clear_us]
+        prefix, ended, decided = _decide(session, prefix, [e for e in tail if e[1] < clear_us], before, mark_ms * 1000, cooldown_us)
+        out += [*decided, _note("cleared", session, prefix, ended, clear_us)]
+        prefix, tail, events = (*EMPTY[:14], clear_us), [], later + events
+    if prefix[14] is not None:
+        out += [("ignored", session, e[0], e[1], *[None] * 8) for e in events if e[1] < prefix[14]]
+        events = [e for e in events if e[1] >= prefix[14]]
+    if events:
+        prefix, tail, decided = _decide(session, prefix, tail, events, mark_ms * 1000, cooldown_us)
+        out += decided
+    last = max([x for x in (prefix[8], prefix[14], max(e[1] for e in tail) if tail else None) if x is not None], default=0)
     state.update(_stored(prefix, tail))
     state.setTimeoutTimestamp(max(int(last) // 1000 + ttl_ms, mark_ms + 1))
+    return out
+
+
+def _session(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, cooldown_us: int, ttl_ms: int) -> Iterator[pd.DataFrame]:
+    """One session with its rows as columns."""
+    given = [g for pdf in pdfs for g in zip(*[pdf[name].astype(object).where(pdf[name].notna(), None).tolist() for name in GIVEN])]
+    out = _advance(key[0], given, state, cooldown_us, ttl_ms)
+    if out:
+        frame = pd.DataFrame(out, columns=OUTPUT, dtype=object)
+        yield frame.assign(us=pd.to_datetime(frame["us"].astype("Int64"), unit="us")).rename(columns={"us": "timestamp"})
+
+
+def _packed_session(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, cooldown_us: int, ttl_ms: int) -> Iterator[pd.DataFrame]:
+    """One session with each row as one text: a frame costs by its columns, and most sessions have few rows."""
+    given = [tuple(map(json.loads(text).get, GIVEN)) for pdf in pdfs for text in pdf["row"]]  # bounded by the trigger's input limits
+    out = _advance(key[0], given, state, cooldown_us, ttl_ms)
+    for k in range(0, len(out), ROWS_AT_ONCE):
+        yield pd.DataFrame({"rows": [json.dumps([dict(zip(OUTPUT, row)) for row in out[k:k + ROWS_AT_ONCE]])]})
 
 
 def stateful_decisions(events: DataFrame, cooldown_minutes: int = COOLDOWN_MINUTES, ttl_hours: int = SESSION_TTL_HOURS,
@@ -251,6 +228,9 @@ def stateful_decisions(events: DataFrame, cooldown_minutes: int = COOLDOWN_MINUT
         rows = rows.unionByName(controls.select(
             "session_id", F.lit("clear").alias("kind"), none.alias("event_id"), none.alias("action"), none.alias("category"),
             F.lit(None).cast("double").alias("value"), F.lit(0).cast("long").alias("arrived"), time.alias("__ts"), F.unix_micros(time).alias("us")))
+    rows = rows.select("session_id", F.to_json(F.struct(*GIVEN)).alias("row"), "__ts")
     out = rows.withWatermark("__ts", watermark).groupBy("session_id").applyInPandasWithState(
-        lambda key, pdfs, state: _session(key, pdfs, state, cooldown_us, ttl_ms), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+        lambda key, pdfs, state: _packed_session(key, pdfs, state, cooldown_us, ttl_ms), "rows string", STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    out = out.select(F.inline(F.from_json("rows", OUTPUT_ROWS)))
+    out = out.select(*[F.timestamp_micros("us").cast("timestamp_ntz").alias("timestamp") if c == "us" else c for c in OUTPUT])
     return out.withColumn("action_id", F.when(F.col("action").isNotNull(), action_id(F.col("session_id"), F.col("action"), F.col("timestamp"))))

@@ -77,3 +77,17 @@ def test_clear_reopen_and_timeout():
     assert closed[["kind", "n_events"]].values.tolist() == [["closed", 2]] and not state.exists
     state.hasTimedOut = False
     assert send(state, event("again", 90_000))[0][:2] == ("decision", "again")
+
+
+def test_a_short_session_costs_no_frames_of_its_own_work(monkeypatch):
+    """Most sessions have one or two events, so a call may build one frame, its result (was: dozens)."""
+    import json
+
+    made, plain = [], pd.DataFrame.__init__
+    monkeypatch.setattr(pd.DataFrame, "__init__", lambda self, *a, **k: (made.append(1), plain(self, *a, **k))[1])
+    frame = pd.DataFrame({"row": [json.dumps(dict(zip(stateful.GIVEN, ("event", "a", 10, "page_view", None, 60.0, None))))]})
+    made.clear()
+    (out,) = list(stateful._packed_session(("s",), iter([frame]), State(), COOLDOWN, TTL))
+    assert len(made) == 1
+    (row,) = json.loads(out["rows"][0])
+    assert (row["kind"], row["event_id"], row["us"], row["n_events"]) == ("decision", "a", 10, 1)
