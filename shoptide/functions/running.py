@@ -24,7 +24,6 @@ is under the broadcast threshold.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,13 +39,6 @@ def time_chunk(ts: Column | str, seconds: int) -> Column:
     return F.floor(F.unix_micros(col.cast("timestamp")) / F.lit(seconds * 1_000_000))
 
 
-def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Join on keys of which any may be null: a null key meets the null key, so no row is lost."""
-    named = right.select(*[F.col(k).alias(f"_rs_k_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
-    same = [left[k].eqNullSafe(named[f"_rs_k_{i}"]) for i, k in enumerate(keys)]
-    return left.join(named, reduce(Column.__and__, same), how).drop(*[f"_rs_k_{i}" for i in range(len(keys))])
-
-
 def running_scan(
     df: DataFrame,
     by: Sequence[str],
@@ -83,8 +75,12 @@ def running_scan(
         if kind not in _KINDS:
             raise ValueError(f"unsupported running kind {kind!r} for {name}")
     keys = [*by, chunk]
+    # The keys as one struct, which is never null: null keys meet each other in a plain equi-join, and the exchange of the
+    # rows serves the windows, the summary and the join (a null-safe join on the keys themselves would shuffle the rows anew).
+    key = F.struct(*[F.col(k) for k in keys]).alias("_rs_k")
+    held_keys = [F.col(f"_rs_k.`{k}`").alias(k) for k in keys]
     order_cols = [c if isinstance(c, Column) else F.col(c) for c in order]
-    w_local = Window.partitionBy(*keys).orderBy(*order_cols)
+    w_local = Window.partitionBy("_rs_k").orderBy(*order_cols)
     w_run = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     agg_fn = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -94,7 +90,7 @@ def running_scan(
     inputs.update({f"_rs_v_{n}": e for n, e in prev.items()})
     inputs.update({f"_rs_y_{n}": e for n, (e, _) in pairsums.items()})
     inputs.update({f"_rs_d_{n}": e for n, e in distincts.items()})
-    base = df.select("*", *[e.alias(n) for n, e in inputs.items()]).repartition(*keys)
+    base = df.select("*", *[e.alias(n) for n, e in inputs.items()], key).repartition("_rs_k")
 
     win = []
     for name, (kind, _) in aggs.items():
@@ -106,7 +102,7 @@ def running_scan(
     win.append((F.row_number().over(w_local) == 1).alias("_rs_first"))
     for name in distincts:
         # first row of this value within the chunk (same partitioning: no new exchange)
-        w_val = Window.partitionBy(*keys, f"_rs_d_{name}").orderBy(*order_cols)
+        w_val = Window.partitionBy("_rs_k", f"_rs_d_{name}").orderBy(*order_cols)
         win.append((F.col(f"_rs_d_{name}").isNotNull() & (F.row_number().over(w_val) == 1)).alias(f"_rs_f_{name}"))
     local = base.select("*", *win)
     for name, (_, fn) in pairsums.items():
@@ -126,7 +122,7 @@ def running_scan(
             F.sum(f"_rs_term_{n}").alias(f"_rs_ty_{n}"),
         ]
     summary_aggs += [F.collect_set(f"_rs_d_{n}").alias(f"_rs_set_{n}") for n in distincts]
-    summary = local.groupBy(*keys).agg(*summary_aggs)
+    summary = local.groupBy("_rs_k").agg(*summary_aggs).select("*", *held_keys)
     # One row per chunk; with no key (a global order) this window holds only the
     # chunk summaries, bounded by the time span over the chunk width.
     w_chunks = (Window.partitionBy(*by) if by else Window).orderBy(chunk)
@@ -141,10 +137,10 @@ def running_scan(
         held = summary.select(*keys, F.explode(f"_rs_set_{n}").alias("_rs_value"))
         firsts = held.groupBy(*by, "_rs_value").agg(F.min(chunk).alias(chunk), F.count_if(F.col(chunk).isNull()).alias("_rs_none"))
         firsts = firsts.withColumn(chunk, F.when(F.col("_rs_none") > 0, F.lit(None)).otherwise(F.col(chunk)))
-        news = firsts.groupBy(*keys).agg(F.collect_set("_rs_value").alias(f"_rs_new_{n}"))
-        summary = _join_keys(summary, news, keys, "left")
+        news = firsts.groupBy(key).agg(F.collect_set("_rs_value").alias(f"_rs_new_{n}"))
+        summary = summary.join(news, "_rs_k", "left")
         carry_cols += [F.col(f"_rs_new_{n}"), F.coalesce(F.sum(F.size(F.coalesce(f"_rs_new_{n}", F.array()))).over(w_before), F.lit(0)).alias(f"_rs_seen_{n}")]
-    carry = summary.select(*keys, *carry_cols, *[f"_rs_ty_{n}" for n in pairsums])
+    carry = summary.select("_rs_k", *keys, *carry_cols, *[f"_rs_ty_{n}" for n in pairsums])
     if pairsums:
         carry = carry.select(
             "*",
@@ -152,7 +148,7 @@ def running_scan(
               for n in pairsums],
         )
 
-    out = _join_keys(local, carry, keys, "inner")
+    out = local.join(carry.drop(*keys), "_rs_k")
     if distincts:
         new = {n: (F.col(f"_rs_f_{n}") & F.coalesce(F.array_contains(f"_rs_new_{n}", F.col(f"_rs_d_{n}")), F.lit(False)))
                for n in distincts}

@@ -101,3 +101,19 @@ def test_hot_customer_sessionize(spark):
     df = spark.createDataFrame(rows, "event_id string, customer_id string, timestamp timestamp_ntz")
     got = {r.event_id: r.session_id for r in sessionize(df, gap_minutes=60).where("customer_id = 'hot'").collect()}
     assert got == expect
+
+
+def test_the_rows_are_shuffled_once(spark):
+    """Windows, summary and join share one exchange of the rows by one key that is never null (was: the join shuffled them again)."""
+    df = spark.createDataFrame([("a", 1, 1, "x"), (None, 1, 2, "y"), (None, None, 3, "y")], "k string, c long, t long, v string")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = running_scan(df, by=["k"], chunk="c", order=["t"], aggs={"n": ("sum", F.lit(1))}, distincts={"d": F.col("v")})
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sum("isnull(" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line) == 0
+        assert {(r["k"], r["t"], r["n"], r["d"]) for r in out.collect()} == {("a", 1, 1, 1), (None, 3, 1, 1), (None, 2, 2, 1)}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
