@@ -69,6 +69,21 @@ def picked(docs: DataFrame, **types: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])
 
 
+def give_back() -> None:
+    """Returns a Python worker's freed memory to the machine: idle workers else keep it while later stages need theirs."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def fold(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 4; rows whose fold is 2 are held out of all training (a null id: fold 0)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4, F.lit(0))

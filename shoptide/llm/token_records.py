@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, picked, table, written
+from .common import give_back, new_folder, picked, table, written
 from .textbatch import TextBatch, as_large, chunks
 
 END_ID = 0
@@ -234,6 +234,9 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
 
 def _read(folder: str):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _ENCODERS:  # of the shards this worker wrote: no longer needed
+            _ENCODERS.clear()
+            give_back()
         store, root = fs.FileSystem.from_uri(folder)
         for part in parts:
             for row in part.to_pylist():

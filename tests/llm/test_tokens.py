@@ -142,3 +142,10 @@ def test_merge_dropout_over_odd_rows(docs, odd_rows):
     assert len(out) == len(odd_rows) and all(r["lossless"] for r in out)
     assert all((r["n_pieces"] == 0) == (r["doc_id"] in (1, 2, 10) or (r["doc_id"] is None and r["n_pieces"] == 0)) for r in out)
     assert merge_dropout.encoded(docs([]), merge_dropout.default_model()).count() == 0
+
+
+def test_a_worker_that_reads_shards_holds_no_encoder(tmp_path):
+    """Reading needs no tokenizer; the tables of the writing stage would stay in every worker's memory."""
+    token_records._ENCODERS["held"] = object()
+    assert list(token_records._read(f"file://{tmp_path}")(iter([]))) == []
+    assert not token_records._ENCODERS
