@@ -1,7 +1,8 @@
 """The per-event decision loop as a stateful operator that repairs itself.
 
-``applyInPandasWithState`` keyed by session_id, one state row per session. The
-state of a session is
+``applyInPandasWithState`` keyed by one of ``GROUPS`` hashes of session_id: most
+sessions have few rows, so a call takes the sessions of a group and its state row
+holds those that are open, each by itself. The state of a session is
 
 * ``prefix``: counters, value sum and maximum, times, categories seen and the last
   dispatch over the events older than the watermark, which nothing can come
@@ -16,8 +17,9 @@ the prefix. So the state of a session is a fixed number of scalars, its
 categories (bounded by their vocabulary) and the events of the last
 ``watermark``, and a batch's work on it is as long as those and the batch's own.
 
-An event-time timeout closes a session that has had no event for the TTL: it gives
-a row of kind ``closed`` and the state goes. Control rows (kind ``clear``) end a
+An event-time timeout closes a session that has had no event for the TTL (a group
+wakes for the first of its sessions): it gives a row of kind ``closed`` and the
+state goes. Control rows (kind ``clear``) end a
 session at their time: earlier events are decided as before, the state goes, a
 row of kind ``cleared`` says so, and later events start anew; events that come
 after it from before that time are given back as ``ignored``.
@@ -25,7 +27,8 @@ after it from before that time are given back as ``ignored``.
 Scoring restates the hot path in one pass over a session's events (the same fixed
 rules, calibration, actions, the policy with the customer context absent, guards
 and cooldown). It works on plain values and each row crosses to Python as one
-text, as the time goes into the calls: one per session and batch, of few rows. The batch job
+text. ``groups=None`` keeps a state row and a call for every session instead, which
+costs milliseconds for each and batch. The batch job
 :func:`shoptide.plans.pipeline.event_decisions` is the reference; the two are
 checked to be equal.
 """
@@ -57,6 +60,9 @@ OUTPUT_ROWS = (
     "proposed_action string, allowed boolean, dispatched boolean, action string, reason string, n_events long>>"
 )
 ROWS_AT_ONCE = 1000
+#: State rows: a group's sessions are held at once, so the number is a multiple of any cluster's cores; it is fixed for a checkpoint.
+GROUPS = 4096
+GROUP_STATE = "sessions string"  # JSON of (session_id, its state, its timeout)
 SUPPRESSED = "SUPPRESSED_WITHIN_15MIN"
 EMPTY = (0, 0, 0, 0, 0, 0, 0.0, None, None, None, 0, [], None, None, None)
 
@@ -201,20 +207,73 @@ def _session(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, cooldo
         yield frame.assign(us=pd.to_datetime(frame["us"].astype("Int64"), unit="us")).rename(columns={"us": "timestamp"})
 
 
+def _packed(out: list[tuple]) -> Iterator[pd.DataFrame]:
+    for k in range(0, len(out), ROWS_AT_ONCE):
+        yield pd.DataFrame({"rows": [json.dumps([dict(zip(OUTPUT, row)) for row in out[k:k + ROWS_AT_ONCE]])]})
+
+
 def _packed_session(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, cooldown_us: int, ttl_ms: int) -> Iterator[pd.DataFrame]:
     """One session with each row as one text: a frame costs by its columns, and most sessions have few rows."""
     given = [tuple(map(json.loads(text).get, GIVEN)) for pdf in pdfs for text in pdf["row"]]  # bounded by the trigger's input limits
-    out = _advance(key[0], given, state, cooldown_us, ttl_ms)
-    for k in range(0, len(out), ROWS_AT_ONCE):
-        yield pd.DataFrame({"rows": [json.dumps([dict(zip(OUTPUT, row)) for row in out[k:k + ROWS_AT_ONCE]])]})
+    yield from _packed(_advance(key[0], given, state, cooldown_us, ttl_ms))
+
+
+class _Held:
+    """One session's part of its group's state, with what :func:`_advance` uses of a ``GroupState``."""
+
+    def __init__(self, mark_ms: int, value: list | None = None, timeout_ms: int | None = None):
+        self.mark_ms, self.get, self.timeout_ms = mark_ms, value, timeout_ms
+        self.hasTimedOut = False
+
+    @property
+    def exists(self) -> bool:
+        return self.get is not None
+
+    def update(self, value: tuple) -> None:
+        self.get = value
+
+    def remove(self) -> None:
+        self.get = None
+
+    def getCurrentWatermarkMs(self) -> int:
+        return self.mark_ms
+
+    def setTimeoutTimestamp(self, at_ms: int) -> None:
+        self.timeout_ms = at_ms
+
+
+def _packed_group(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, cooldown_us: int, ttl_ms: int) -> Iterator[pd.DataFrame]:
+    """The sessions of one group: those with rows advance, those whose time has run out without any are closed."""
+    mark_ms = state.getCurrentWatermarkMs()
+    held = {session: _Held(mark_ms, value, at) for session, value, at in json.loads(state.get[0])} if state.exists else {}
+    given: dict[str | None, list[tuple]] = {}
+    for pdf in pdfs:
+        for text in pdf["row"]:
+            row = json.loads(text)
+            given.setdefault(row.get("session_id"), []).append(tuple(map(row.get, GIVEN)))
+    out = []
+    for session, one in held.items():
+        one.hasTimedOut = session not in given and one.timeout_ms < mark_ms
+        if one.hasTimedOut:
+            out += _advance(session, [], one, cooldown_us, ttl_ms)
+    for session, rows in given.items():
+        out += _advance(session, rows, held.setdefault(session, _Held(mark_ms)), cooldown_us, ttl_ms)
+    left = [(session, one.get, one.timeout_ms) for session, one in held.items() if one.exists]
+    if left:
+        state.update((json.dumps(left),))
+        state.setTimeoutTimestamp(min(at for _, _, at in left))
+    elif state.exists:
+        state.remove()
+    yield from _packed(out)
 
 
 def stateful_decisions(events: DataFrame, cooldown_minutes: int = COOLDOWN_MINUTES, ttl_hours: int = SESSION_TTL_HOURS,
-                       watermark: str = "24 hours", controls: DataFrame | None = None) -> DataFrame:
+                       watermark: str = "24 hours", controls: DataFrame | None = None, groups: int | None = GROUPS) -> DataFrame:
     """Streaming click events -> decisions, corrections and the ends of sessions (column ``kind``).
 
     ``events`` may have a column ``arrived`` that orders deliveries of one event;
-    ``controls`` is a stream of (session_id, timestamp) at which sessions are cleared.
+    ``controls`` is a stream of (session_id, timestamp) at which sessions are cleared;
+    ``groups`` is the number of state rows that sessions are dealt to (None: a row each).
     """
     from shoptide.operators.dispatch import action_id
 
@@ -228,9 +287,12 @@ def stateful_decisions(events: DataFrame, cooldown_minutes: int = COOLDOWN_MINUT
         rows = rows.unionByName(controls.select(
             "session_id", F.lit("clear").alias("kind"), none.alias("event_id"), none.alias("action"), none.alias("category"),
             F.lit(None).cast("double").alias("value"), F.lit(0).cast("long").alias("arrived"), time.alias("__ts"), F.unix_micros(time).alias("us")))
-    rows = rows.select("session_id", F.to_json(F.struct(*GIVEN)).alias("row"), "__ts")
-    out = rows.withWatermark("__ts", watermark).groupBy("session_id").applyInPandasWithState(
-        lambda key, pdfs, state: _packed_session(key, pdfs, state, cooldown_us, ttl_ms), "rows string", STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    by = "session_id" if groups is None else "group"
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("session_id"), F.lit(groups or 1)).cast("int"))
+    rows = rows.select(by, F.to_json(F.struct("session_id", *GIVEN)).alias("row"), "__ts")
+    advance, state_schema = (_packed_session, STATE_SCHEMA) if groups is None else (_packed_group, GROUP_STATE)
+    out = rows.withWatermark("__ts", watermark).groupBy(by).applyInPandasWithState(
+        lambda key, pdfs, state: advance(key, pdfs, state, cooldown_us, ttl_ms), "rows string", state_schema, "append", GroupStateTimeout.EventTimeTimeout)
     out = out.select(F.inline(F.from_json("rows", OUTPUT_ROWS)))
     out = out.select(*[F.timestamp_micros("us").cast("timestamp_ntz").alias("timestamp") if c == "us" else c for c in OUTPUT])
     return out.withColumn("action_id", F.when(F.col("action").isNotNull(), action_id(F.col("session_id"), F.col("action"), F.col("timestamp"))))

@@ -91,3 +91,56 @@ def test_a_short_session_costs_no_frames_of_its_own_work(monkeypatch):
     assert len(made) == 1
     (row,) = json.loads(out["rows"][0])
     assert (row["kind"], row["event_id"], row["us"], row["n_events"]) == ("decision", "a", 10, 1)
+
+
+def test_one_call_takes_all_sessions_of_a_group_and_gives_what_each_gives_alone():
+    """A call costs milliseconds, so a session must not need one of its own in each batch (was: a call and a state row a session)."""
+    import json
+
+    def texts(rows):
+        return pd.DataFrame({"row": [json.dumps({"session_id": s, **dict(zip(stateful.GIVEN, (kind, i, int(t * 1e6), a, c, v, 0)))})
+                                     for s, (kind, i, a, c, v, t) in rows]})
+
+    def call(fn, key, state, rows):
+        return [row for frame in fn(key, iter([texts(rows)]), state, COOLDOWN, TTL) for text in frame["rows"] for row in json.loads(text)]
+
+    sessions = ["a", "b", None, "d"]
+    batches = [[(s, event(f"{s}{i}", 100 * i + k, ["page_view", "add_to_cart", "checkout_start"][i % 3])) for i in range(6) for k, s in enumerate(sessions)],
+               [("a", event("a1x", 150)), ("b", ("clear", None, None, None, None, 300)), ("d", event("d2", 203, "add_to_cart", 99.0))],
+               [("a", event("later", 86_400 + 700)), ("b", event("anew", 86_400 + 700))], []]
+    marks, group, alone = [0, 400_000, 500_000, 86_400_000 + 600_000], State(), {s: State() for s in sessions}
+    closed = 0
+    for mark, rows in zip(marks, batches):
+        want = []
+        for s, state in alone.items():
+            state.mark_ms, mine = mark, [r for r in rows if r[0] == s]
+            state.hasTimedOut = not mine and state.exists and state.timeout < mark
+            if mine or state.hasTimedOut:
+                want += call(stateful._packed_session, (s,), state, mine)
+        group.mark_ms, group.hasTimedOut = mark, not rows
+        got = call(stateful._packed_group, (7,), group, rows)
+        order = lambda r: json.dumps(r, sort_keys=True)
+        assert sorted(got, key=order) == sorted(want, key=order)
+        closed += sum(r["kind"] == "closed" for r in got)
+        live = {s: state for s, state in alone.items() if state.exists}
+        assert {s: value for s, value, _ in json.loads(group.value[0])} == {s: json.loads(json.dumps(state.value)) for s, state in live.items()}
+        assert group.timeout == min(state.timeout for state in live.values())
+    assert closed == 2 and set(live) == {"a", "b"}
+
+
+def test_the_stream_keeps_fewer_state_rows_than_sessions(spark, tmp_path):
+    from shoptide.streaming.stateful import stateful_decisions
+
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = spark.sql("SELECT concat('s', id) AS session_id, concat('e', id) AS event_id, timestamp_ntz'2024-01-01 00:00:00' AS timestamp, "
+                     "'page_view' AS action, 'c' AS category, 1.0D AS value FROM range(200)")
+    rows.write.parquet(f"{tmp_path}/in")
+    events = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    kept = []
+    for groups in (None, 8):
+        out = f"{tmp_path}/out-{groups}"
+        query = (stateful_decisions(events, groups=groups).writeStream.format("parquet").option("path", out)
+                 .option("checkpointLocation", f"{out}-ck").trigger(availableNow=True).start())
+        query.awaitTermination()
+        kept.append((spark.read.parquet(out).where("kind = 'decision'").count(), query.recentProgress[0]["stateOperators"][0]["numRowsTotal"]))
+    assert kept == [(200, 200), (200, 8)]
