@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, picked, table
+from .common import fold, give_back, picked, table
 from .textbatch import TextBatch, as_large, chunks
 
 BITS = 17
@@ -157,17 +157,26 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     return texts.join(F.broadcast(chosen), "doc_id").select("key", "label", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
-    """The scoring numbers of a model trained on a bounded sample."""
+def _training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(slots, shares, label) of the bounded sample, in the order of its keys."""
     sample = training_sample(docs, labels, label, rows)
     found = sample.mapInArrow(_extract, "key long, label int, slots array<int>, shares array<float>").limit(2 * rows).toArrow().sort_by("key")
     y = found.column("label").to_pylist()
+    slots, shares = found.column("slots"), found.column("shares")
+    return [(np.asarray(slots[i].values), np.asarray(shares[i].values), y[i]) for i in range(len(y))]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
+    """The scoring numbers of a model trained on a bounded sample."""
+    data = _training_rows(docs, labels, label, rows)
+    y = [r[2] for r in data]
     if len(set(y)) < 2:
         share = min(max(float(np.mean(y)) if y else 0.5, 1e-6), 1 - 1e-6)
         return np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share)))
-    slots, shares = found.column("slots"), found.column("shares")
-    data = [(np.asarray(slots[i].values), np.asarray(shares[i].values), y[i]) for i in range(len(y))]
-    return products(*train(data))
+    model = products(*train(data))
+    del data
+    give_back()  # the driver goes on beside its JVM for all later stages
+    return model
 
 
 def scorer(weight: np.ndarray, bias: float) -> Callable:

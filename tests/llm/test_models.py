@@ -114,3 +114,14 @@ def test_products_score_as_the_network_does():
         logit = (vectors[slots] * share[:, None]).sum(axis=0) @ out + bias
         p = np.exp(logit - logit.max())
         assert abs(got[i] - p[1] / p.sum()) < 1e-3
+
+
+def test_training_leaves_nothing_in_the_driver(spark, monkeypatch):
+    """The driver works on beside its JVM after training (was: the sample's memory stayed with it)."""
+    held, left = pa.total_allocated_bytes(), []
+    give_back = quality_classifier.give_back
+    monkeypatch.setattr(quality_classifier, "give_back", lambda: (give_back(), left.append(pa.total_allocated_bytes() - held)))
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "bad line there") for i in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality")
+    quality_classifier.fit(docs, labels, "quality")
+    assert left and left[0] <= 0
