@@ -37,6 +37,7 @@ SAMPLE_ROWS = 8192
 MAX_CELLS = 256
 NO_CELL = -1
 BLOCK_ROWS = 4096
+QUERY_ROWS = 512  # similarities are worked out so many queries at a time: 16 MB beside a block of rows
 VECTOR_DIM = 384
 VECTOR_SEED = "decision"
 
@@ -213,9 +214,11 @@ def _best(k: int, exclude_self: bool):
         if len(q) and len(c):
             c = c.sort_values("id")
             cid = c["id"].to_numpy()
-            s = np.round(_unit(np.stack(q["vec"].to_numpy())) @ _unit(np.stack(c["vec"].to_numpy())).T, 12)
-            for i, qid in enumerate(q["id"].to_numpy()):
-                row = s[i]
+            ids, unit_q, unit_c = q["id"].to_numpy(), _unit(np.stack(q["vec"].to_numpy())), _unit(np.stack(c["vec"].to_numpy()))
+            for i, qid in enumerate(ids):
+                if i % QUERY_ROWS == 0:
+                    s = np.round(unit_q[i:i + QUERY_ROWS] @ unit_c.T, 12)
+                row = s[i % QUERY_ROWS]
                 if exclude_self:
                     row[cid == qid] = -np.inf
                 kth = np.partition(row, -min(k, len(row)))[-min(k, len(row))]

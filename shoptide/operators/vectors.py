@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+QUERY_ROWS = 512  # a block's similarities are worked out so many queries at a time: 16 MB beside 4,096 corpus rows
 TOPK_SCHEMA = "qid long, cid long, score double"
 
 # Ship this module's functions by value to the Python workers, so they do not
@@ -41,23 +42,26 @@ def _block_topk(k: int, exclude_self: bool):
         c = np.vstack(cpdf["vec"].to_numpy()).astype(np.float64)
         qn = np.linalg.norm(q, axis=1)
         cn = np.linalg.norm(c, axis=1)
-        s = (q @ c.T) / np.outer(qn, cn)
-        qid = qpdf["qid"].to_numpy()
+        all_qid = qpdf["qid"].to_numpy()
         cid = cpdf["cid"].to_numpy()
-        if exclude_self:
-            s[qid[:, None] == cid[None, :]] = -np.inf
-        kk = min(k, s.shape[1])
+        kk = min(k, len(c))
         out_q, out_c, out_s = [], [], []
-        if kk > 0:
-            thr = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
-            for i in range(s.shape[0]):
-                idx = np.nonzero(s[i] >= thr[i])[0]
-                idx = idx[np.isfinite(s[i, idx])]
-                order = np.lexsort((cid[idx], -s[i, idx]))[:kk]
-                sel = idx[order]
-                out_q.append(np.full(len(sel), qid[i]))
-                out_c.append(cid[sel])
-                out_s.append(s[i, sel])
+        for lo in range(0, len(q), QUERY_ROWS):
+            qid = all_qid[lo:lo + QUERY_ROWS]
+            s = q[lo:lo + QUERY_ROWS] @ c.T
+            s /= np.outer(qn[lo:lo + QUERY_ROWS], cn)
+            if exclude_self:
+                s[qid[:, None] == cid[None, :]] = -np.inf
+            if kk > 0:
+                thr = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
+                for i in range(s.shape[0]):
+                    idx = np.nonzero(s[i] >= thr[i])[0]
+                    idx = idx[np.isfinite(s[i, idx])]
+                    order = np.lexsort((cid[idx], -s[i, idx]))[:kk]
+                    sel = idx[order]
+                    out_q.append(np.full(len(sel), qid[i]))
+                    out_c.append(cid[sel])
+                    out_s.append(s[i, sel])
         if not out_q:
             return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "cid": pd.Series([], dtype="int64"),
                                  "score": pd.Series([], dtype="float64")})

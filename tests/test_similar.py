@@ -151,3 +151,21 @@ def test_traces_are_searched_by_their_vectors(spark, folder):
     build_index(df, folder, "trace_id", "vector", cells=1)
     near = {r.rank: (r.cid, r.score) for r in search(df.where("trace_id = 't1'"), folder, 3, "trace_id", "vector").collect()}
     assert near[1] == ("t2", 1.0) and near[2][0] == "t3" and near[3][0] == "t4"
+
+
+def test_a_full_block_is_compared_in_bounded_memory():
+    """Two blocks of 4,096 rows: their whole matrix (128 MB, and copies of it) is never held."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from shoptide.operators import similar, vectors
+
+    v = np.random.default_rng(1).normal(size=(8192, 8))
+    rows = lambda lo, name: pd.DataFrame({name: np.arange(lo, lo + 4096), "vec": list(v[lo:lo + 4096])})
+    for fn, q, c in ((vectors._block_topk(5, True), rows(0, "qid"), rows(4096, "cid")), (similar._best(5, True), rows(0, "id"), rows(4096, "id"))):
+        tracemalloc.start()
+        out = fn(q, c)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(out) == 5 * 4096 and peak < 100 << 20
