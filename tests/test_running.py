@@ -2,10 +2,13 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shoptide.functions.running import running_scan
+from shoptide.session import materialize
 
 
 def test_scan_equals_window(spark):
@@ -117,3 +120,40 @@ def test_the_rows_are_shuffled_once(spark):
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("hot_rows", [0, 60, 1000])
+def test_large_and_small_keys_scan_alike(spark, hot_rows):
+    """Keys of one chunk, keys cut into chunks and both together give what a plain window gives."""
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["a", "b", "c", "d", None]) if i % 3 else "a", rnd.randint(0, 4000) if i % 20 else None, f"e{i:04d}",
+             rnd.choice(["x", "y", "z", None]), rnd.randint(0, 50) if i % 4 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, t long, eid string, cat string, v long").withColumn("chunk", F.floor(F.col("t") / 250))
+    step = lambda cur, prev: F.when(cur - prev >= 3, 1).otherwise(0)
+    differs = lambda cur, prev: F.when(cur != prev, 1).otherwise(0)
+    got = running_scan(df, ["key"], "chunk", ["t", "eid"], aggs={"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}, prev={"p": F.col("cat")},
+                       pairsums={"sw": (F.col("cat"), differs)}, distincts={"d": F.col("cat")}, gapsums={"g": (F.col("v"), step)}, hot_rows=hot_rows)
+    expected = {}
+    for key in {r[0] for r in rows}:
+        total, top, before, switches, seen, held, gaps = None, None, None, 0, set(), None, 0
+        for i, (_, _, eid, cat, v) in enumerate(sorted([r for r in rows if r[0] == key], key=lambda r: (r[1] is not None, r[1] or 0, r[2]))):
+            if v is not None:
+                total, top = (total or 0) + v, v if top is None else max(top, v)
+                gaps += held is not None and v - held >= 3
+                held = v
+            switches += i > 0 and cat is not None and before is not None and cat != before
+            seen |= {cat} - {None}
+            expected[eid] = (total, top, before, switches, len(seen), gaps)
+            before = cat
+    assert {r["eid"]: (r["s"], r["m"], r["p"], r["sw"], r["d"], r["g"]) for r in got.collect()} == expected
+
+
+def test_rows_without_a_large_key_are_shuffled_once(spark):
+    """Each row is shuffled once, whatever columns it has; the count before it shuffles keys alone."""
+    df = spark.range(0, 4000).select((F.col("id") % 500).cast("string").alias("key"), F.col("id").alias("t"), F.floor(F.col("id") / 300).alias("chunk"))
+    differs = lambda cur, prev: F.when(cur != prev, 1).otherwise(0)
+    got = running_scan(materialize(df, "scan-input"), ["key"], "chunk", ["t"], aggs={"n": ("sum", F.lit(1))}, pairsums={"sw": (F.col("t"), differs)},
+                       distincts={"d": F.col("key")})
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("REPARTITION_BY_COL") == 1 and "Join" not in plan
