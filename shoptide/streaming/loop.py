@@ -119,7 +119,7 @@ def _decide(batch, fresh: DataFrame, first_date, retention_hours: int, cooldown_
     back = F.date_sub(F.lit(first_date), 1 + retention_hours // 24)
     replaced = batch.read("events").where(F.col("event_date") >= back).join(fresh.select("event_id"), "event_id", "left_semi")
     touched = materialize(fresh.select("session_id").union(replaced.select("session_id")).distinct(), "touched")
-    batch.merge("events", fresh, "event_id", since=F.col("event_date") >= back)
+    batch.merge("events", fresh, "event_id", since=F.col("event_date") >= back, written=True)
     after("events")
 
     seen = batch.read("sessions").where(F.col("seen_date") >= back).join(touched, "session_id", "left_semi")
@@ -132,7 +132,8 @@ def _decide(batch, fresh: DataFrame, first_date, retention_hours: int, cooldown_
 
     start = F.lit(spans.agg(F.to_date(F.min("first_ts"))).first()[0])
     history = batch.read("events").where(F.col("event_date") >= start).join(touched, "session_id", "left_semi")
-    decided = event_decisions(history.drop("event_date", "arrived_batch", "arrived_seq"), cooldown_minutes=cooldown_minutes)
+    history = materialize(history.drop("event_date", "arrived_batch", "arrived_seq"), "history")  # a scan reads it more than once
+    decided = event_decisions(history, cooldown_minutes=cooldown_minutes)
     names = TABLES["decisions"].struct().names
     decided = materialize(decided.withColumn("event_date", F.to_date("timestamp")).select(*names), "decided")
     held = batch.read("decisions").where(F.col("event_date") >= start)
@@ -144,7 +145,7 @@ def _decide(batch, fresh: DataFrame, first_date, retention_hours: int, cooldown_
     after("corrections")
 
     # The keys are the touched sessions: one whose events have all moved elsewhere loses its rows.
-    batch.merge("decisions", decided, "session_id", since=F.col("event_date") >= start, keys=touched)
+    batch.merge("decisions", decided, "session_id", since=F.col("event_date") >= start, keys=touched, written=True)
     after("decisions")
     rows = upsert(ledger_rows(decided)).withColumn("ledger_date", F.to_date("created_at"))
     batch.merge("ledger", rows, "session_id", _still_acknowledged, since=F.col("ledger_date") >= start, keys=touched)

@@ -113,17 +113,18 @@ class Batch:
             self.live[name, f"{part}@{self.id}"] = f"{folder}/{part}".rstrip("/")
 
     def merge(self, name: str, rows: DataFrame, key: str, resolve: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
-              since: Column | None = None, keys: DataFrame | None = None) -> None:
+              since: Column | None = None, keys: DataFrame | None = None, written: bool = False) -> None:
         """Replaces the touched partitions with their live rows without the keys of ``rows``, and ``rows``.
 
         ``keys`` (a column ``key``) names more keys whose live rows go, ``since``
         bounds, by partition columns, where live rows with such keys may lie.
         ``resolve(live rows, rows)`` gives the rows that are put in, where they
-        depend on what was there.
+        depend on what was there. ``written``: ``rows`` read a table that the
+        caller has written, so they need no copy.
         """
         table = self.tables.tables[name]
         names = table.struct().names
-        rows = materialize(rows.select(*names), f"{name}-rows")
+        rows = rows.select(*names) if written else materialize(rows.select(*names), f"{name}-rows")
         keys = (rows.select(key) if keys is None else keys.select(key).union(rows.select(key))).distinct()
         held = self.read(name) if since is None else self.read(name).where(since)
         held = held.join(keys, key, "left_semi").select(*table.parts)

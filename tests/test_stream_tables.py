@@ -130,6 +130,23 @@ def test_evaluation_takes_each_action_once_and_compares_with_stored_metrics(spar
         ("a0", True, 0), ("a1", False, 0), ("a2", True, 1), ("a3", False, 1)}
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_batch_joins_its_history_once_and_copies_no_written_rows(spark, folder, monkeypatch):
+    plans, written = [], []
+    decide, write = loop.event_decisions, loop.materialize
+    monkeypatch.setattr(loop, "event_decisions", lambda df, **k: plans.append(_plan(df)) or decide(df, **k))
+    monkeypatch.setattr("shoptide.streaming.tables.materialize", lambda df, name: written.append(name) or write(df, name))
+    t = loop.loop_tables(spark, folder)
+    for k, records in enumerate([ONE, TWO]):
+        loop.run_batch(t, feed(spark, *records), k)
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
+    assert written == ["ledger-rows", "ledger-rows"]
+    assert rows(t.read("decisions"), *DECIDED) == rows(expected(t), *DECIDED)
+
+
 def test_the_kafka_reader_keeps_topic_partition_and_offset(spark):
     class Reader:
         def format(self, name):
