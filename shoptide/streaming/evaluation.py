@@ -53,7 +53,8 @@ def evaluate_due(store: BatchTables, ledger: DataFrame, clicks: DataFrame, as_of
         start = F.lit(datetime.fromisoformat(batch.notes["reach"]) - timedelta(hours=retention_hours)).cast("timestamp_ntz")
         due, taken = due.where(F.col("created_at") >= start), taken.where(F.col("ledger_date") >= F.to_date(start))
         clicks = clicks.where(F.col("timestamp") >= start)
-    due = due.join(taken.select("action_id"), "action_id", "left_anti")
+    clicks = clicks.where(F.col("timestamp") <= F.lit(as_of).cast("timestamp_ntz"))  # the windows of all due actions end before as_of
+    due = materialize(due.join(taken.select("action_id"), "action_id", "left_anti"), "due")  # read by the scan and by its join
     decided = conversion(due, clicks, as_of=F.lit(as_of).cast("timestamp_ntz"))
     batch_no = int(batch.notes.get("batch_no", -1)) + 1
     decided = materialize(decided.select(

@@ -147,6 +147,21 @@ def test_a_batch_joins_its_history_once_and_copies_no_written_rows(spark, folder
     assert rows(t.read("decisions"), *DECIDED) == rows(expected(t), *DECIDED)
 
 
+def test_a_run_finds_its_due_actions_once_and_no_later_events(spark, folder, monkeypatch):
+    seen = []
+    convert = evaluation.conversion
+    monkeypatch.setattr(evaluation, "conversion", lambda due, clicks, **k: seen.append((_plan(due), clicks.count())) or convert(due, clicks, **k))
+    schema = "action_id string, session_id string, action_type string, intent string, confidence double, reason string, created_at timestamp_ntz"
+    ledger = spark.createDataFrame([("a", "s", "X", "I", 0.9, None, T0), ("b", "s", "X", "I", 0.9, None, T0 + timedelta(minutes=30))], schema)
+    clicks = spark.createDataFrame([("s", T0 + timedelta(minutes=m), "checkout_start") for m in (15, 40, 45, 46, 500)],
+                                   "session_id string, timestamp timestamp_ntz, action string")
+    store = evaluation.evaluation_tables(spark, folder)
+    assert evaluation.evaluate_due(store, ledger, clicks, T0 + timedelta(minutes=25), 0)
+    assert evaluation.evaluate_due(store, ledger, clicks, T0 + timedelta(minutes=51), 1)
+    assert [(("Join" in plan), n) for plan, n in seen] == [(False, 1), (False, 4)]
+    assert {(r["action_id"], r["converted"]) for r in store.read("outcomes").collect()} == {("a", True), ("b", True)}
+
+
 def test_the_kafka_reader_keeps_topic_partition_and_offset(spark):
     class Reader:
         def format(self, name):
