@@ -732,9 +732,10 @@ r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY label ORDER BY md5(session_id),
 SELECT session_id, label, CASE WHEN rk <= ceil(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM r""")
 def q_stratified_split(spark, sf):
     from shoptide.operators.ml import stratified_split
+    from shoptide.session import materialize
     f = session_features(session_clicks(spark, sf))
     lab = intent_ops.rule_intent(f).select("session_id", F.col("rule_intent").alias("label"))
-    return stratified_split(lab).select("session_id", "label", "split")
+    return stratified_split(materialize(lab, "labels")).select("session_id", "label", "split")
 
 
 @register("rf_predict")
@@ -744,9 +745,9 @@ def q_rf_predict(spark, sf):
     the tables), so this checks the training path, not model quality."""
     from shoptide.operators.ml import fit_forest, predict_intent, stratified_split, training_set
     from shoptide.session import materialize
-    f = session_features(session_clicks(spark, sf))
+    f = materialize(session_features(session_clicks(spark, sf)), "features")
     lab = intent_ops.rule_intent(f).select("session_id", F.col("rule_intent").alias("label"))
-    ts = materialize(stratified_split(training_set(f, lab)), "training_set")
+    ts = stratified_split(materialize(training_set(f, lab), "training_set"))
     model = fit_forest(ts.where("split = 'train'"))
     return predict_intent(model, ts.where("split = 'test'")).select("session_id", "label", "ml_intent", "ml_confidence")
 
